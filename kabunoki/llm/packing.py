@@ -29,19 +29,20 @@ SCHEMA = "doc_id long, piece long, first_token long, n_tokens long, sequence_kin
 
 
 def price(duals: np.ndarray, sizes: np.ndarray, capacity: int, demand: np.ndarray) -> tuple[float, np.ndarray]:
-    """The pattern of the greatest total dual price (unbounded knapsack by dynamic programming over the capacity)."""
+    """The pattern of the greatest total dual price (unbounded knapsack by dynamic programming over the capacity;
+    sizes ascend)."""
     best = np.zeros(capacity + 1)
     took = np.full(capacity + 1, -1)
     use = np.flatnonzero((duals > 1e-12) & (demand > 0))
     s, d = sizes[use], duals[use]
+    fits = np.searchsorted(s, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
-        fit = s <= c
-        best[c], took[c] = best[c - 1], -1
-        if fit.any():
-            v = best[c - s[fit]] + d[fit]
-            k = int(v.argmax())
+        best[c] = best[c - 1]
+        if n := fits[c]:
+            v = best[c - s[:n]] + d[:n]
+            k = v.argmax()
             if v[k] > best[c] + 1e-12:
-                best[c], took[c] = v[k], use[fit][k]
+                best[c], took[c] = v[k], use[k]
     pattern = np.zeros(len(sizes), dtype=np.int64)
     c = capacity
     while c > 0:
