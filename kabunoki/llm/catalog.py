@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, packing
+from . import bpe, chat, exact_dedup, langid, packing, pii, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op2_pii": pii.query,
+    "op4_langid": langid.query,
+    "op5_bpe": bpe.query,
+    "op7_toxicity": toxicity.query,
     "op9_packing": packing.query,
     "op10_chat": chat.query,
 }
