@@ -190,9 +190,10 @@ def deobfuscate(docs: DataFrame, text_col: str = "text", findings: str | None =
     """``docs`` with personal data replaced in the text; with ``findings``, a column of that name lists kinds and source
     spans (characters, from 0, end excluded)."""
     schema = T.StructType(list(docs.schema.fields))
+    finding = T.StructType().add("kind", "string").add("start", "int").add("end", "int")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     if findings:
-        schema = schema.add(findings, "array<struct<kind:string,start:int,end:int>>")
+        schema = schema.add(findings, T.ArrayType(finding))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
