@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import documents
+from .shared import documents, in_arrow
 
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
@@ -190,7 +190,7 @@ def deobfuscate(docs: DataFrame, text_col: str = "text", findings: str | None =
     """``docs`` with personal data replaced in the text; with ``findings``, a column of that name lists kinds and source
     spans (characters, from 0, end excluded)."""
     schema = T.StructType(list(docs.schema.fields))
-    finding = T.StructType().add("kind", "string").add("start", "int").add("end", "int")
+    finding = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     if findings:
         schema = schema.add(findings, T.ArrayType(finding))
@@ -206,7 +206,7 @@ def deobfuscate(docs: DataFrame, text_col: str = "text", findings: str | None =
                 names.append(findings)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
