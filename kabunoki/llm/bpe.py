@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import columnar as C
-from .shared import documents
+from .shared import documents, in_arrow
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 SCHEMA = "doc_id long, n_tokens int, tokens array<int>"
@@ -323,7 +323,7 @@ def encode(docs: DataFrame, automaton: Automaton, id_col: str = "doc_id", text_c
                     [b.column(0).slice(at, len(some)), pa.array(count.astype(np.int32)), pa.ListArray.from_arrays(pa.array(stop), pa.array(tokens))], names=["doc_id", "n_tokens", "tokens"]
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA)
 
 
 def decode(encoded: DataFrame, automaton: Automaton) -> DataFrame:
@@ -336,7 +336,7 @@ def decode(encoded: DataFrame, automaton: Automaton) -> DataFrame:
             count = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(machine.decode(lists.flatten().to_numpy(), count), pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", F.coalesce("tokens", F.array().cast("array<int>")).alias("tokens")).mapInArrow(run, "doc_id long, text string")
+    return in_arrow(encoded.select("doc_id", F.coalesce("tokens", F.array().cast("array<int>")).alias("tokens")), run, "doc_id long, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, langid, packing, pii, toxicity
+from . import ann, bpe, chat, exact_dedup, langid, ngram_join, packing, pii, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_pii": pii.query,
+    "op3_ann": ann.query,
     "op4_langid": langid.query,
     "op5_bpe": bpe.query,
+    "op6_ngram_join": ngram_join.query,
     "op7_toxicity": toxicity.query,
     "op9_packing": packing.query,
     "op10_chat": chat.query,
@@ -16,5 +18,6 @@ QUERIES = {
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op6_ngram_join": ngram_join.SQL,
     "op10_chat": chat.SQL,
 }

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import columnar as C
-from .shared import documents
+from .shared import documents, in_arrow
 
 BITS = 16
 PER_LANGUAGE = 1500
@@ -144,7 +144,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                 names=["doc_id", "languages", "shares", "language", "unknown_share", "rejected"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA)
 
 
 def keep(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
@@ -156,7 +156,7 @@ def keep(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "
         for b in batches:
             yield b.filter(pa.array(~judge(None, b.column(b.schema.get_field_index(text_col)), names, table)["rejected"], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

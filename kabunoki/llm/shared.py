@@ -6,11 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def scratch(spark: SparkSession) -> str:
@@ -64,3 +68,25 @@ def inner(name: str) -> str:
 
 def text_bytes(name: str = "text") -> F.Column:
     return F.coalesce(F.octet_length(F.col(name)), F.lit(0)).cast("long")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python once per application, wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="kabunoki-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/kabunoki.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, Path(package.name) / file.relative_to(package))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

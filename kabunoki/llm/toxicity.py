@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import columnar as C
-from .shared import documents
+from .shared import documents, in_arrow
 
 BITS = 18
 MAX_LABELLED = 12_000
@@ -135,7 +135,7 @@ def locate(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float =
         for b in batches:
             yield from score_batch(b.column(0), b.column(1), weights, intercept, threshold)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
