@@ -1,24 +1,58 @@
-"""Cleaning and packing a corpus in stages, each one of the operators of kabunoki.llm."""
+"""Cleaning and packing a corpus in five stages, each one of the operators of kabunoki.llm.
+
+Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of ``documents``, with
+n_chars brought up to date where texts change.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kabunoki.llm import langid, line_dedup, ngram_join, packing, pii
+from kabunoki.llm.shared import written
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language, or of several, stay."""
+    return langid.keep(docs, langid.train(docs))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat earlier ones, exactly or nearly, are cut."""
+    return _measured(line_dedup.dedup_lines(docs))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each connected group of near copies stays."""
+    return ngram_join.one_of_each(docs)
+
 
-from kabunoki.llm import packing
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets are replaced by their kinds."""
+    return _measured(pii.deobfuscate(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents, cut where they are too long, are assigned to training sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("language ID", languages), ("line dedup", lines), ("n-gram Jaccard join", near_copies), ("PII", private), ("packing", pack)]
 
-#: The packing stage solves a linear program, which SQL can't express.
+#: Language models, fuzzy lines and the packing's linear program can't be expressed in SQL; the stages are tested
+#: against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, f"stage-{k}")
     return docs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, exact_dedup, langid, ngram_join, packing, pii, toxicity
+from . import ann, bpe, chat, exact_dedup, langid, line_dedup, ngram_join, packing, pii, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_bpe": bpe.query,
     "op6_ngram_join": ngram_join.query,
     "op7_toxicity": toxicity.query,
+    "op8_line_dedup": line_dedup.query,
     "op9_packing": packing.query,
     "op10_chat": chat.query,
 }
