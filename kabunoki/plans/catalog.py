@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from . import market
+
+MODULES = (market,)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _module in MODULES:
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
