@@ -20,10 +20,13 @@ def settle(x: Column, digits: int = 6) -> Column:
 
 def percentile_rank(value: Column, *by: str | Column, ascending: bool = True) -> Column:
     """Average-tie rank divided by the number of non-null values; null for null."""
-    order = value.asc_nulls_last() if ascending else value.desc_nulls_last()
-    rank = F.rank().over(W.partitionBy(*by).orderBy(order))
-    ties = F.count(F.lit(1)).over(W.partitionBy(*by, value))
-    return F.when(value.isNotNull(), (rank + (ties - 1) / 2.0) / F.count(value).over(W.partitionBy(*by)))
+    # The mean of the ranks among ties from either end; both windows have one partitioning, so a frame of many columns is
+    # shuffled once.
+    w = W.partitionBy(*by)
+    up, down = F.rank().over(w.orderBy(value.asc_nulls_last())), F.rank().over(w.orderBy(value.desc_nulls_last()))
+    low, high = (up, down) if ascending else (down, up)
+    n = F.count(value).over(w)
+    return F.when(value.isNotNull(), (low + n + 1 - high) / 2.0 / n)
 
 
 def rank_desc(value: Column, *by: str | Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import market
+from . import companies, market
 
-MODULES = (market,)
+MODULES = (market, companies)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _module in MODULES:
