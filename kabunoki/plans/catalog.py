@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import companies, market
+from . import companies, market, models
 
-MODULES = (market, companies)
+MODULES = (market, companies, models)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _module in MODULES:
