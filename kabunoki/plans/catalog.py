@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import companies, market, models
+from . import companies, market, models, records
 
-MODULES = (market, companies, models)
+MODULES = (market, companies, models, records)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _module in MODULES:

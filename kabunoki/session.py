@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_shipped: set[str] = set()
+
 
 def session(name: str = "kabunoki", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; the number of shuffle partitions is the owner's to set."""
@@ -34,3 +42,19 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python once per application, wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="kabunoki-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/kabunoki.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, Path(package.name) / file.relative_to(package))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
