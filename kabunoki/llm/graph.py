@@ -3,31 +3,112 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
+from . import columnar as C
 from .shared import ship, width, written
 
+BROADCAST_ROWS = 2_000_000
 
-def verify(pairs: DataFrame, payload: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Run ``kernel`` on pairs (a, b) and the payload rows (id, ...) that they name.
 
-    Ids fall into B buckets and a pair into the cell of its two buckets, of which there are about as many as shuffle
-    partitions; a payload row is sent to the cells where it has a partner, never once per pair, so large groups of
-    copies cost B copies of a row at most.
+def buckets(spark: SparkSession) -> int:
+    """Ids fall into so many buckets, and pairs into the cells of two buckets, about as many as shuffle partitions."""
+    return max(1, int(math.sqrt(2 * width(spark))))
+
+
+def by_cell(a: np.ndarray, b: np.ndarray, count: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Pairs of ids as (cell, packed pairs of places, ids), one per cell: a pair of a large group costs a byte or so."""
+    ha, hb = ((C.mix64(x.view(np.uint64)) % np.uint64(count)).astype(np.int64) for x in (a, b))
+    cell = np.minimum(ha, hb) * count + np.maximum(ha, hb)
+    order = np.argsort(cell, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], cell[order][1:] != cell[order][:-1], [True]])) if len(order) else np.zeros(0, np.int64)
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        o = order[lo:hi]
+        ids, back = np.unique(np.concatenate([a[o], b[o]]), return_inverse=True)
+        x, y = back[: len(o)], back[len(o) :]
+        pairs = np.unique(np.minimum(x, y).astype(np.uint64) << np.uint64(32) | np.maximum(x, y).astype(np.uint64))
+        yield int(cell[o[0]]), C.pack(pairs), ids.tobytes()
+
+
+def pairs_of(rows: Iterable[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, place of the one, place of the other) of the distinct pairs of one cell."""
+    packed, names, base = [], [], 0
+    for pairs, ids in rows:
+        e = C.unpack(pairs)
+        packed.append(((e >> np.uint64(32)).astype(np.int64) + base, (e & np.uint64(0xFFFFFFFF)).astype(np.int64) + base))
+        names.append(np.frombuffer(ids, np.int64))
+        base += len(names[-1])
+    ids, back = np.unique(np.concatenate(names), return_inverse=True)
+    x, y = (back[np.concatenate(z)] for z in zip(*packed))
+    e = np.unique(np.minimum(x, y).astype(np.uint64) << np.uint64(32) | np.maximum(x, y).astype(np.uint64))
+    return ids, (e >> np.uint64(32)).astype(np.int64), (e & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def united(rows: Iterable[tuple[int, bytes, bytes]]) -> Iterator[tuple[int, bytes, bytes]]:
+    """The rows of by_cell from many tasks as one per cell."""
+    cells: dict[int, list[tuple[bytes, bytes]]] = {}
+    for cell, pairs, ids in rows:
+        cells.setdefault(cell, []).append((pairs, ids))
+    for cell, some in cells.items():
+        ids, x, y = pairs_of(some)
+        yield cell, C.pack(x.astype(np.uint64) << np.uint64(32) | y.astype(np.uint64)), ids.tobytes()
+
+
+def verify(cells: DataFrame, payload: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Run ``kernel`` on the candidate pairs of each cell (cell, pairs, ids) and the payload rows (id, ...) they name,
+    which come in the order of ids.
+
+    A payload row is sent to the cells where it has a partner, never once per pair, so a group of copies, however
+    large, costs some copies of each row.
     """
-    ship(pairs.sparkSession)
-    b = max(1, int(math.sqrt(2 * width(pairs.sparkSession))))
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(b))
-    placed = pairs.select("a", "b", (F.least(at("a"), at("b")) * b + F.greatest(at("a"), at("b"))).cast("int").alias("cell"))
-    wanted = placed.select(F.explode(F.array(F.struct(F.col("a").alias("id"), "cell"), F.struct(F.col("b").alias("id"), "cell"))).alias("w")).select("w.id", "w.cell")
-    cells = wanted.groupBy("id").agg(F.collect_set("cell").alias("cells"))
-    sent = payload.join(cells, "id").select(F.explode("cells").alias("cell"), *payload.columns)
-    return placed.groupBy("cell").cogroup(sent.groupBy("cell")).applyInArrow(lambda key, left, right: kernel(left, right), schema)
+    ship(cells.sparkSession)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cell, ids in zip(b.column(0), b.column(1)):
+                x = np.frombuffer(ids.as_py(), np.int64)
+                yield pa.record_batch({"id": x, "cell": np.full(len(x), cell.as_py(), np.int32)})
+
+    wanted = written(cells.select("cell", "ids").mapInArrow(named, "id long, cell int").groupBy("id").agg(F.collect_set("cell").alias("cells")), "cells-wanted")
+    if wanted.count() <= BROADCAST_ROWS:  # then rows without a partner aren't shuffled
+        wanted = F.broadcast(wanted)
+    sent = payload.join(wanted, "id").select(F.explode("cells").alias("cell"), *payload.columns)
+
+    nothing = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return nothing
+        ids, x, y = pairs_of([(p.as_py(), i.as_py()) for p, i in zip(left["pairs"], left["ids"])])
+        right = right.take(pa.array(np.argsort(right["id"].to_numpy(), kind="stable")))
+        return kernel(ids, x, y, right)
+
+    return cells.groupBy("cell").cogroup(sent.groupBy("cell")).applyInArrow(run, schema)
+
+
+def forest(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) that connect the same nodes of range(n) as the pairs do, without the roots themselves."""
+    label = np.arange(n)
+    while True:
+        m = np.minimum(label[x], label[y])
+        before = label.copy()
+        np.minimum.at(label, x, m)
+        np.minimum.at(label, y, m)
+        np.minimum.at(label, before[x], m)
+        np.minimum.at(label, before[y], m)
+        label = label[label]
+        if (label == before).all():
+            break
+    node = np.flatnonzero(label != np.arange(n))
+    return node, label[node]
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import columnar as C
-from .graph import components, verify
-from .shared import documents, in_arrow, release, width, written
+from .graph import BROADCAST_ROWS, buckets, by_cell, components, forest, united, verify
+from .shared import documents, in_arrow, inner, release, width, written
 
 N = 3
 THRESHOLD = 0.5
@@ -39,7 +39,6 @@ KEY = 48
 _LOW = np.uint64(2**KEY - 1)
 _SENT = "part int, kind int, a binary, b binary, c binary"
 _SETS = "kind int, set_id long, doc_id long, gid long, size int, lone int, prefix int, elements binary"
-BROADCAST_ROWS = 2_000_000
 
 
 def _rows(parts: list[tuple]) -> pa.RecordBatch:
@@ -285,7 +284,7 @@ def _post(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
     for b in batches:
         for lo in range(0, b.num_rows, 4000):
             some = b.slice(lo, 4000)
-            group, size, lone, prefix = (some.column(c).to_numpy() for c in ("gid", "size", "lone", "prefix"))
+            group, sets, size, lone, prefix = (some.column(c).to_numpy() for c in ("gid", "set_id", "size", "lone", "prefix"))
             if not prefix.sum():
                 continue
             e = np.concatenate([np.frombuffer(x.as_py(), np.uint64, int(k)) for x, k in zip(some.column("elements"), prefix)])
@@ -299,7 +298,7 @@ def _post(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
                 o = order[cut[p] : cut[p + 1]]
                 if len(o):
                     u, back = np.unique(owner[o], return_inverse=True)
-                    out.append((p, 0, planes(e[o]), planes(np.stack([back, place[o]], 1).astype(np.int32).ravel()), planes(np.stack([group[u], size[u]], 1).ravel())))
+                    out.append((p, 0, planes(e[o]), planes(np.stack([back, place[o]], 1).astype(np.int32).ravel()), planes(np.stack([group[u], sets[u], size[u]], 1).ravel())))
             yield _rows(out)
 
 
@@ -314,22 +313,22 @@ def _pairs_of_runs(start: np.ndarray, stop: np.ndarray, most: int = 3_000_000) -
         at = to
 
 
-def _meet(batches: Iterator[pa.RecordBatch], threshold: float, parts: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of groups that share a prefix n-gram here and pass the length and positional filters."""
-    es, owners, places, groups, sizes, base = [], [], [], [], [], 0
+def _meet(batches: Iterator[pa.RecordBatch], threshold: float, parts: int, count: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of groups that share a prefix n-gram here and pass the length and positional filters, expanded into pairs
+    of sets, to their cells; and the pairs of sets within the groups whose first n-gram is here."""
+    es, owners, places, names, base = [], [], [], [], 0
     for _, a, b, c in _fields(batches):
         es.append(unplanes(a))
         two = unplanes(b, np.int32).reshape(-1, 2)
         owners.append(two[:, 0].astype(np.int64) + base)
         places.append(two[:, 1].astype(np.int64))
-        info = unplanes(c, np.int64).reshape(-1, 2)
-        groups.append(info[:, 0])
-        sizes.append(info[:, 1])
-        base += len(info)
+        names.append(unplanes(c, np.int64).reshape(-1, 3))
+        base += len(names[-1])
     if not es:
         return
-    every, first, back = np.unique(np.concatenate(groups), return_index=True, return_inverse=True)
-    size = np.concatenate(sizes)[first]
+    info = np.concatenate(names)
+    _, first, back = np.unique(info[:, 0], return_index=True, return_inverse=True)
+    size = info[first, 2]
     e, o, place = np.concatenate(es), back[np.concatenate(owners)], np.concatenate(places)
     order = np.lexsort((o, size[o], e))
     e, o, place = e[order], o[order], place[order]
@@ -338,7 +337,7 @@ def _meet(batches: Iterator[pa.RecordBatch], threshold: float, parts: int) -> It
     run = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
     length = np.diff(np.append(run, len(e)))
     s = size[o]
-    found: list[np.ndarray] = []
+    found: list[np.ndarray] = [np.zeros(0, np.uint64)]
     held = 0
     stop = np.repeat(run + length, length)
     for i, j in _pairs_of_runs(np.arange(len(e)), stop):
@@ -351,44 +350,39 @@ def _meet(batches: Iterator[pa.RecordBatch], threshold: float, parts: int) -> It
         if held > 4_000_000:
             found = [np.unique(np.concatenate(found))]
             held = len(found[0])
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-    a, b = every[(pairs >> np.uint64(32)).astype(np.int64)], every[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    home = (C.mix64(a.view(np.uint64) ^ C.mix64(b.view(np.uint64))) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((b, a, home))
-    cut = np.searchsorted(home[order], np.arange(parts + 1))
-    out = [(p, 0, C.pack(a[o].view(np.uint64)), b[o].tobytes(), b"") for p in range(parts) if len(o := order[cut[p] : cut[p + 1]])]
-    if out:
-        yield _rows(out)
+    pairs = np.unique(np.concatenate(found))
+    ga, gb = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    at_home = np.unique(o[place == 0])
+    ga, gb = np.concatenate([ga, at_home]), np.concatenate([gb, at_home])
+    # Sets by group; one that was posted in several rows counts once.
+    member = np.unique(np.stack([back, info[:, 1]], 1), axis=0)
+    start = np.searchsorted(member[:, 0], np.arange(len(first) + 1))
+    n = np.diff(start)
+    for lo in range(0, len(ga), 1_000_000):
+        x, y = ga[lo : lo + 1_000_000], gb[lo : lo + 1_000_000]
+        left = C.ragged(start[x], n[x])
+        times = np.repeat(n[y], n[x])
+        a, b = np.repeat(member[left, 1], times), member[C.ragged(np.repeat(start[y], n[x]), times), 1]
+        some = a != b
+        out = [(cell % parts, cell, p, i, b"") for cell, p, i in by_cell(a[some], b[some], count)]
+        if out:
+            yield _rows(out)
 
 
 def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [np.stack([C.unpack(a).view(np.int64), np.frombuffer(b, np.int64)], 1) for _, a, b, _ in _fields(batches)]
-    if not rows:
-        return
-    x = np.concatenate(rows)
-    x = x[np.lexsort((x[:, 1], x[:, 0]))]
-    x = x[np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)])]
-    for lo in range(0, len(x), 200_000):
-        yield pa.record_batch({"ga": np.ascontiguousarray(x[lo : lo + 200_000, 0]), "gb": np.ascontiguousarray(x[lo : lo + 200_000, 1])})
+    for cell, pairs, ids in united((k, a, b) for k, a, b, _ in _fields(batches)):
+        yield pa.record_batch({"cell": pa.array([cell], pa.int32()), "pairs": pa.array([pairs], pa.binary()), "ids": pa.array([ids], pa.binary())})
 
 
-def _common(threshold: float):
-    def kernel(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        ids = sets["id"].to_numpy()
-        order = np.argsort(ids)
+def _common(threshold: float, connect: bool):
+    """Pairs of documents of similar sets, with the similarity; or, to ``connect`` them, a forest of the sets."""
+
+    def kernel(ids: np.ndarray, a: np.ndarray, b: np.ndarray, sets: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x.as_py(), np.uint64) for x in sets["elements"]]
-        parts = [parts[k] for k in order]
-        ids, size = ids[order], sets["size"].to_numpy()[order].astype(np.int64)
-        empty = np.zeros(0, np.int64)
-        if not len(ids) or not len(pairs):
-            return pa.table({"a": empty, "b": empty, "jaccard": np.zeros(0)})
+        size = sets["size"].to_numpy().astype(np.int64)
         _, dense = np.unique(np.concatenate(parts), return_inverse=True)
         n = np.array([len(x) for x in parts])
         at = np.cumsum(n) - n
-        a, b = np.searchsorted(ids, pairs["a"].to_numpy()), np.searchsorted(ids, pairs["b"].to_numpy())
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
         mark = np.zeros(int(dense.max()) + 1, bool)
         common = np.zeros(len(a), np.int64)
         cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))
@@ -402,16 +396,29 @@ def _common(threshold: float):
             mark[own] = False
         j = common / (size[a] + size[b] - common)
         ok = j >= threshold
-        return pa.table({"a": ids[a[ok]], "b": ids[b[ok]], "jaccard": j[ok]})
+        a, b, j = a[ok], b[ok], j[ok]
+        if connect:
+            node, root = forest(len(ids), a, b)
+            return pa.table({"a": ids[node], "b": ids[root]})
+        docs = [np.array(x.as_py(), np.int64) for x in sets["docs"]]
+        flat, m = np.concatenate(docs), np.array([len(x) for x in docs])
+        first = np.cumsum(m) - m
+        times = np.repeat(m[b], m[a])
+        x, y = np.repeat(flat[C.ragged(first[a], m[a])], times), flat[C.ragged(np.repeat(first[b], m[a]), times)]
+        j = np.repeat(j, m[a] * m[b])
+        other = x != y
+        x, y, j = x[other], y[other], j[other]
+        return pa.table({"doc_a": np.minimum(x, y), "doc_b": np.maximum(x, y), "jaccard": j})
 
     return kernel
 
 
-def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members: set_id, doc_id; pairs of sets: a, b, jaccard). A set is named by its least document; members are those
-    of sets that have several documents or may have a partner."""
+def _candidates(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets that may have a partner; members (set_id, doc_id) of these and of sets of several documents; cells of
+    candidate pairs of sets). A set is named by its least document."""
     spark = docs.sparkSession
     parts = width(spark)
+    count = buckets(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     sent = in_arrow(base, lambda bs: _spread(bs, n, parts), _SENT).repartitionById(parts, "part")
     counted = in_arrow(sent, lambda bs: _count(bs, parts), _SENT).repartitionById(parts, "part")
@@ -419,42 +426,40 @@ def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, id_c
     del sent, counted
     release(spark)
     sets = table.where("kind = 0")
-    met = in_arrow(sets.select("gid", "size", "lone", "prefix", "elements"), lambda bs: _post(bs, parts), _SENT).repartitionById(parts, "part")
-    met = in_arrow(met, lambda bs: _meet(bs, threshold, parts), _SENT).repartitionById(parts, "part")
-    groups = written(in_arrow(met, _unite, "ga long, gb long"), "gram-groups")
+    met = in_arrow(sets.select("gid", "set_id", "size", "lone", "prefix", "elements"), lambda bs: _post(bs, parts), _SENT).repartitionById(parts, "part")
+    met = in_arrow(met, lambda bs: _meet(bs, threshold, parts, count), _SENT).repartitionById(parts, "part")
+    cells = written(in_arrow(met, _unite, "cell int, pairs binary, ids binary"), "gram-cells")
     del met
     release(spark)
-    own = sets.select("gid", F.col("set_id"))
-    across = groups.join(own.select(F.col("gid").alias("ga"), F.col("set_id").alias("x")), "ga").join(own.select(F.col("gid").alias("gb"), F.col("set_id").alias("y")), "gb")
-    within = own.select("gid", F.col("set_id").alias("x")).join(own.select("gid", F.col("set_id").alias("y")), "gid").where("x < y")
-    pairs = across.select("x", "y").union(within.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b")
-    payload = sets.select(F.col("set_id").alias("id"), "size", "elements")
-    return table.where("kind = 1").select("set_id", "doc_id"), verify(pairs, payload, _common(threshold), "a long, b long, jaccard double")
+    return sets, table.where("kind = 1").select("set_id", "doc_id"), cells
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b."""
-    members, pairs = similar_sets(docs, threshold, n, id_col, text_col)
-    left, right = members.select(F.col("set_id").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("set_id").alias("b"), F.col("doc_id").alias("y"))
-    across = pairs.join(left, "a").join(right, "b").where("x <> y").select("x", "y", "jaccard")
-    copies = left.join(right, F.col("a") == F.col("b")).where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
-    return across.union(copies).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
+    sets, members, cells = _candidates(docs, threshold, n, id_col, text_col)
+    lists = members.groupBy(F.col("set_id").alias("id")).agg(F.collect_list("doc_id").alias("docs"))
+    payload = sets.select(F.col("set_id").alias("id"), "size", "elements").join(lists, "id")
+    across = verify(cells, payload, _common(threshold, False), "doc_a long, doc_b long, jaccard double")
+    left, right = members.select("set_id", F.col("doc_id").alias("doc_a")), members.select("set_id", F.col("doc_id").alias("doc_b"))
+    copies = left.join(right, "set_id").where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
+    return across.union(copies).withColumn("jaccard", F.round("jaccard", 6))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document, that of the least id, of each connected group of similar ones. Rows without words or
     without id stay; rows that share an id stand or fall together."""
-    members, pairs = similar_sets(docs, threshold, n, id_col, text_col)
-    roots = components(pairs.select("a", "b"))
+    sets, members, cells = _candidates(docs, threshold, n, id_col, text_col)
+    payload = sets.select(F.col("set_id").alias("id"), "size", "elements")
+    roots = components(verify(cells, payload, _common(threshold, True), "a long, b long"))
     gone = (
         members.join(roots, members["set_id"] == roots["node"], "left")
         .where(F.col("doc_id") != F.coalesce("root", "set_id"))
-        .select(F.col("doc_id").alias("__kabunoki_gone")).distinct()
+        .select(F.col("doc_id").alias(inner("gone"))).distinct()
     )
     gone = written(gone, "gram-gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__kabunoki_gone"), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == F.col(inner("gone")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
