@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import columnar as C
-from .graph import components, verify
-from .ngram_join import _SENT, BROADCAST_ROWS, _distinct, _fields, _pairs_of_runs, _rows, _unite, bounds, planes, unplanes
+from .graph import BROADCAST_ROWS, buckets, by_cell, components, forest, verify
+from .ngram_join import _SENT, _distinct, _fields, _pairs_of_runs, _rows, bounds, planes, unplanes
 from .shared import documents, in_arrow, inner, release, width, written
 
 SIMILARITY = 0.9
 SHORT, LONG = 22, 27  # lines of SHORT words or more have long blocks, lines of less than LONG have short ones
 BLOCK = 1_500_000
-_LINES = "kind int, line long, doc_id long, line_no int, words binary"
+_LINES = "kind int, line long, doc_id long, line_no int, words binary, ids binary"
 WORD_BYTES = 3
 REMOVED = inner("removed")
 
@@ -61,15 +61,17 @@ def signatures(word: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.nda
 
 
 def _simhashes(word: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(group, how many words, 32-bit SimHash) of each group of words."""
+    """(group, how many distinct words, 64-bit SimHash over these) of each group of words. A word counts once, or a
+    frequent one alone would decide."""
     e = group.astype(np.uint64) << np.uint64(32) | word >> np.uint64(32)
     e.sort()
+    e = e[np.concatenate([[True], e[1:] != e[:-1]])]
     g = (e >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
     n = np.diff(np.append(first, len(g)))
-    bits = np.unpackbits((e & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.uint8).reshape(-1, 4), axis=1)
+    bits = np.unpackbits(C.mix64(e & np.uint64(0xFFFFFFFF)).view(np.uint8).reshape(-1, 8), axis=1)
     ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-    return g[first], n, np.packbits(2 * ones > n[:, None], axis=1).view(np.uint32).ravel()
+    return g[first], n, np.packbits(2 * ones > n[:, None], axis=1).view(np.uint64).ravel()
 
 
 def blocks(word: np.ndarray, first: np.ndarray, count: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -85,12 +87,12 @@ def blocks(word: np.ndarray, first: np.ndarray, count: np.ndarray, similarity: f
         group, n, sim = _simhashes(w, line * classes + (w & np.uint64(classes - 1)).astype(np.int64))
         at, c = group // classes, (group % classes).astype(np.uint64)
         salt = np.uint64(classes << 8)
-        keep = n >= (2 if classes == 8 else 3)
+        keep = n >= 3
         lines.append(at[keep])
-        keys.append(C.mix64(sim[keep].astype(np.uint64) << np.uint64(16) | c[keep] + salt))
+        keys.append(C.mix64(sim[keep] ^ C.mix64(c[keep] + salt)))
         if classes == 4:
             table, size = np.zeros((len(word) and int(which[-1]) + 1, 4), np.uint64), np.zeros((int(which[-1]) + 1, 4), np.int64)
-            table[at, c.astype(np.int64)], size[at, c.astype(np.int64)] = C.mix64(sim.astype(np.uint64) + np.uint64(1)), n
+            table[at, c.astype(np.int64)], size[at, c.astype(np.int64)] = C.mix64(sim + np.uint64(1)), n
             for i in range(4):
                 for j in range(i + 1, 4):
                     ok = which[(size[which, i] + size[which, j] >= 3)]
@@ -167,17 +169,27 @@ def _spread(batches: Iterator[pa.RecordBatch], parts: int, similarity: float) ->
         yield last
 
 
-def _meet(batches: Iterator[pa.RecordBatch], parts: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of lines that agree on a block, to a partition of pairs; lines, as they are, to their own."""
+def _meet(batches: Iterator[pa.RecordBatch], similarity: float, count: int) -> Iterator[pa.RecordBatch]:
+    """kind 0: candidate pairs by cell, of lines that agree on a block here (line is the cell, words the pairs); 1:
+    occurrences of the lines that belong here; 2: the words of each."""
     keys, signs, sizes = [], [], []
+    sent: set[int] = set()
     for kind, a, b, c in _fields(batches):
-        if kind == 1:
-            s = np.frombuffer(b, np.uint64)
-            yield _rows([(int(s[0] % np.uint64(parts)), 1, a, b, c)])
-        else:
+        s = np.frombuffer(b, np.uint64)
+        if kind == 0:
             keys.append(C.unpack(a))
-            signs.append(np.frombuffer(b, np.uint64))
+            signs.append(s)
             sizes.append(unplanes(c, np.int32))
+            continue
+        s = s.view(np.int64)
+        yield _out(1, s, unplanes(a[: 8 * len(s)], np.int64), unplanes(a[8 * len(s) :], np.int32), None, None)
+        one = s[np.concatenate([[True], s[1:] != s[:-1]])]
+        size = unplanes(c[: 4 * len(one)], np.int32).astype(np.int64)
+        stop = (4 * len(one) + np.cumsum(size) * WORD_BYTES).tolist()
+        new = [k for k, x in enumerate(one.tolist()) if x not in sent]
+        sent.update(one[new].tolist())
+        if new:
+            yield _out(2, one[new], None, None, [c[stop[k] - int(size[k]) * WORD_BYTES : stop[k]] for k in new], None)
     if not keys:
         return
     every, first, ref = np.unique(np.concatenate(signs), return_index=True, return_inverse=True)
@@ -211,44 +223,17 @@ def _meet(batches: Iterator[pa.RecordBatch], parts: int, similarity: float) -> I
         return
     pairs = np.unique(np.concatenate(found))
     a, b = every[(pairs >> np.uint64(32)).astype(np.int64)].view(np.int64), every[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)].view(np.int64)
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    home = (C.mix64(a.view(np.uint64) ^ C.mix64(b.view(np.uint64))) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((b, a, home))
-    cut = np.searchsorted(home[order], np.arange(parts + 1))
-    out = [(p, 0, C.pack(a[o].view(np.uint64)), b[o].tobytes(), b"") for p in range(parts) if len(o := order[cut[p] : cut[p + 1]])]
-    if out:
-        yield _rows(out)
-
-
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: candidate pairs (line, doc_id: both signatures); 1: occurrences; 2: words of each line."""
-    pairs = []
-    for kind, a, b, c in _fields(batches):
-        if kind == 0:
-            pairs.append((0, a, b, c))
-            continue
-        s = np.frombuffer(b, np.uint64).view(np.int64)
-        ids, number = unplanes(a[: 8 * len(s)], np.int64), unplanes(a[8 * len(s) :], np.int32)
-        yield _out(1, s, ids, number, None)
-        one = s[np.concatenate([[True], s[1:] != s[:-1]])]
-        size = unplanes(c[: 4 * len(one)], np.int32).astype(np.int64)
-        stop = 4 * len(one) + np.cumsum(size) * WORD_BYTES
-        yield _out(2, one, None, None, [c[e - n * WORD_BYTES : e] for e, n in zip(stop.tolist(), size.tolist())])
-    rows = [np.stack([C.unpack(a).view(np.int64), np.frombuffer(b, np.int64)], 1) for _, a, b, _ in pairs]
-    if rows:
-        x = np.concatenate(rows)
-        x = x[np.lexsort((x[:, 1], x[:, 0]))]
-        x = x[np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)])]
-        for lo in range(0, len(x), 200_000):
-            yield _out(0, np.ascontiguousarray(x[lo : lo + 200_000, 0]), np.ascontiguousarray(x[lo : lo + 200_000, 1]), None, None)
-
-
-def _out(kind: int, line: np.ndarray, doc: np.ndarray | None, number: np.ndarray | None, words: list | None) -> pa.RecordBatch:
+    for cell, p, i in by_cell(a, b, count):
+        yield _out(0, np.array([cell], np.int64), None, None, [p], [i])
+
+
+def _out(kind: int, line: np.ndarray, doc: np.ndarray | None, number: np.ndarray | None, words: list | None, ids: list | None) -> pa.RecordBatch:
     n = len(line)
     return pa.record_batch(
         {
             "kind": np.full(n, kind, np.int32), "line": line, "doc_id": pa.nulls(n, pa.int64()) if doc is None else doc,
             "line_no": pa.nulls(n, pa.int32()) if number is None else number, "words": pa.nulls(n, pa.binary()) if words is None else pa.array(words, pa.binary()),
+            "ids": pa.nulls(n, pa.binary()) if ids is None else pa.array(ids, pa.binary()),
         }
     )
 
@@ -282,20 +267,13 @@ def edit_distances(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray,
 
 
 def _alike(similarity: float):
-    def kernel(pairs: pa.Table, lines: pa.Table) -> pa.Table:
-        ids = lines["id"].to_numpy()
-        order = np.argsort(ids)
-        ids = ids[order]
-        empty = np.zeros(0, np.int64)
-        if not len(ids) or not len(pairs):
-            return pa.table({"a": empty, "b": empty})
-        parts = [lines["words"][int(k)].as_py() for k in order]
+    def kernel(ids: np.ndarray, a: np.ndarray, b: np.ndarray, lines: pa.Table) -> pa.Table:
+        parts = [x.as_py() for x in lines["words"]]
         n = np.array([len(x) // WORD_BYTES for x in parts], np.int64)
         at = np.cumsum(n) - n
         raw = np.zeros((int(n.sum()), 4), np.uint8)
         raw[:, :WORD_BYTES] = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, WORD_BYTES)
         word = raw.view(np.uint32).ravel().astype(np.int64)
-        a, b = np.searchsorted(ids, pairs["a"].to_numpy()), np.searchsorted(ids, pairs["b"].to_numpy())
         longest = np.maximum(n[a], n[b])
         limit = np.floor((1 - similarity) * longest + 1e-9).astype(np.int64)
         good = np.zeros(len(a), bool)
@@ -313,7 +291,8 @@ def _alike(similarity: float):
                 row = np.repeat(np.arange(len(o)), n[x])
                 m[row, C.ragged(np.zeros(len(o), np.int64), n[x])] = word[C.ragged(at[x], n[x])]
             good[o] = edit_distances(pa_, pb, n[a[o]], n[b[o]], k) <= k
-        return pa.table({"a": ids[a[good]], "b": ids[b[good]]})
+        node, root = forest(len(ids), a[good], b[good])
+        return pa.table({"a": ids[node], "b": ids[root]})
 
     return kernel
 
@@ -321,16 +300,15 @@ def _alike(similarity: float):
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no) of the lines that go: all but the first of each connected group of similar lines."""
     spark = docs.sparkSession
-    parts = width(spark)
+    parts, count = width(spark), buckets(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     sent = in_arrow(base, lambda bs: _spread(bs, parts, similarity), _SENT).repartitionById(parts, "part")
-    met = in_arrow(sent, lambda bs: _meet(bs, parts, similarity), _SENT).repartitionById(parts, "part")
-    table = written(in_arrow(met, _settle, _LINES), "lines")
-    del sent, met
+    table = written(in_arrow(sent, lambda bs: _meet(bs, similarity, count), _LINES), "lines")
+    del sent
     release(spark)
-    pairs = table.where("kind = 0").select(F.col("line").alias("a"), F.col("doc_id").alias("b"))
-    payload = table.where("kind = 2").groupBy(F.col("line").alias("id")).agg(F.first("words").alias("words"))
-    roots = components(verify(pairs, payload, _alike(similarity), "a long, b long"))
+    cells = table.where("kind = 0").select(F.col("line").cast("int").alias("cell"), F.col("words").alias("pairs"), "ids")
+    payload = table.where("kind = 2").select(F.col("line").alias("id"), "words")
+    roots = components(verify(cells, payload, _alike(similarity), "a long, b long"))
     release(spark)
     every = table.where("kind = 1").select("line", "doc_id", "line_no").distinct()
     named = every.join(roots, every["line"] == roots["node"], "left").select(F.coalesce("root", "line").alias("root"), F.struct("doc_id", "line_no").alias("at"))
