@@ -112,8 +112,14 @@ class Automaton:
         u, v, _ = np.array(merges or [(0, 0, 0)][:0], dtype=np.uint64).reshape(-1, 3).T
         self.merges = Table(u << np.uint64(32) | v, np.arange(len(merges), dtype=np.int32))
         ids = sorted(tokens)
-        made = {w for _, _, w in merges}
-        walkable = [t for t in ids if len(tokens[t]) == 1 or t in made]
+        # A merge whose halves can't follow each other when its turn comes adds no arc: its token is never written.
+        proper = np.zeros(n, bool)
+        proper[[t for t in ids if len(tokens[t]) == 1]] = True
+        order = np.array([w for _, _, w in merges], np.int64)
+        met = self._walk(self.left[order], self.right[order], self.rank[order])
+        for w, ok in zip(order.tolist(), met.tolist()):
+            proper[w] = ok and proper[self.left[w]] and proper[self.right[w]]
+        walkable = [t for t in ids if proper[t]]
         self.blob = np.frombuffer(b"".join(tokens.get(t, b"") for t in range(n)), np.uint8)
         self.size = np.array([len(tokens.get(t, b"")) for t in range(n)], np.int64)
         self.at = np.cumsum(self.size) - self.size
@@ -128,11 +134,12 @@ class Automaton:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memo_keys": None, "memo": None}
 
-    def _walk(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
+    def _walk(self, u: np.ndarray, t: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
+        """Whether the state behind u has the arc t after all merges, or after those before ``until``."""
         ok = np.ones(len(u), bool)
         live = np.arange(len(u))
         u, t = u.copy(), t.copy()
-        limit = np.full(len(u), NEVER, np.int32)
+        limit = np.full(len(u), NEVER, np.int32) if until is None else until
         while len(live):
             m = self.merges.get(u.astype(np.uint64) << np.uint64(32) | t.astype(np.uint64))
             dead = (m >= 0) & (m < limit)

@@ -9,8 +9,8 @@ An edit or a regeneration also discards every later message that existed by then
 ``message`` is a message's place in its conversation. In a table of plain turns each row is a ``message`` event.
 
 Events are sorted by seq; of those with the same seq the text decides, so the order of the rows doesn't matter. The fold
-is written as windows over a conversation's log: a message's text is what follows its last replacement, and it lives if
-no earlier message was replaced after it began.
+is written as windows over a conversation's log: an event counts if no earlier message was edited or regenerated after
+it, and a message's text is what follows its last replacement.
 
 Cases: events with a null conversation, message or seq are left out; a null kind is a message; a null text is empty; a
 null role is rendered as "user"; repeated equal events count once; a message without text is left out of the rendering;
@@ -44,20 +44,14 @@ def messages(events: DataFrame) -> DataFrame:
     branches = F.col("kind").isin("edit", "regenerate")
     # One shuffle, by conversation: the next groupings have conv_id among their keys and all of them keep it.
     e = e.repartition("conv_id")
+    earlier = W.partitionBy("conv_id").orderBy("message").rangeBetween(W.unboundedPreceding, -1)
+    e = e.withColumn("cut", F.max(F.when(branches, F.col("seq"))).over(earlier)).where(F.col("cut").isNull() | (F.col("seq") > F.col("cut")))
     order = F.struct("seq", F.when(replaces, 0).otherwise(1).alias("late"), "text")
     own = W.partitionBy("conv_id", "message")
     e = e.withColumn("at", order).withColumn("last", F.max(F.when(replaces, F.col("at"))).over(own))
-    m = e.groupBy("conv_id", "message").agg(
-        F.min("seq").alias("began"),
-        F.max(F.when(branches, F.col("seq"))).alias("branched"),
-        F.max_by("role", F.when(F.col("role").isNotNull(), F.col("at"))).alias("role"),
-        F.array_sort(F.collect_list(F.when(F.col("last").isNull() | (F.col("at") >= F.col("last")), F.col("at")))).alias("parts"),
-    )
-    earlier = W.partitionBy("conv_id").orderBy("message").rowsBetween(W.unboundedPreceding, -1)
-    return (
-        m.withColumn("cut", F.max("branched").over(earlier))
-        .where(F.col("cut").isNull() | (F.col("cut") < F.col("began")))
-        .select("conv_id", "message", F.coalesce("role", F.lit("user")).alias("role"), F.concat_ws("", F.transform("parts", lambda p: p["text"])).alias("text"))
+    return e.groupBy("conv_id", "message").agg(
+        F.coalesce(F.max_by("role", F.when(F.col("role").isNotNull(), F.col("at"))), F.lit("user")).alias("role"),
+        F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.when(F.col("last").isNull() | (F.col("at") >= F.col("last")), F.col("at")))), lambda p: p["text"])).alias("text"),
     )
 
 

@@ -12,6 +12,8 @@ batch's columns, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -26,20 +28,34 @@ def digest(text: str) -> F.Column:
 
 
 class DigestIndex:
-    """A digest index at ``path``, made there if there is none; a later session opens it by the same path and buckets."""
+    """A digest index at ``path``, made there if there is none; a later session opens it by the same path and buckets.
+    Each compaction is a new generation of the table; the last complete one counts."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets or width(spark)
-        self.name = "kabunoki_digests_" + format(hash(self.path) & (2**64 - 1), "016x")
-        self._register()
-
-    def _register(self) -> None:
+        self._open(max(self._generations(), default=0))
+
+    def _generations(self) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        return [int(n.split("-")[1]) for n in names if n.startswith("digests-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+
+    def _open(self, generation: int) -> None:
+        self.generation, self.at = generation, f"{self.path}/digests-{generation:06d}"
+        self.name = "kabunoki_digests_" + hashlib.sha256(self.at.encode()).hexdigest()[:16]
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         self.spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, batch STRING) USING parquet LOCATION '{self.path}/digests' "
+            f"CREATE TABLE {self.name} (digest BINARY, batch STRING) USING parquet LOCATION '{self.at}' "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS"
         )
 
+    def _append(self, digests: DataFrame, name: str, at: str, mode: str) -> None:
+        digests.repartition(self.buckets, "digest").write.mode(mode).bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").option("path", at).saveAsTable(name)
+
     def digests(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -53,19 +69,16 @@ class DigestIndex:
         new = one.join(seen, DIGEST, "left_anti")
         new.write.mode("overwrite").option("compression", "zstd").parquet(at)
         kept = self.spark.read.schema(new.schema).parquet(at)
-        (
-            kept.select(F.col(DIGEST).alias("digest"), F.lit(at.rsplit("/", 1)[1]).alias("batch"))
-            .repartition(self.buckets, "digest")
-            .write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").option("path", f"{self.path}/digests").saveAsTable(self.name)
-        )
+        self._append(kept.select(F.col(DIGEST).alias("digest"), F.lit(at.rsplit("/", 1)[1]).alias("batch")), self.name, self.at, "append")
         return kept.drop(DIGEST)
 
     def compact(self) -> None:
         """Rewrite the index as one sorted file per bucket, after many appends."""
-        to = f"{self.path}/digests-{fresh_path(self.spark, 'c').rsplit('-', 1)[1]}"
-        self.digests().dropDuplicates(["digest"]).repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").option("path", to).mode("overwrite").saveAsTable(self.name + "_c")
+        new = self.generation + 1
+        self._append(self.digests().dropDuplicates(["digest"]), self.name + "_next", f"{self.path}/digests-{new:06d}", "overwrite")
+        self.spark.sql(f"DROP TABLE {self.name}_next")
         self.spark.sql(f"DROP TABLE {self.name}")
-        self.spark.sql(f"ALTER TABLE {self.name}_c RENAME TO {self.name}")
+        self._open(new)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
