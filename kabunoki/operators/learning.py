@@ -8,7 +8,6 @@ dates, and models.
 from __future__ import annotations
 
 import json
-import math
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -29,10 +28,10 @@ ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)
 LEAST_IN_MONTH = 10
 
 
-def training_set(bars: DataFrame, filings: DataFrame, securities: DataFrame, start: str | None = None, end: str | None = None, universe_as_of: str | None = None, version: str = DATASET_VERSION) -> DataFrame:
+def training_set(bars: DataFrame, filings: DataFrame, securities: DataFrame, period: tuple[str | None, str | None] = (None, None), universe_as_of: str | None = None, version: str = DATASET_VERSION) -> DataFrame:
     """One row for each security and month: what was known on that day, rule scores, and forward labels."""
     cleaned = P.clean(bars)
-    rows = P.price_rows(cleaned, P.month_calendar(cleaned, filings, start, end))
+    rows = P.price_rows(cleaned, P.month_calendar(cleaned, filings, period))
     known = L.fundamentals(filings, rows.select("snapshot_date", "canonical_code", "price_date", "latest_close"))
     ranks = R.investment_ranks(securities, rows, known)
     wanted = [c for c in FEATURES if c not in PRICE_FEATURES]
@@ -40,8 +39,8 @@ def training_set(bars: DataFrame, filings: DataFrame, securities: DataFrame, sta
     out = rows.join(known.select("snapshot_date", "canonical_code", "disclosure_date", *wanted), ["snapshot_date", "canonical_code"], "left").join(scores, ["snapshot_date", "canonical_code"], "left")
     out = out.join(securities.select("canonical_code", "sector33_name", "model_group"), "canonical_code", "left")
     return out.select(
-        "evaluation_date", "canonical_code", tokyo_to_utc(F.col("evaluation_date"), "23:59:59").alias("cutoff_at"), "price_date", "disclosure_date", "sector33_name", "model_group", *FEATURES,
-        "rule_score_6m", "rule_score_12m", "rule_confidence", "label_start_date", *[c for h in HORIZONS for c in (f"label_end_date_{h}", f"forward_return_{h}")],
+        "evaluation_date", "canonical_code", tokyo_to_utc(F.col("evaluation_date"), "23:59:59").alias("cutoff_at"), *"model_group sector33_name disclosure_date price_date".split(), *FEATURES,
+        *"rule_confidence rule_score_12m rule_score_6m label_start_date".split(), *[c for h in HORIZONS for c in (f"label_end_date_{h}", f"forward_return_{h}")],
         F.lit(universe_as_of).alias("universe_as_of"), F.lit(True).alias("survivor_bias_flag"), F.lit(P.CLEANING_VERSION).alias("price_cleaning_version"),
         F.lit(L.FUNDAMENTAL_VERSION).alias("fundamental_feature_version"), F.lit(R.RANKING_VERSION).alias("rule_ranking_version"), F.lit(version).alias("dataset_version"),
     )
@@ -154,9 +153,9 @@ def temporal_split(frame: DataFrame, label_end: str, date: str = "evaluation_dat
     dates = [r[date] for r in pairs]
     if len(dates) < 24:
         raise ValueError("a split needs at least 24 labelled months")
-    test = dates[max(2, int(len(dates) * 0.85))]
+    test = dates[max(2, len(dates) * 85 // 100)]
     eligible = [r[date] for r in pairs if r[date] < test and r["e"] is not None and r["e"] < test]
-    months = max(12, math.ceil(len(dates) * 0.15))
+    months = max(12, -(-len(dates) * 15 // 100))
     if len(eligible) <= months:
         raise ValueError("not enough months without overlap for validation")
     validation = eligible[-months]
@@ -178,11 +177,9 @@ def train(dataset: DataFrame, horizon: str, alphas: tuple[float, ...] = ALPHAS,
     frame = frame.persist()
     try:
         first = gram(frame.where("in_train"), names, "target_excess").first().asDict()
-        candidates = []
-        for alpha in alphas:
-            model = solve_ridge(first, names, alpha)
-            score = evaluate_ranking(frame.where("in_validation").withColumn("prediction", model.predict()), "prediction", label).first().asDict()
-            candidates.append({"alpha": alpha, "metrics": score})
+        seen = frame.where("in_validation")
+        score = lambda model: evaluate_ranking(seen.withColumn("prediction", model.predict()), "prediction", label).first().asDict()
+        candidates = [dict(alpha=a, metrics=score(solve_ridge(first, names, a))) for a in alphas]
         best = max(candidates, key=lambda c: (c["metrics"]["mean_spearman_ic"] or -1e9, c["metrics"]["top_decile_excess"] or -1e9))["alpha"]
         final = fit_ridge(frame.where("in_final"), names, "target_excess", best)
         deployed = fit_ridge(frame, names, "target_excess", best)

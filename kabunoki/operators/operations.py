@@ -99,7 +99,7 @@ def watchlist(universe: DataFrame, name: str = "topix500", limit: int | None = N
     if limit:
         u = u.where(F.col("selection_rank") <= limit)
     return u.select(
-        F.lit(name).alias("watchlist_name"), "as_of_date", F.col("code").alias("canonical_code"), "company_name", "market_segment", "sector33_name", "size_name", "selection_rank",
+        F.lit(name).alias("watchlist_name"), "as_of_date", F.col("code").alias("canonical_code"), *"selection_rank size_name sector33_name market_segment company_name".split(),
         F.when(F.col("sector33_name").isin(*financial), "financial").otherwise("general").alias("model_group"),
     )
 

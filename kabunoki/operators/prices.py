@@ -22,6 +22,7 @@ GAP_DAYS = 10
 YEAR = 252
 LAGS = {"return_1m": 21, "return_3m": 63, "return_6m": 126, "return_12m": 252}
 PRICES = "open high low close".split()
+SHAPES = "momentum_12_1 high_52w_distance max_drawdown_252d volatility_20d volatility_60d downside_volatility_60d".split()
 
 
 def clean(bars: DataFrame) -> DataFrame:
@@ -198,13 +199,14 @@ def price_features(cleaned: DataFrame) -> DataFrame:
     out = scores(last, "snapshot_date").withColumn("price_score", 0.7 * F.col("momentum_score") + 0.3 * F.col("risk_score"))
     out = out.withColumn("price_rank", rank_desc(F.col("price_score"), "snapshot_date"))
     return out.select(
-        "snapshot_date", "canonical_code", "price_date", "latest_close", *LAGS, "momentum_12_1", "volatility_20d", "volatility_60d", "downside_volatility_60d", "max_drawdown_252d",
-        "high_52w_distance", "average_volume_20d", "average_turnover_20d", "momentum_score", "risk_score", "price_score", "price_rank", "feature_version",
+        "snapshot_date", "canonical_code", "price_date", "latest_close", *LAGS, *SHAPES,
+        "average_volume_20d", "average_turnover_20d", "momentum_score", "risk_score", "price_score", "price_rank", "feature_version",
     )
 
 
-def month_calendar(cleaned: DataFrame, filings: DataFrame | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+def month_calendar(cleaned: DataFrame, filings: DataFrame | None = None, period: tuple[str | None, str | None] = (None, None)) -> DataFrame:
     """The last valid trade date of each month, from a year after the first (and the first filing) on."""
+    start, end = period
     days = cleaned.where(_usable("return_price"))
     first = F.add_months(F.min("trade_date"), 12)
     limits = days.agg(first.alias("lo"), F.max("trade_date").alias("hi"))
@@ -265,6 +267,6 @@ def price_rows(cleaned: DataFrame, calendar: DataFrame) -> DataFrame:
     six, twelve = forward_labels(seg, keys, 6), forward_labels(seg, keys, 12).drop("label_start_date")
     out = scores(at, "evaluation_date").join(six, ["canonical_code", "evaluation_date"], "left").join(twelve, ["canonical_code", "evaluation_date"], "left")
     return out.select(
-        "evaluation_date", "snapshot_date", "canonical_code", "price_date", "latest_close", *LAGS, "momentum_12_1", "volatility_20d", "volatility_60d", "downside_volatility_60d", "max_drawdown_252d",
-        "high_52w_distance", "average_turnover_20d", "log_average_turnover_20d", "momentum_score", "risk_score", "label_start_date", "label_end_date_6m", "forward_return_6m", "label_end_date_12m", "forward_return_12m",
+        "evaluation_date", "snapshot_date", "canonical_code", "price_date", "latest_close", *LAGS, *SHAPES,
+        "average_turnover_20d", "log_average_turnover_20d", "momentum_score", "risk_score", *"label_start_date label_end_date_6m label_end_date_12m forward_return_6m forward_return_12m".split(),
     )

@@ -72,7 +72,7 @@ def investment_ranks(securities: DataFrame, prices: DataFrame, fundamentals: Dat
         f = f.withColumns({"qualitative_disclosure_date": F.lit(None).cast("date"), "qualitative_score": F.lit(None).cast("double"), "qualitative_confidence": F.lit(None).cast("double")})
     f = metric_scores(f, date=date)
     f = f.withColumns({c: F.coalesce(row_mean(*[F.col(f"{m}_score") for m in names.split()]), F.lit(50.0)) for c, names in MEANS.items()})
-    neutral = {"momentum_score": 50.0, "risk_score": 50.0, "qualitative_score": 50.0, "qualitative_confidence": 0.0}
+    neutral = dict.fromkeys("qualitative_score risk_score momentum_score".split(), 50.0) | {"qualitative_confidence": 0.0}
     f = f.withColumns({c: F.coalesce(finite(F.col(c)), F.lit(v)) for c, v in neutral.items()} | {"confidence": 0.4 + 0.6 * F.coalesce(F.col("financial_completeness"), F.lit(0.0))})
     opinion = F.col("qualitative_confidence") * (F.col("qualitative_score") - 50.0)
     for k, horizon in enumerate(("6m", "12m")):

@@ -14,6 +14,9 @@ from kabunoki.operators import prices as P
 from kabunoki.session import load
 
 
+_LABELS = "label_start_date label_end_date_6m label_end_date_12m forward_return_6m forward_return_12m".split()
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("l_extendedprice") / F.col("l_quantity")
     items = load(spark, sf_dir, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("trade_date"), price.alias("px"), "l_discount", "l_quantity")
@@ -71,11 +74,11 @@ def price_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def _labels(s: SparkSession, d: str) -> DataFrame:
-    return rounded(price_rows(s, d).select("canonical_code", "evaluation_date", "label_start_date", "label_end_date_6m", "forward_return_6m", "label_end_date_12m", "forward_return_12m"))
+    return rounded(price_rows(s, d).select("canonical_code", "evaluation_date", *_LABELS))
 
 
 def _asof(s: SparkSession, d: str) -> DataFrame:
-    return rounded(price_rows(s, d).drop("snapshot_date", "label_start_date", "label_end_date_6m", "forward_return_6m", "label_end_date_12m", "forward_return_12m"))
+    return rounded(price_rows(s, d).drop("snapshot_date", *_LABELS))
 
 
 QUERIES = {

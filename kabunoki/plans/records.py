@@ -252,7 +252,7 @@ SQL = {
       x AS (SELECT *, row_number() OVER (ORDER BY place, CAST(c_custkey AS VARCHAR)) AS selection_rank FROM u)
       SELECT 'w' AS watchlist_name, '2024-01-01' AS as_of_date, CAST(c_custkey AS VARCHAR) AS canonical_code, c_name AS company_name, c_mktsegment AS market_segment, CAST(c_nationkey AS VARCHAR) AS sector33_name, 'S' || (c_custkey % 5) AS size_name, selection_rank,
       CASE WHEN c_nationkey IN (3, 7) THEN 'financial' ELSE 'general' END AS model_group FROM x WHERE selection_rank <= 100""",
-    "coverage_matrix": f"""WITH {BARS}, p AS (SELECT canonical_code, count(*) AS price_rows, min(trade_date) AS first_price_date, max(trade_date) AS last_price_date FROM bars GROUP BY 1),
+    "coverage_matrix": f"""WITH {BARS}, p AS (SELECT canonical_code, max(trade_date) AS last_price_date, min(trade_date) AS first_price_date, count(*) AS price_rows FROM bars GROUP BY 1),
       f AS (SELECT 'N' || c_nationkey AS canonical_code, count(DISTINCT last_day(o_orderdate)) AS financial_periods, max(last_day(o_orderdate)) AS last_financial_date FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
       docs AS (SELECT 'N' || (doc_id % 30) AS canonical_code, doc_id, CAST(DATE '2024-01-01' + CAST(doc_id % 300 AS INT) AS DATE) AS dd FROM documents WHERE doc_id % 3 = 0),
       s AS (SELECT canonical_code, count(*) AS source_document_count, max(dd) AS last_source_document_date FROM docs GROUP BY 1), a AS (SELECT canonical_code, count(DISTINCT doc_id) AS analysis_count, max(dd) AS last_analysis_date FROM docs WHERE doc_id % 2 = 0 GROUP BY 1),

@@ -16,26 +16,28 @@ HIDDEN = frozenset(("script", "style", "noscript", "template"))
 
 
 class _Visible(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.hidden = 0
+    """Collects the data outside hidden elements, with a line break where a block begins or ends."""
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    depth = 0
+
+    def reset(self) -> None:
+        HTMLParser.reset(self)
+        self.out, self.depth = [], 0
+
+    def _edge(self, tag: str, step: int) -> None:
         if tag in HIDDEN:
-            self.hidden += 1
+            self.depth = max(0, self.depth + step)
         elif tag in BLOCKS:
-            self.parts.append("\n")
+            self.out.append("\n")
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._edge(tag, 1)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in BLOCKS:
-            self.parts.append("\n")
+        self._edge(tag, -1)
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.parts.append(data)
+        self.out += [] if self.depth else [data]
 
 
 def visible(html: str | None) -> str | None:
@@ -45,7 +47,7 @@ def visible(html: str | None) -> str | None:
     parser = _Visible()
     parser.feed(html)
     parser.close()
-    lines = (" ".join(line.split()) for line in "".join(parser.parts).split("\n"))
+    lines = (" ".join(line.split()) for line in "".join(parser.out).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
@@ -71,7 +73,7 @@ def links(html: Column) -> Column:
 
 def long_bars(wide: DataFrame, symbols: list[str], source: str = "quotes") -> DataFrame:
     """Rows per day with columns "<Field> <SYMBOL>" as one row per day and symbol; a close is known at 15:30 in Tokyo."""
-    fields = {"Open": "open", "High": "high", "Low": "low", "Close": "close", "Adj Close": "adjusted_close", "Volume": "volume"}
+    fields = dict(zip("Open|High|Low|Close|Adj Close|Volume".split("|"), "open|high|low|close|adjusted_close|volume".split("|")))
     rows = [F.struct(F.lit(s.removesuffix(".T")).alias("canonical_code"), *[(F.col(f"`{f} {s}`") if f"{f} {s}" in wide.columns else F.lit(None)).cast("double").alias(n) for f, n in fields.items()]) for s in symbols]
     out = wide.select(F.col("Date").cast("date").alias("trade_date"), F.explode(F.array(*rows)).alias("b")).select("trade_date", "b.*").where("close IS NOT NULL")
     return out.withColumns({"source": F.lit(source), "available_at": tokyo_to_utc(F.col("trade_date"), "15:30:00")})

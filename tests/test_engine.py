@@ -29,19 +29,19 @@ def day(text: str) -> dt.date:
 
 
 def bar(when: str, **other) -> tuple:
-    row = {"open": 100.0, "high": 105.0, "low": 95.0, "close": 102.0, "adjusted_close": 100.0, "volume": 1000.0} | other
+    row = dict(zip("open high low close adjusted_close volume".split(), (100.0, 105.0, 95.0, 102.0, 100.0, 1000.0))) | other
     return (day(when), "1000", "q", *row.values())
 
 
 def test_cleaning_finds_four_rules_and_excludes_three(spark):
     rows = [
         bar("2024-01-01", high=101.0), bar("2024-01-02", adjusted_close=-10.0), bar("2024-01-03", adjusted_close=5000.0),
-        bar("2024-01-04", open=1e10, high=1e10, low=1e10, close=1e10, adjusted_close=1e10, volume=0.0),
+        bar("2024-01-04", volume=0.0, **dict.fromkeys("adjusted_close close open low high".split(), 1e10)),
     ]
     raw = spark.createDataFrame(rows, BAR)
     cleaned = P.clean(raw)
     events = P.quality_events(cleaned)
-    assert {r.reason_code for r in events.collect()} == {"ohlc_boundary_error", "adjusted_close_nonpositive", "adjustment_ratio_outlier", "zero_volume_scale_outlier"}
+    assert {r.reason_code for r in events.collect()} == set("ohlc_boundary_error adjustment_ratio_outlier adjusted_close_nonpositive zero_volume_scale_outlier".split())
     total = {r.reason_code: r for r in P.quality_summary(events).collect()}["all"]
     assert (total.affected_rows, total.excluded_model_rows) == (4, 3)
     first = cleaned.orderBy("trade_date").first()
@@ -138,9 +138,9 @@ def test_same_day_filings_are_one_whatever_their_order(spark):
 
 def test_ranks_confidence_and_qualitative_deltas(spark):
     who = spark.createDataFrame([(c, c, "s", "general") for c in ("1111", "2222", "3333")], "canonical_code string, company_name string, sector33_name string, model_group string")
-    px = spark.createDataFrame([("1111", 90.0, 80.0), ("2222", 20.0, 30.0), ("3333", None, None)], "canonical_code string, momentum_score double, risk_score double")
+    px = spark.createDataFrame([("1111", 91.0, 82.0), ("2222", 20.0, 30.0), ("3333", None, None)], "canonical_code string, momentum_score double, risk_score double")
     px = px.select(F.lit("2026-01-01").cast("date").alias("snapshot_date"), "*", F.lit("2026-01-01").cast("date").alias("price_date"), F.lit(1.0).alias("latest_close"))
-    values = [("1111", 10.0, 1.0, 0.2, 0.6, 0.2, 0.3, 0.3, 0.3, 0.1, 1.0), ("2222", 40.0, 5.0, 0.05, 0.2, 0.05, -0.1, -0.1, -0.1, -0.1, 1.0)]
+    values = [("1111", 11.0, 1.25, 0.2, 0.6, 0.2, 0.3, 0.3, 0.3, 0.1, 1.0), ("2222", 40.0, 5.0, 0.05, 0.2, 0.05, -0.1, -0.1, -0.1, -0.1, 1.0)]
     names = "per pbr roe equity_ratio operating_margin sales_yoy operating_profit_yoy eps_yoy forecast_eps_revision financial_completeness".split()
     fund = spark.createDataFrame(values, "canonical_code string, " + ", ".join(f"{c} double" for c in names)).withColumns({"snapshot_date": F.lit("2026-01-01").cast("date"), "disclosure_date": F.lit("2025-05-10").cast("date")})
     plain = {r.canonical_code: r for r in R.investment_ranks(who, px, fund).collect()}
@@ -229,7 +229,7 @@ def test_titles_codes_and_html(spark):
 
 
 def test_wide_download_becomes_long(spark):
-    cols = [f"{f} 7203.T" for f in ("Open", "High", "Low", "Close", "Adj Close", "Volume")]
+    cols = [f"{f} 7203.T" for f in "Open|High|Low|Close|Adj Close|Volume".split("|")]
     wide = spark.createDataFrame([(day("2026-01-05"), 1.0, 2.0, 0.5, 1.5, 1.4, 10.0), (day("2026-01-06"), 1.0, 2.0, 0.5, 1.5, 1.4, 10.0)], "Date date, " + ", ".join(f"`{c}` double" for c in cols))
     got = web.long_bars(wide, ["7203.T"]).collect()
     assert len(got) == 2 and got[0].canonical_code == "7203" and got[0].available_at == dt.datetime(2026, 1, 5, 6, 30)
