@@ -44,4 +44,5 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_gives_rows(spark, name):
-    assert catalog.QUERIES[name](spark, DATA).limit(1).count() == 1
+    # The smallest tables trade too sparsely for a single label.
+    assert catalog.QUERIES[name](spark, DATA.replace("sf0.001", "sf0.01")).limit(1).count() == 1
