@@ -10,7 +10,7 @@ ranked by their exact distances.
 Nothing is tuned by hand to a data set: r is ``contrast`` times the root mean square distance of two vectors (a
 statistic over all vectors), the width is ``slots`` times r, and the number of directions grows with the logarithm of
 the number of vectors, so that a bucket keeps about ``bucket`` of them. Vectors travel once per partition that they
-visit; the probing sequence of templates is one array for all queries.
+visit; perturbations are scored in pieces for all queries at once, and there is no limit on probes.
 
 Cases: vectors that are null, of another length than most, or not finite have no neighbours and are nobody's; an id's
 own rows are not its neighbours; ties go to the lesser id; with less than k others the list is shorter; equal rows count
@@ -39,7 +39,7 @@ TARGET = 0.97
 CONTRAST = 0.8
 SLOTS = 1.5
 BUCKET = 512
-MOST_TEMPLATES = 3**7
+PIECE = 3**7
 
 
 def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,23 +80,25 @@ class Hashing:
         self.b = (rng.random((tables, self.m)) * self.width).astype(np.float32)
         self.odd = rng.integers(1, 2**63, size=(tables, self.m), dtype=np.uint64) | np.uint64(1)
         self.each = 1 - (1 - target) ** (1 / tables)
-        self.steps = self._templates()
-
-    def _templates(self) -> np.ndarray:
-        """Perturbations as rows of -1, 0, 1: all of them if they are few, else those of few changes first."""
-        if 3**self.m <= MOST_TEMPLATES:
-            return np.array(list(itertools.product((0, -1, 1), repeat=self.m)), np.int8)
-        out: list[tuple[int, ...]] = [(0,) * self.m]
-        for changes in range(1, self.m + 1):
+
+    def templates(self) -> Iterator[np.ndarray]:
+        """All perturbations as rows of -1, 0, 1, in pieces: at once if they are few, else those of few changes first."""
+        if 3**self.m <= PIECE:
+            yield np.array(list(itertools.product((0, -1, 1), repeat=self.m)), np.int8)
+            return
+        rows: list[list[int]] = []
+        for changes in range(self.m + 1):
             for where in itertools.combinations(range(self.m), changes):
                 for signs in itertools.product((-1, 1), repeat=changes):
                     row = [0] * self.m
                     for i, s in zip(where, signs):
                         row[i] = s
-                    out.append(tuple(row))
-                    if len(out) >= MOST_TEMPLATES:
-                        return np.array(out, np.int8)
-        return np.array(out, np.int8)
+                    rows.append(row)
+                    if len(rows) == PIECE:
+                        yield np.array(rows, np.int8)
+                        rows = []
+        if rows:
+            yield np.array(rows, np.int8)
 
     def places(self, x: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
         y = (x @ self.a[table] + self.b[table]) / self.width
@@ -111,17 +113,26 @@ class Hashing:
         s = self.width / self.radius
         cdf = _normal_cdf(np.stack([-(inside + 1) * s, -inside * s, (1 - inside) * s, (2 - inside) * s]))
         log = np.log(np.maximum(np.stack([cdf[1] - cdf[0], cdf[2] - cdf[1], cdf[3] - cdf[2]]), 1e-12))
-        total = np.zeros((len(h), len(self.steps)), np.float32)
-        for i in range(self.m):
-            total += log[:, :, i].T[:, self.steps[:, i] + 1]
-        chance = np.exp(total)
-        order = np.argsort(-chance, axis=1, kind="stable")
-        reached = np.cumsum(np.take_along_axis(chance, order, 1), axis=1)
-        # The share of all that these templates can reach counts as 1.
-        enough = self.each * np.minimum(1.0, reached[:, -1:])
-        take = np.concatenate([np.ones((len(h), 1), bool), reached[:, :-1] < enough], axis=1)
-        q, at = np.nonzero(take)
-        return q, self.keys(h[q] + self.steps[order[q, at]], table)
+        # The share of what slots beside the query's own can reach counts as all.
+        enough = self.each * np.exp(np.logaddexp.reduce(log, axis=0).sum(axis=1))
+        have = np.zeros(len(h))
+        queries, keys, live = [], [], np.arange(len(h))
+        for steps in self.templates():
+            total = np.zeros((len(live), len(steps)), np.float32)
+            for i in range(self.m):
+                total += log[:, live, i].T[:, steps[:, i] + 1]
+            chance = np.exp(total)
+            order = np.argsort(-chance, axis=1, kind="stable")
+            reached = have[live, None] + np.cumsum(np.take_along_axis(chance, order, 1), axis=1)
+            before = np.concatenate([have[live, None], reached[:, :-1]], axis=1)
+            q, at = np.nonzero(before < enough[live, None])
+            queries.append(live[q])
+            keys.append(self.keys(h[live[q]] + steps[order[q, at]], table))
+            have[live] = reached[:, -1]
+            live = live[have[live] < enough[live]]
+            if not len(live):
+                break
+        return np.concatenate(queries), np.concatenate(keys)
 
 
 def _normal_cdf(x: np.ndarray) -> np.ndarray:
