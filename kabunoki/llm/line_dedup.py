@@ -1,15 +1,16 @@
 """Fuzzy deduplication of lines.
 
-A line is normalised to its words. The words fall into classes by their hash, and each class of a line has a SimHash: an
-edit of a few words touches a few classes and leaves the others' SimHashes equal, so by the pigeonhole principle lines
-that are alike agree on some block (8 classes for long lines; 4 classes and their pairs for short ones, where single
-classes say too little). Lines that agree on a block and have lengths that allow it are candidates; a candidate pair is
-verified by its edit distance over words, banded, for many pairs at once. Of each connected group of similar lines the
+A line is normalised to its words. If two lines are alike, the k edits between them leave at most k + 1 runs of the
+longer line's words, so by the pigeonhole principle some run is at least so long (``runs``). Every window of word n-grams
+that fills such a run gives its least n-gram (winnowing) as a block; a run that two lines share has a block that both
+have, whatever their length and wherever the edits are. Lines that agree on a block and have lengths that allow it are
+candidates; of these a pair is verified by its edit distance over words, banded, for many pairs at once, unless the
+parities of its words' counts already differ by more than the edits allow. Of each connected group of similar lines the
 first occurrence, by document id and line number, stays; the others are cut from their documents.
 
 Equal lines are collapsed before anything is compared, so a line that a million documents share is one line. Blocks
 travel as sorted differences by range of hash. A similarity of at least ``similarity`` means at most
-(1 - similarity) * (words of the longer) edits; lines of less than 10 words are alike only if equal, at 0.9.
+(1 - similarity) * (words of the longer) edits; two lines of less than 10 words are alike only if equal, at 0.9.
 
 Cases: lines without words stay and are compared to none; a document that loses all its words is dropped, one that had
 none stays; null texts and rows without id stay as they are; rows that share an id are edited alike; an empty table
@@ -32,10 +33,11 @@ from .ngram_join import _SENT, _distinct, _fields, _pairs_of_runs, _rows, bounds
 from .shared import documents, in_arrow, inner, release, width, written
 
 SIMILARITY = 0.9
-SHORT, LONG = 22, 27  # lines of SHORT words or more have long blocks, lines of less than LONG have short ones
+GRAM = 5  # words of a block's n-gram, or fewer where similar lines share fewer in a row
 BLOCK = 1_500_000
 _LINES = "kind int, line long, doc_id long, line_no int, words binary, ids binary"
 WORD_BYTES = 3
+PARITY = 512  # bits
 REMOVED = inner("removed")
 
 
@@ -60,47 +62,46 @@ def signatures(word: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.nda
     return C.mix64((total[first + count] - total[first]) * inverse[first] + count.astype(np.uint64))
 
 
-def _simhashes(word: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(group, how many distinct words, 64-bit SimHash over these) of each group of words. A word counts once, or a
-    frequent one alone would decide."""
-    e = group.astype(np.uint64) << np.uint64(32) | word >> np.uint64(32)
-    e.sort()
-    e = e[np.concatenate([[True], e[1:] != e[:-1]])]
-    g = (e >> np.uint64(32)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    n = np.diff(np.append(first, len(g)))
-    bits = np.unpackbits(C.mix64(e & np.uint64(0xFFFFFFFF)).view(np.uint8).reshape(-1, 8), axis=1)
-    ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-    return g[first], n, np.packbits(2 * ones > n[:, None], axis=1).view(np.uint64).ravel()
+def runs(most: int, similarity: float) -> np.ndarray:
+    """For lines of 0 .. ``most`` words: how many consecutive words they at least share with any similar line that isn't
+    shorter. Of the n words of the longer line the k = (1 - similarity) * n edits leave n - k, in at most k + 1 runs;
+    the least over this n and all greater ones, so that it ascends."""
+    n = np.arange(most + 1)
+    k = np.floor((1 - similarity) * n + 1e-9)
+    run = np.ceil((n - k) / (k + 1))
+    # similarity * n / ((1 - similarity) * n + 1) ascends and is no more than any run beyond.
+    run[-1] = min(run[-1], np.ceil(similarity * most / ((1 - similarity) * most + 1) - 1e-9))
+    return np.maximum(np.minimum.accumulate(run[::-1])[::-1], 1).astype(np.int64)
 
 
 def blocks(word: np.ndarray, first: np.ndarray, count: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(line, 48-bit block key)."""
+    """(line, 48-bit block key): the least n-gram hash of each window of n-grams that fills a shared run. A wider window
+    inside a run has its least in some narrower one inside it, so lines of different windows meet as well."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if similarity >= 1:
+        return none
+    least = int(np.ceil(1 / (1 - similarity) - 1e-9))
+    least -= int((1 - similarity) * least + 1e-9)  # a shorter line that the least with an edit may be alike to
+    which = np.flatnonzero(count >= least)
+    if not len(which):
+        return none
+    run = runs(max(1000, int(count.max())), similarity)
+    size = min(GRAM, int(run[least]))
+    gram, line = C.ngrams(word[C.ragged(first[which], count[which])], np.repeat(which, count[which]), size, len(count))
+    window = run[count] - size + 1
     lines, keys = [], []
-    least = int(np.floor(1 / (1 - similarity) + 1e-9)) if similarity < 1 else np.iinfo(np.int64).max
-    for classes, fits in ((8, count >= SHORT), (4, (count < LONG) & (count >= least))):
-        which = np.flatnonzero(fits & (count >= least))
-        if not len(which):
-            continue
-        w = word[C.ragged(first[which], count[which])]
-        line = np.repeat(which, count[which])
-        group, n, sim = _simhashes(w, line * classes + (w & np.uint64(classes - 1)).astype(np.int64))
-        at, c = group // classes, (group % classes).astype(np.uint64)
-        salt = np.uint64(classes << 8)
-        keep = n >= 3
-        lines.append(at[keep])
-        keys.append(C.mix64(sim[keep] ^ C.mix64(c[keep] + salt)))
-        if classes == 4:
-            table, size = np.zeros((len(word) and int(which[-1]) + 1, 4), np.uint64), np.zeros((int(which[-1]) + 1, 4), np.int64)
-            table[at, c.astype(np.int64)], size[at, c.astype(np.int64)] = C.mix64(sim + np.uint64(1)), n
-            for i in range(4):
-                for j in range(i + 1, 4):
-                    ok = which[(size[which, i] + size[which, j] >= 3)]
-                    lines.append(ok)
-                    keys.append(C.mix64(table[ok, i] * np.uint64(3) + table[ok, j] * np.uint64(5) + np.uint64(64 + 4 * i + j)))
-    if not lines:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(lines), np.concatenate(keys) >> np.uint64(16)
+    low, place = gram, line
+    for w in range(1, int(window[which].max()) + 1):
+        if w > 1:
+            low, place = np.minimum(low[:-1], gram[w - 1 :]), place[:-1]
+        full = np.flatnonzero((window[place] == w) & (place == line[w - 1 :]))
+        lines.append(place[full])
+        keys.append(low[full])
+    lines, keys = np.concatenate(lines), np.concatenate(keys) >> np.uint64(16)
+    # A least n-gram stays the least of neighbouring windows.
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])
+    return lines[new], keys[new]
 
 
 class _Block:
@@ -266,6 +267,15 @@ def edit_distances(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray,
     return out
 
 
+def parities(word: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Rows of PARITY bits: of the words that fall to a bit, whether the line has an odd number. An edit turns at most
+    two bits."""
+    bit = (C.mix64(word.astype(np.uint64)) % np.uint64(PARITY)).astype(np.int64)
+    out = np.zeros((len(n), PARITY // 64), np.uint64)
+    np.bitwise_xor.at(out, (np.repeat(np.arange(len(n)), n), bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out
+
+
 def _alike(similarity: float):
     def kernel(ids: np.ndarray, a: np.ndarray, b: np.ndarray, lines: pa.Table) -> pa.Table:
         parts = [x.as_py() for x in lines["words"]]
@@ -277,7 +287,10 @@ def _alike(similarity: float):
         longest = np.maximum(n[a], n[b])
         limit = np.floor((1 - similarity) * longest + 1e-9).astype(np.int64)
         good = np.zeros(len(a), bool)
-        order = np.lexsort((longest, limit))
+        odd = parities(word, n)
+        far = [np.bitwise_count(odd[a[i : i + 200_000]] ^ odd[b[i : i + 200_000]]).sum(axis=1, dtype=np.int64) for i in range(0, len(a), 200_000)]
+        order = np.flatnonzero(np.concatenate(far or [np.zeros(0, np.int64)]) <= 2 * limit)
+        order = order[np.lexsort((longest[order], limit[order]))]
         lo = 0
         while lo < len(order):
             k = int(limit[order[lo]])

@@ -340,6 +340,45 @@ def test_line_dedup_equals_brute_force(spark, docs):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def edited(rng, words, k, how):
+    """k edits, spread evenly or at random: substitutions, deletions or insertions of new words."""
+    at = [(2 * i + 1) * len(words) // (2 * k) for i in range(k)] if how != "random" else rng.sample(range(len(words)), k)
+    out = list(words)
+    for i in sorted(at, reverse=True):
+        kind = rng.choice(["change", "delete", "insert"]) if how == "random" else how
+        out[i : i + (kind != "insert")] = [] if kind == "delete" else [f"new{rng.randrange(10**9)}"]
+    return out
+
+
+def test_line_blocks_meet_with_every_edit_allowed():
+    rng = random.Random(5)
+    texts, pairs = [], []
+    for n in (*range(10, 42), 60, 80, 99, 100, 150, 200, 350, 500):
+        for how in ("change", "delete", "insert", "random", "random"):
+            w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            k = (n - 1) // 10 if how == "insert" else n // 10
+            v = edited(rng, w, k, how) if k else w
+            if edits(w, v) <= int(0.1 * max(len(w), len(v)) + 1e-9):
+                pairs.append((len(texts), len(texts) + 1))
+                texts += [" ".join(w), " ".join(v)]
+    word, first, count, text, _ = line_dedup.lines_of(pa.array(texts))
+    assert (text == np.arange(len(texts))).all() and len(pairs) > 150
+    has = collections.defaultdict(set)
+    for line, key in zip(*(x.tolist() for x in line_dedup.blocks(word, first, count, 0.9))):
+        has[line].add(key)
+    assert [p for p in pairs if not has[p[0]] & has[p[1]]] == []
+
+
+def test_long_lines_with_every_edit_allowed_are_found(spark):
+    rng = random.Random(6)
+    rows = []
+    for i, n in enumerate((60, 80, 100, 150, 200, 500) * 3):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(edited(rng, w, n // 10, "change")))]
+    got = {(r.doc_id, r.line_no) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2 * i + 1, 0) for i in range(18)}
+
+
 def test_banded_edit_distances():
     rng = np.random.default_rng(0)
     for _ in range(300):
