@@ -85,13 +85,16 @@ DETECTORS: list[tuple[str, re.Pattern[str], int]] = [
     ("NUMBER", re.compile(r"(?<![\w])\d{9,19}(?!\w)"), 0),
 ]
 
-_LOOSE = _WORD.replace("(?:", "(?:", 1)
+#: RE2's \s, \d and - are narrower than Python's over homoglyphs: all white space, hyphens that become "-", all digits.
+_S, _H, _D = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}", r"\-‐‑–", r"\p{Nd}"
+_APART = rf"[{_S}().{_H}]{{0,3}}"
 #: RE2: true of every text on which a transducer or a detector could act.
 TRIGGER = (
-    r"(?i)@|\d[\s().\-]{0,3}\d[\s().\-]{0,3}\d[\s().\-]{0,3}\d|[0-9a-f]{4}:[0-9a-f]{1,4}:|(?:\d{1,3}\.){3}\d|[0-9a-f]{32}|token|secret|key|passw|pwd|bearer|gh[pousr]_|sk-|xox|eyj|private"
-    rf"|[\[({{<]\s*(?:{_AT_WORDS}|{_DOT_WORDS}|\.)\s*[\])}}>]|\s(?:{_AT_WORDS})\s+\S+\s+(?:{_DOT_WORDS})\s"
-    rf"|(?:{_LOOSE}|\d+)(?:[\s,.\-]{{1,3}}(?:{_LOOSE}|\d+)){{4}}"
-    "|[" + "".join(sorted({c for c in HOMOGLYPHS if c not in "–‐‑ "})) + "]"
+    rf"(?i)@|{_D}{_APART}{_D}{_APART}{_D}{_APART}{_D}|(?:[0-9a-f]{{1,4}}:){{7}}|(?:{_D}{{1,3}}\.){{3}}{_D}|[0-9a-f]{{32}}|token|secret|key|passw|pwd|bearer|akia|gh[pousr]_|sk[{_H}]|xox|eyj|private"
+    rf"|[A-Z]{{2}}{_D}{{2}}(?:[{_S}]?[A-Z0-9]{{4}}){{3}}"
+    rf"|[\[({{<][{_S}]*(?:{_AT_WORDS}|{_DOT_WORDS}|\.)[{_S}]*[\])}}>]|[{_S}](?:{_AT_WORDS})[{_S}]+\S+[{_S}]+(?:{_DOT_WORDS})[{_S}]"
+    rf"|(?:{_WORD}|{_D}+)(?:[{_S},.{_H}]{{1,3}}(?:{_WORD}|{_D}+)){{4}}"
+    "|[ıİ" + "".join(sorted({c for c in HOMOGLYPHS if c not in "–‐‑\xa0"})) + "]"
 )
 
 

@@ -116,6 +116,20 @@ def test_pii_spans_map_back_to_the_source(spark):
         assert got == spans, "".join(parts)
 
 
+def test_pii_trigger_holds_for_every_text_with_findings():
+    shown = [
+        "+33 6 12 34 56 78", "john at mail dot com", "john (at) mail dot com", "555-123-4567", "123-45-6789", "4111 1111 1111 1111", "XX12 ABCD EFGH IJKL", "1:2:3:4:5:6:7:8", "AKIA" + "Q" * 16,
+        "sk-" + "z" * 20, "nine eight seven six five four three two one", "nine, eight - 7 six five four three two one", "+1 (234) 555-1234",
+    ]
+    spaces = [" ", *(chr(c) for c in range(0x80, 0x3001) if re.match(r"\s", chr(c))), "\x0b", "\x1c"]
+    texts = [t.replace(" ", s).replace("-", h) for t in shown for s in spaces for h in "-‐‑–"] + ["call ๐๑๒๓๔๕๖๗๘๙ now"]
+    trigger = pa.compute.match_substring_regex(pa.array(texts), pii.TRIGGER).to_pylist()
+    assert [t for t, on in zip(texts, trigger) if not on and pii.find(t)] == []
+    assert all(pii.find(t) for t in (*shown, "+33\xa06\xa012\xa034\xa056\xa078", "+33‑6‑12‑34‑56‑78", "john\xa0at\xa0mail\xa0dot\xa0com"))
+    (out,) = pii.redact_batch(pa.array(["tel. +33\u202f6\u202f12\u202f34\u202f56\u202f78."]))[0].to_pylist()
+    assert out == "tel. [PHONE]."
+
+
 def test_pii_keeps_rows_and_columns(spark, docs):
     out = pii.deobfuscate(docs, findings="findings")
     assert out.columns == [*docs.columns, "findings"] and out.count() == docs.count()
