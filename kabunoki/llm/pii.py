@@ -4,7 +4,9 @@ Three transducers run one after the other. Each rewrites its matches and keeps,
 of source characters it came from:
   1. homoglyphs: full-width forms, mathematical letters, Cyrillic and Greek look-alikes, foreign digits; invisible
      characters vanish;
-  2. spelled digits: runs of at least five digit words (English, French, German, Spanish), digits among them;
+  2. spelled digits: runs of at least five digit words (English, French, German, Spanish), digits among them; of 7
+     digits and more, however many, each is a finding of its own. Runs that meet over commas, full stops and line breaks
+     stay apart if each has 7 digits;
   3. at and dot: "[at]", "(dot)", and " at " before a domain whose dots are spelled.
 Detectors then run on the normalised text, and their spans are carried back to the source, where each is replaced by its
 kind in brackets; everything else stays as it was, character for character.
@@ -58,6 +60,8 @@ _GLYPHS = re.compile("[" + re.escape("".join(HOMOGLYPHS)) + "]")
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(rf"(?<!\w)(?:{_WORD}|\d+)(?:(?:[\s,.\-]{{1,3}})(?:{_WORD}|\d+))*(?!\w)", re.I)
 _TOKEN = re.compile(r"\d+|[^\W\d_]+")
+_BREAK = re.compile(r"[\s,.\-]*[,.\n\r][\s,.\-]*")
+LEAST_DIGITS = 7
 _AT_WORDS, _DOT_WORDS = "at|arroba|arobase|chez|ät", "dot|punkt|punto|point"
 _DOT_ANY = rf"(?:\s+(?:{_DOT_WORDS})\s+|\s*[\[({{<]\s*(?:{_DOT_WORDS}|\.)\s*[\])}}>]\s*)"
 _TLD = "com|org|net|edu|gov|mil|info|biz|dev|app|example|test|io|ai|co|me|eu|uk|us|ca|au|de|fr|es|it|nl|ch|be|pt|pl|se|jp|br|ru|cn|kr|mx"
@@ -105,6 +109,7 @@ class Tape:
         self.text = text
         self.start = np.arange(len(text), dtype=np.int64)
         self.end = self.start + 1
+        self.spelled: list[tuple[int, int]] = []  # source spans
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace the spans (from, to, by) of the present text; they ascend and don't overlap."""
@@ -124,14 +129,19 @@ class Tape:
         return int(self.start[a]), int(self.end[b - 1])
 
 
+def _digits(run: str) -> str:
+    return "".join(DIGIT_WORDS.get(t.lower(), t) for t in _TOKEN.findall(run))
+
+
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _SPELLED.finditer(text):
         tokens = _TOKEN.findall(m[0])
         words = [t for t in tokens if not t.isdigit()]
-        digits = "".join(DIGIT_WORDS.get(t.lower(), t) for t in tokens)
-        if len(tokens) >= 5 and len(words) >= 2 and len(digits) >= 7:
-            out.append((m.start(), m.end(), digits))
+        if len(tokens) >= 5 and len(words) >= 2 and len(_digits(m[0])) >= LEAST_DIGITS:
+            at = [m.start(), *(m.start() + k for b in _BREAK.finditer(m[0]) for k in b.span()), m.end()]
+            parts = [(a, b, _digits(text[a:b])) for a, b in zip(at[::2], at[1::2])]
+            out += parts if all(len(d) >= LEAST_DIGITS for _, _, d in parts) else [(m.start(), m.end(), _digits(m[0]))]
     return out
 
 
@@ -139,7 +149,9 @@ def normalise(text: str) -> Tape:
     tape = Tape(text)
     if not text.isascii():
         tape.rewrite([(m.start(), m.end(), HOMOGLYPHS[m[0]]) for m in _GLYPHS.finditer(text)])
-    tape.rewrite(_spelled(tape.text))
+    edits = _spelled(tape.text)
+    tape.spelled = [tape.source(a, b) for a, b, _ in edits]
+    tape.rewrite(edits)
     tape.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(tape.text)])
     if "@" in tape.text:
         tape.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(tape.text)])
@@ -154,6 +166,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         for m in pattern.finditer(tape.text):
             a, b = m.span(group)
             hits.append((*tape.source(a, b), kind))
+    hits += [(a, b, "NUMBER") for a, b in tape.spelled]
     hits.sort(key=lambda h: (h[0], -h[1]))
     out: list[tuple[int, int, str]] = []
     for h in hits:

@@ -130,6 +130,16 @@ def test_pii_trigger_holds_for_every_text_with_findings():
     assert out == "tel. [PHONE]."
 
 
+def test_pii_spelled_numbers_of_any_length():
+    ten = "two one two five five five one two three four"
+    assert pii.redact("call five five five one two three four")[0] == "call [NUMBER]"
+    assert pii.redact("call five five five one two three four five, please")[0] == "call [NUMBER], please"
+    assert pii.redact(f"{ten}\n{ten}\nend")[0] == "[NUMBER]\n[NUMBER]\nend"
+    assert pii.redact(f"home {ten}, work {ten}, {ten}. Done")[0] == "home [NUMBER], work [NUMBER], [NUMBER]. Done"
+    assert pii.redact(f"{ten} {ten} {ten}")[0] == "[NUMBER]"
+    assert pii.redact("one two three four five six")[0] == "one two three four five six"
+
+
 def test_pii_keeps_rows_and_columns(spark, docs):
     out = pii.deobfuscate(docs, findings="findings")
     assert out.columns == [*docs.columns, "findings"] and out.count() == docs.count()
