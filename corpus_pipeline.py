@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kabunoki.llm import langid, line_dedup, ngram_join, packing, pii
+from kabunoki.llm import bpe, langid, line_dedup, ngram_join, packing, pii
 from kabunoki.llm.shared import written
 
 
@@ -39,7 +39,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents, cut where they are too long, are assigned to training sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, automaton=bpe.load())
 
 
 STAGES = [("language ID", languages), ("line dedup", lines), ("n-gram Jaccard join", near_copies), ("PII", private), ("packing", pack)]

@@ -296,6 +296,16 @@ class Automaton:
         every = count[back]
         return tokens[C.ragged(begin[back], every)], np.bincount(text, every, len(texts)).astype(np.int64)
 
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """How many tokens each text has."""
+        raw, off = C.buffers(texts)
+        start, text = self.split(raw, off)
+        if not len(start):
+            return np.zeros(len(texts), np.int64)
+        end = np.append(start[1:], len(raw))
+        _, which, back = np.unique(C.span_hashes(raw, start, end), return_index=True, return_inverse=True)
+        return np.bincount(text, self.encode_words(raw, start[which], end[which])[1][back], len(texts)).astype(np.int64)
+
     def decode(self, tokens: np.ndarray, count: np.ndarray) -> list[str]:
         """The texts whose tokens follow each other, so many for each."""
         size = self.size[tokens]

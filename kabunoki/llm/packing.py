@@ -1,6 +1,7 @@
 """Packing documents into training sequences as a cutting-stock problem, solved by column generation.
 
-A sequence holds ``capacity`` tokens. A document longer than that is cut: its full pieces are sequences of their own and
+A document's length is the number of tokens that an automaton of ``bpe`` writes for it; without one it is only estimated,
+by bytes. A sequence holds ``capacity`` tokens. A document longer than that is cut: its full pieces are sequences of their own and
 only the rest is packed. Rests are counted by length class (a histogram of bounded size, whatever the corpus); the
 driver solves the linear program over that histogram: minimise the number of sequences, one variable per pattern (how
 many rests of each class share a sequence). Columns are priced by an unbounded knapsack over the dual prices until none
@@ -13,13 +14,18 @@ each; an empty table gives an empty result; columns other than the id and the te
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .shared import documents, text_bytes, width, written
+from . import bpe
+from . import columnar as C
+from .shared import documents, in_arrow, text_bytes, width, written
 
 CAPACITY = 2048
 CLASSES = 256
@@ -117,19 +123,31 @@ def plan(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.
     return out
 
 
-def pieces(docs: DataFrame, capacity: int, bytes_per_token: float, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, n): a document's token count, ceil(UTF-8 bytes / bytes_per_token)."""
-    n = F.ceil(text_bytes(text_col) / F.lit(float(bytes_per_token))).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n")).where(F.col("n") > 0)
+def pieces(docs: DataFrame, bytes_per_token: float, automaton: bpe.Automaton | None, id_col: str, text_col: str) -> DataFrame:
+    """Rows (doc_id, n): a document's token count; without an automaton ceil(UTF-8 bytes / bytes_per_token)."""
+    if automaton is None:
+        n = F.ceil(text_bytes(text_col) / F.lit(float(bytes_per_token))).cast("long")
+        return docs.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n")).where(F.col("n") > 0)
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = shared.value
+        for b in batches:
+            for at, some in C.chunks(b.column(1), 2 << 20):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), pa.array(machine.count(some))], names=["doc_id", "n"])
+
+    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n long").where(F.col("n") > 0)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES, bytes_per_token: float = BYTES_PER_TOKEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES, bytes_per_token: float = BYTES_PER_TOKEN, id_col: str = "doc_id", text_col: str = "text", automaton: bpe.Automaton | None = None
+) -> DataFrame:
     """One row per piece of a document: where it starts, how long it is, and the sequence that holds it."""
     spark = docs.sparkSession
     step = -(-capacity // classes)
     if capacity % step:
         raise ValueError("classes must divide capacity")
-    base = written(pieces(docs, capacity, bytes_per_token, id_col, text_col), "packing-lengths")
+    base = written(pieces(docs, bytes_per_token, automaton, id_col, text_col), "packing-lengths")
     rest = F.pmod("n", F.lit(capacity))
     full = base.where(F.col("n") >= capacity).select(
         "doc_id",
@@ -172,4 +190,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES, byte
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir))
+    return pack(documents(spark, sf_dir), automaton=bpe.load())

@@ -432,6 +432,19 @@ def test_packing_holds_all_tokens_within_capacity(spark, docs):
     assert packing.pack(empty(spark)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(bpe.VOCABULARY), reason="needs the vocabulary file")
+def test_packing_counts_real_tokens(spark, docs):
+    machine = bpe.load()
+    want = collections.Counter()
+    for r in docs.collect():
+        want[r.doc_id] += len(machine.encode(pa.array([r.text or ""]))[0])
+    got, load = collections.Counter(), collections.Counter()
+    for r in packing.pack(docs, capacity=64, classes=64, automaton=machine).collect():
+        got[r.doc_id] += r.n_tokens
+        load[(r.sequence_kind, r.sequence_id)] += r.n_tokens
+    assert got == +want and max(load.values()) <= 64
+
+
 def test_cutting_stock_reaches_the_bound():
     rng = np.random.default_rng(0)
     sizes = np.arange(1, 33)
