@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import columnar as C
-from .shared import in_arrow
+from .shared import in_arrow, written
 from .shared import width as partitions
 
 SCHEMA = "vec_id long, rank int, neighbour_id long, distance double"
@@ -177,6 +177,27 @@ def _send(batches: Iterator[pa.RecordBatch], hashing: Hashing, dims: int, parts:
             yield pa.record_batch({"part": pa.array(out.pop("part"), pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
 
 
+def _nearest_of_each(d: np.ndarray, some: np.ndarray, ids: np.ndarray, near: np.ndarray, best: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, rows) of the nearest vector of each id among ``some``, which ascend by id. What is farther than the
+    same id's row in the lists that the queries ``q`` have so far is infinite here, and what is nearer replaces it there."""
+    first = np.flatnonzero(np.concatenate([[True], ids[some][1:] != ids[some][:-1]]))
+    names = np.broadcast_to(some[first], (len(d), len(first)))
+    if len(first) < len(some):
+        names, all_of = names.copy(), d
+        d = np.minimum.reduceat(d, first, axis=1)
+        for g in np.flatnonzero(np.diff(np.append(first, len(some))) > 1):
+            end = first[g + 1] if g + 1 < len(first) else len(some)
+            names[:, g] = some[first[g] + all_of[:, first[g] : end].argmin(axis=1)]
+    own = ids[some[first]]
+    at = np.minimum(np.searchsorted(own, ids[near]), len(own) - 1)
+    row, col = np.nonzero((near >= 0) & (own[at] == ids[near]))
+    g, had = at[row, col], best[q[row], col]
+    nearer = d[row, g] < had
+    best[q[row[nearer]], col[nearer]] = np.inf
+    d[row[~nearer], g[~nearer]] = np.inf
+    return d, names
+
+
 def _search(batches: Iterator[pa.RecordBatch], dims: int, k: int) -> Iterator[pa.RecordBatch]:
     ids, vectors, member, key, query, bucket, base = [], [], [], [], [], [], 0
     for b in batches:
@@ -197,7 +218,10 @@ def _search(batches: Iterator[pa.RecordBatch], dims: int, k: int) -> Iterator[pa
     near = np.full((len(ids), k), -1, np.int64)
     square = np.einsum("ij,ij->i", x, x)
     mine = np.flatnonzero(member)
-    mine = mine[np.argsort(key[mine], kind="stable")]
+    _, rows = np.unique(ids[mine], return_counts=True)
+    several = bool((rows > 1).any())  # vectors of one id
+    # By bucket and, within it, id.
+    mine = mine[np.lexsort((ids[mine], key[mine]))]
     order = np.argsort(bucket, kind="stable")
     query, bucket = query[order], bucket[order]
     for b in np.unique(key[mine]):
@@ -209,14 +233,17 @@ def _search(batches: Iterator[pa.RecordBatch], dims: int, k: int) -> Iterator[pa
                 q = asked[at : at + 1024]
                 d = square[q][:, None] + square[some][None, :] - 2 * (x[q] @ x[some].T)
                 d[ids[q][:, None] == ids[some][None, :]] = np.inf
+                names = np.broadcast_to(some, d.shape)
+                if several:
+                    d, names = _nearest_of_each(d, some, ids, near[q], best, q)
                 both = np.concatenate([best[q], d], axis=1)
-                names = np.concatenate([near[q], np.broadcast_to(some, d.shape)], axis=1)
-                # A neighbour that another row of the same id has given already may come again; k more than needed are
-                # never dropped for it, as equal ids are merged at the end.
+                names = np.concatenate([near[q], names], axis=1)
                 top = np.argpartition(both, k - 1, axis=1)[:, :k]
                 best[q], near[q] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
     q, at = np.nonzero(near >= 0)
     n = near[q, at]
+    other = ids[q] != ids[n]
+    q, n = q[other], n[other]
     exact = np.concatenate([np.sqrt(((x[q[i : i + 200_000]].astype(np.float64) - x[n[i : i + 200_000]]) ** 2).sum(axis=1)) for i in range(0, len(q), 200_000)] or [np.zeros(0)])
     for i in range(0, len(q), 200_000):
         yield pa.record_batch({"vec_id": ids[q[i : i + 200_000]], "neighbour_id": ids[n[i : i + 200_000]], "distance": exact[i : i + 200_000]})
@@ -248,6 +275,8 @@ def neighbours(
     """The k nearest of each vector, with distances; each vector is a query."""
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    # Equal rows of an id would take each other's places in the lists.
+    base = written(base.dropDuplicates(["vec_id", "embedding"]), "vectors")
     count, dims, spread = statistics(base, "embedding")
     if not count:
         return spark.createDataFrame([], SCHEMA)

@@ -169,6 +169,22 @@ def test_ann_recall_and_odd_vectors(spark):
     assert sorted((r.vec_id, r.rank, r.neighbour_id, r.distance) for r in ann.neighbours(few).collect()) == [(1, 1, 2, 5.0), (1, 2, 3, 5.0), (2, 1, 3, 0.0), (2, 2, 1, 5.0), (3, 1, 2, 0.0), (3, 2, 1, 5.0)]
 
 
+@pytest.mark.parametrize("times, shift", [(2, 0), (12, 0), (12, 0.001)])
+def test_ann_rows_that_repeat_take_no_places(spark, times, shift):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(10, 1, 16)) + 0.2 * rng.normal(size=(10, 30, 16))]).reshape(-1, 16).astype(np.float32)
+    rows = [(i, (v + np.float32(shift * j)).tolist()) for j in range(times) for i, v in enumerate(x)]
+    by = collections.defaultdict(list)
+    for r in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5).collect():
+        by[r.vec_id].append((r.rank, r.neighbour_id))
+    # The distance of two ids is that of their nearest vectors.
+    d = np.min([((x[:, None, :] - x[None] + np.float32(shift * j)) ** 2).sum(-1) for j in range(1 - times, times)], axis=0)
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1)[:, :5]
+    assert all(sorted(k for k, _ in by[i]) == [1, 2, 3, 4, 5] and len({n for _, n in by[i]} - {i}) == 5 for i in range(len(x)))
+    assert np.mean([len({n for _, n in by[i]} & set(want[i].tolist())) / 5 for i in range(len(x))]) >= 0.9
+
+
 # 4. languages
 
 
