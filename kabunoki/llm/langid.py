@@ -32,7 +32,6 @@ BITS = 16
 PER_LANGUAGE = 1500
 PENALTY = 3.0
 STEPS = 8
-MOST_LANGUAGES = 4
 SCHEMA = "doc_id long, languages array<string>, shares array<double>, language string, unknown_share double, rejected boolean"
 
 
@@ -107,7 +106,7 @@ def infer(texts: pa.Array, table: np.ndarray, penalty: float = PENALTY, steps: i
     pi, _ = _em(p, np.full((len(have), k), 1 / k, np.float32), first, doc, count, steps)
     rank = np.argsort(np.argsort(-pi, axis=1, kind="stable"), axis=1)
     best, chosen = np.full(len(have), -np.inf), pi
-    for size in range(1, min(k, MOST_LANGUAGES) + 1):
+    for size in range(1, k + 1):
         some = np.where(rank < size, np.maximum(pi, 1e-6), 0)
         some, ll = _em(p, (some / some.sum(axis=1, keepdims=True)).astype(np.float32), first, doc, count, 2 if size > 1 else 0)
         score = ll - penalty * size * np.log1p(count)

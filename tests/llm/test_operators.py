@@ -206,6 +206,15 @@ def test_languages_held_out_mixtures_and_rejections(spark):
     assert langid.identify(odd.limit(0), model).count() == 0
 
 
+def test_languages_of_a_text_are_not_limited_in_number():
+    rng = random.Random(2)
+    letters = {name: "abcdefghijklmnopqrstuvwxyz"[5 * i : 5 * i + 5] for i, name in enumerate("vwxyz")}
+    text = {name: " ".join("".join(rng.choices(x, k=5)) for _ in range(400)) for name, x in letters.items()}
+    names, table = langid.fit({name: pa.array([t]) for name, t in text.items()})
+    (shares,), _ = langid.infer(pa.array([" ".join(text.values())]), table)
+    assert names == list("vwxyz") and all(0.15 < s < 0.25 for s in shares[:5])
+
+
 # 5. byte-pair encoding
 
 
