@@ -11,12 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window as W
 
 from . import columnar as C
-from .shared import ship, width, written
-
-BROADCAST_ROWS = 2_000_000
+from .shared import if_small, ship, width, written
 
 
 def buckets(spark: SparkSession) -> int:
@@ -78,9 +75,8 @@ def verify(cells: DataFrame, payload: DataFrame, kernel: Callable[[np.ndarray, n
                 yield pa.record_batch({"id": x, "cell": np.full(len(x), cell.as_py(), np.int32)})
 
     wanted = written(cells.select("cell", "ids").mapInArrow(named, "id long, cell int").groupBy("id").agg(F.collect_set("cell").alias("cells")), "cells-wanted")
-    if wanted.count() <= BROADCAST_ROWS:  # then rows without a partner aren't shuffled
-        wanted = F.broadcast(wanted)
-    sent = payload.join(wanted, "id").select(F.explode("cells").alias("cell"), *payload.columns)
+    # If broadcast, rows without a partner aren't shuffled.
+    sent = payload.join(if_small(wanted, F.size("cells")), "id").select(F.explode("cells").alias("cell"), *payload.columns)
 
     nothing = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
@@ -115,16 +111,22 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of an edge list (a, b) of integers; root is the least node that it is connected to.
 
     Alternating large-star and small-star contractions (Kiveris et al., 2014): a number of rounds that grows with the
-    logarithm of the longest chain, each two groupings by node; every round is a written table.
+    logarithm of the longest chain, each two groupings by node; every round is a written table. The least neighbour is
+    an aggregate joined back, so no task holds the edges of a node with many.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
         both = e.union(e.select("b", "a"))
-        least = F.least(F.col("a"), F.min("b").over(W.partitionBy("a")))
-        large = both.withColumn("m", least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).withColumn("m", F.min("b").over(W.partitionBy("a")))
-        small = down.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        lowest = down.groupBy("a").agg(F.min("b").alias("m"))
+        small = (
+            down.join(lowest, "a")
+            .select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
+            .select("x.a", "x.b").where("a <> b").distinct()
+        )
         e = written(small, "edges")
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == (now["n"], now["h"]):

@@ -1,24 +1,32 @@
 """Fuzzy deduplication of lines.
 
-A line is normalised to its words. If two lines are alike, the k edits between them leave at most k + 1 runs of the
-longer line's words, so by the pigeonhole principle some run is at least so long (``runs``). Every window of word n-grams
-that fills such a run gives its least n-gram (winnowing) as a block; a run that two lines share has a block that both
-have, whatever their length and wherever the edits are. Lines that agree on a block and have lengths that allow it are
-candidates; of these a pair is verified by its edit distance over words, banded, for many pairs at once, unless the
-parities of its words' counts already differ by more than the edits allow. Of each connected group of similar lines the
-first occurrence, by document id and line number, stays; the others are cut from their documents.
+A line is normalised to its words. The distinct words are dealt by hash to 2k + 1 classes, or a few more, where k is the
+number of edits that similar lines of that length may have; each class has a SimHash over its words, and these are the
+line's blocks. An edit touches two classes at most, so by the pigeonhole principle similar lines keep a class in which
+all words are equal, and agree on its SimHash, wherever the edits are. A class of too few words or bytes to tell lines
+apart is extended by the classes after it; lines of less than 30 words, whose classes are all so small, have their pairs of
+classes as blocks. Of many classes the first POSTED suffice: every one of them survives with a chance of about 0.4. Lines
+that agree on a block and have lengths that allow it are candidates; of these a pair is verified by its edit distance over words,
+banded, for many pairs at once, unless the parities of its words' counts already differ by more than the edits allow. Of
+each connected group of similar lines the first occurrence, by document id and line number, stays; the others are cut
+from their documents.
 
 Equal lines are collapsed before anything is compared, so a line that a million documents share is one line. Blocks
 travel as sorted differences by range of hash. A similarity of at least ``similarity`` means at most
-(1 - similarity) * (words of the longer) edits; two lines of less than 10 words are alike only if equal, at 0.9.
+(1 - similarity) * (words of the longer) edits; two lines of less than 10 words are alike only if equal, at 0.9. Lines are
+named by 64-bit hashes of their words: among n different lines about n * n / 2**65 pairs share a name by chance (one among
+6 * 10**9 lines), and of such a pair one line would be cut. Words are compared by 24 bits.
 
 Cases: lines without words stay and are compared to none; a document that loses all its words is dropped, one that had
-none stays; null texts and rows without id stay as they are; rows that share an id are edited alike; an empty table
-gives an empty result; other columns stay as they are.
+none stays; null texts and rows without id stay as they are; rows that share an id are edited alike; equally early
+occurrences of a line (in rows that share an id) are one; a very long line has at most twice POSTED blocks and is compared
+whole; a run of Chinese, Japanese or Thai letters is one word, so lines of such scripts are alike only where they have
+spaces or punctuation; an empty table gives an empty result; other columns stay as they are.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,21 +36,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import columnar as C
-from .graph import BROADCAST_ROWS, buckets, by_cell, components, forest, verify
+from .graph import buckets, by_cell, components, forest, verify
 from .ngram_join import _SENT, _distinct, _fields, _pairs_of_runs, _rows, bounds, planes, unplanes
-from .shared import documents, in_arrow, inner, release, width, written
+from .shared import documents, if_small, in_arrow, inner, release, width, written
 
 SIMILARITY = 0.9
-GRAM = 5  # words of a block's n-gram, or fewer where similar lines share fewer in a row
+POSTED = 12  # classes of a line that are blocks
+SPARE = 4  # classes by which one may be extended
+PAIRED = 2  # levels of lines so short that pairs of classes are blocks
+#: Edits that similar lines may have, by level; all lines of a level have as many classes.
+LEVELS = np.unique(np.concatenate([np.arange(1, 7), np.floor(8 * 1.28 ** np.arange(70))])).astype(np.int64)
 BLOCK = 1_500_000
 _LINES = "kind int, line long, doc_id long, line_no int, words binary, ids binary"
 WORD_BYTES = 3
 PARITY = 512  # bits
 REMOVED = inner("removed")
+WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]")
 
 
 def lines_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """(word hashes, first word of each line, words in each line, each line's text, its number in its text)."""
+    """(word hashes, first word of each line, words in each line, each line's text, its number in its text, bytes of each
+    word)."""
     raw, off = C.buffers(C.lower(texts))
     start, end, text = C.words(raw, off)
     breaks = np.flatnonzero(raw == 10)
@@ -51,7 +65,7 @@ def lines_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
     new = np.ones(len(start), bool)
     new[1:] = (before[1:] != before[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
-    return C.span_hashes(raw, start, end), first, np.diff(np.append(first, len(start))), text[first], number[first]
+    return C.span_hashes(raw, start, end), first, np.diff(np.append(first, len(start))), text[first], number[first], end - start
 
 
 def signatures(word: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -62,46 +76,80 @@ def signatures(word: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.nda
     return C.mix64((total[first + count] - total[first]) * inverse[first] + count.astype(np.uint64))
 
 
-def runs(most: int, similarity: float) -> np.ndarray:
-    """For lines of 0 .. ``most`` words: how many consecutive words they at least share with any similar line that isn't
-    shorter. Of the n words of the longer line the k = (1 - similarity) * n edits leave n - k, in at most k + 1 runs;
-    the least over this n and all greater ones, so that it ascends."""
-    n = np.arange(most + 1)
-    k = np.floor((1 - similarity) * n + 1e-9)
-    run = np.ceil((n - k) / (k + 1))
-    # similarity * n / ((1 - similarity) * n + 1) ascends and is no more than any run beyond.
-    run[-1] = min(run[-1], np.ceil(similarity * most / ((1 - similarity) * most + 1) - 1e-9))
-    return np.maximum(np.minimum.accumulate(run[::-1])[::-1], 1).astype(np.int64)
-
-
-def blocks(word: np.ndarray, first: np.ndarray, count: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(line, 48-bit block key): the least n-gram hash of each window of n-grams that fills a shared run. A wider window
-    inside a run has its least in some narrower one inside it, so lines of different windows meet as well."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if similarity >= 1:
-        return none
-    least = int(np.ceil(1 / (1 - similarity) - 1e-9))
-    least -= int((1 - similarity) * least + 1e-9)  # a shorter line that the least with an edit may be alike to
-    which = np.flatnonzero(count >= least)
-    if not len(which):
-        return none
-    run = runs(max(1000, int(count.max())), similarity)
-    size = min(GRAM, int(run[least]))
-    gram, line = C.ngrams(word[C.ragged(first[which], count[which])], np.repeat(which, count[which]), size, len(count))
-    window = run[count] - size + 1
-    lines, keys = [], []
-    low, place = gram, line
-    for w in range(1, int(window[which].max()) + 1):
-        if w > 1:
-            low, place = np.minimum(low[:-1], gram[w - 1 :]), place[:-1]
-        full = np.flatnonzero((window[place] == w) & (place == line[w - 1 :]))
-        lines.append(place[full])
-        keys.append(low[full])
-    lines, keys = np.concatenate(lines), np.concatenate(keys) >> np.uint64(16)
-    # A least n-gram stays the least of neighbouring windows.
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])
-    return lines[new], keys[new]
+def blocks(word: np.ndarray, first: np.ndarray, count: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(line, 48-bit block key). A line has the blocks of each level that it may share with a similar line."""
+    lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    edits = lambda n: np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
+    most = edits(np.floor(count / similarity + 1e-9))
+    low, high = np.searchsorted(LEVELS, np.maximum(edits(count), 1)), np.searchsorted(LEVELS, most)
+    for step in range(int((high - low)[most > 0].max(initial=-1)) + 1):
+        which = np.flatnonzero((most > 0) & (low + step <= high))
+        at = C.ragged(first[which], count[which])
+        some = _Classes(word[at], size[at], count[which], (low + step)[which])
+        for line, key in some.blocks():
+            lines.append(which[line])
+            keys.append(key)
+    return np.concatenate(lines), np.concatenate(keys) >> np.uint64(16)
+
+
+class _Classes:
+    """The distinct words of lines, sorted by line and class, with running sums of the counters of their SimHashes."""
+
+    COLUMNS = POSTED + SPARE
+
+    def __init__(self, word: np.ndarray, size: np.ndarray, count: np.ndarray, level: np.ndarray):
+        self.level, self.paired = level, level < PAIRED
+        self.classes = 2 * LEVELS[level] + 1 + self.paired
+        h = C.mix64(word)
+        own = (h >> np.uint64(40)) * np.repeat(self.classes, count).astype(np.uint64) >> np.uint64(24)
+        keep = own < self.COLUMNS
+        line = np.repeat(np.arange(len(count), dtype=np.uint64), count)[keep]
+        e = line << np.uint64(44) | own[keep] << np.uint64(39) | (h[keep] & np.uint64(2**33 - 1)) << np.uint64(6) | np.minimum(size[keep], 63).astype(np.uint64)
+        e.sort()
+        e = e[np.concatenate([[True], e[1:] != e[:-1]])] if len(e) else e  # a word counts once, or a frequent one would decide
+        cell = (e >> np.uint64(39)).astype(np.int64)
+        cell = (cell >> 5) * self.COLUMNS + (cell & 31)
+        ends = np.cumsum(np.bincount(cell, minlength=len(count) * self.COLUMNS))
+        self.bound = np.concatenate([np.append(0, ends[self.COLUMNS - 1 :: self.COLUMNS][:-1])[:, None], ends.reshape(-1, self.COLUMNS)], axis=1) if len(count) else np.zeros((0, self.COLUMNS + 1), np.int64)
+        x = C.mix64(e >> np.uint64(6) & np.uint64(2**33 - 1))
+        # Eight counters of a byte to a number: sums of up to 255 words, as differences of running ones, don't carry over.
+        self.sums = np.zeros((len(e) + 1, 8), np.uint64)
+        np.cumsum(x[:, None] >> np.arange(8, dtype=np.uint64) & np.uint64(0x0101010101010101), axis=0, out=self.sums[1:])
+        self.bytes = np.concatenate([[0], np.cumsum((e & np.uint64(63)).astype(np.int64))])
+
+    def _simhash(self, line: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]], tag: int, words: int = 3, size: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether the spans of words say enough; of those that do the line and the key)."""
+        n = sum(b - a for a, b in spans)
+        ok = (n >= words) & (sum(self.bytes[b] - self.bytes[a] for a, b in spans) >= size)
+        n = n[ok]
+        ones = sum(self.sums[b[ok]] - self.sums[a[ok]] for a, b in spans).view(np.uint8).reshape(-1, 64)
+        key = np.packbits(ones > (np.minimum(n, 255) >> 1).astype(np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+        line = line[ok]
+        return ok, line, C.mix64(key ^ C.mix64((self.level[line] << 10 | tag).astype(np.uint64)))
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        bound = self.bound
+        for level in np.unique(self.level[self.paired]):
+            line = np.flatnonzero(self.level == level)
+            m = int(self.classes[line[0]])
+            for i in range(m):
+                for j in range(i + 1, m):
+                    a = [(bound[line, c], bound[line, c + 1]) for c in (i, j)]
+                    yield self._simhash(line, a, 512 + 32 * i + j, *((2, 12) if level == 0 else (3, 16)))[1:]
+        rest = np.flatnonzero(~self.paired)
+        for i in range(POSTED):
+            line = rest[self.classes[rest] > i]
+            line = line[bound[line, i + 1] > bound[line, i]]
+            for end in range(i + 1, i + 1 + SPARE):
+                over = end - self.classes[line]  # classes from the first on, after the last
+                fits = (over <= 0) | (self.classes[line] <= self.COLUMNS) & (over < i)
+                line, over = line[fits], np.maximum(over[fits], 0)
+                if not len(line):
+                    break
+                around = [(bound[line, 0], bound[line, over])] if over.any() else []
+                ok, own, key = self._simhash(line, [(bound[line, i], bound[line, np.minimum(end, self.classes[line])]), *around], i)
+                yield own, key
+                line = line[~ok]
 
 
 class _Block:
@@ -113,11 +161,11 @@ class _Block:
         self.entries, self.signs, self.sizes, self.places, self.words, self.count, self.lines = [], [], [], [], [], 0, 0
 
     def add(self, ids: np.ndarray, texts: pa.Array) -> None:
-        word, first, count, text, number = lines_of(texts)
+        word, first, count, text, number, length = lines_of(texts)
         if not len(first):
             return
         sign = signatures(word, first, count)
-        line, key = blocks(word, first, count, self.similarity)
+        line, key = blocks(word, first, count, length, self.similarity)
         self.entries.append((key, line + self.lines))
         self.signs.append(sign)
         self.sizes.append(count.astype(np.int32))
@@ -334,10 +382,7 @@ def cut_lines(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_co
     schema = T.StructType(list(docs.schema.fields))
     at, names = docs.columns.index(text_col), docs.columns
     gone = written(lines.groupBy(F.col("doc_id").alias(inner("id"))).agg(F.collect_list("line_no").alias(REMOVED)), "lines-gone")
-    size = gone.agg(F.count("*") + F.sum(F.size(REMOVED))).first()[0] or 0
-    if size <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    joined = docs.join(gone, docs[id_col].cast("long") == F.col(inner("id")), "left").select(*[docs[c] for c in names], REMOVED)
+    joined = docs.join(if_small(gone, F.size(REMOVED)), docs[id_col].cast("long") == F.col(inner("id")), "left").select(*[docs[c] for c in names], REMOVED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -349,7 +394,7 @@ def cut_lines(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_co
             for k in which.tolist():
                 drop = set(removed[k].as_py())
                 text = "\n".join(x for i, x in enumerate(columns[at][k].as_py().split("\n")) if i not in drop)
-                if any(c.isalnum() for c in text):
+                if WORD.search(text):
                     mask[k] = True
                     new.append(text)
                 else:

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import columnar as C
-from .graph import BROADCAST_ROWS, buckets, by_cell, components, forest, united, verify
-from .shared import documents, in_arrow, inner, release, width, written
+from .graph import buckets, by_cell, components, forest, united, verify
+from .shared import documents, if_small, in_arrow, inner, release, width, written
 
 N = 3
 THRESHOLD = 0.5
@@ -457,9 +457,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, id_co
         .select(F.col("doc_id").alias(inner("gone"))).distinct()
     )
     gone = written(gone, "gram-gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col].cast("long") == F.col(inner("gone")), "left_anti")
+    return docs.join(if_small(gone), docs[id_col].cast("long") == F.col(inner("gone")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

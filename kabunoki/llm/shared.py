@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kabunoki.session import ship
 
+BROADCAST_BYTES = 32 << 20
 _own: dict[str, str] = {}
 
 
@@ -42,6 +43,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, *more: F.Column) -> DataFrame:
+    """``df`` to be broadcast if its rows take no more than BROADCAST_BYTES, else as it is, for a join that shuffles.
+    ``more``: how many numbers a row has besides its columns, in arrays."""
+    row = sum((F.coalesce(m, F.lit(0)).cast("long") for m in more), F.lit(0)) * 8 + F.lit(16 + 8 * len(df.columns))
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def width(spark: SparkSession) -> int:
     """The number of shuffle partitions, which a job's owner sets for the size of the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -389,6 +389,11 @@ def test_line_dedup_equals_brute_force(spark, docs):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_keeps_words_without_letters(spark):
+    docs = spark.createDataFrame([(1, "same line here ok"), (2, "same line here ok\n\U0001f600\U0001f600\U0001f600"), (3, "same line here ok\n--")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {1: "same line here ok", 2: "\U0001f600\U0001f600\U0001f600"}
+
+
 def edited(rng, words, k, how):
     """k edits, spread evenly or at random: substitutions, deletions or insertions of new words."""
     at = [(2 * i + 1) * len(words) // (2 * k) for i in range(k)] if how != "random" else rng.sample(range(len(words)), k)
@@ -399,6 +404,20 @@ def edited(rng, words, k, how):
     return out
 
 
+def test_lines_of_every_length_meet():
+    rng = random.Random(11)
+    for n in (20, 60, 120, 200, 400):
+        texts = []
+        for _ in range(200):
+            w = [f"w{rng.randrange(3000)}" for _ in range(n)]
+            texts += [" ".join(w), " ".join(edited(rng, w, n // 10, "random"))]
+        word, first, count, _, _, size = line_dedup.lines_of(pa.array(texts))
+        has = collections.defaultdict(set)
+        for line, key in zip(*(x.tolist() for x in line_dedup.blocks(word, first, count, size, 0.9))):
+            has[line].add(key)
+        assert sum(bool(has[i] & has[i + 1]) for i in range(0, 400, 2)) >= 0.95 * 200
+
+
 def test_line_blocks_meet_with_every_edit_allowed():
     rng = random.Random(5)
     texts, pairs = [], []
@@ -410,10 +429,10 @@ def test_line_blocks_meet_with_every_edit_allowed():
             if edits(w, v) <= int(0.1 * max(len(w), len(v)) + 1e-9):
                 pairs.append((len(texts), len(texts) + 1))
                 texts += [" ".join(w), " ".join(v)]
-    word, first, count, text, _ = line_dedup.lines_of(pa.array(texts))
+    word, first, count, text, _, size = line_dedup.lines_of(pa.array(texts))
     assert (text == np.arange(len(texts))).all() and len(pairs) > 150
     has = collections.defaultdict(set)
-    for line, key in zip(*(x.tolist() for x in line_dedup.blocks(word, first, count, 0.9))):
+    for line, key in zip(*(x.tolist() for x in line_dedup.blocks(word, first, count, size, 0.9))):
         has[line].add(key)
     assert [p for p in pairs if not has[p[0]] & has[p[1]]] == []
 
