@@ -1,22 +1,29 @@
 """All pairs of documents whose sets of word n-grams have a Jaccard similarity of at least a threshold, by a grouped
 prefix join with global frequency order.
 
-Documents with equal n-gram sets are one set from the start. The other n-grams are put in order of the number of sets
-that have them, the rarest first; in that order two sets of the wanted similarity share an n-gram among the first
-|S| - ceil(t |S|) + 1 of each. Most documents drop out here: n-grams that no other set has come first, and when they
-fill a set's prefix, it has no partner. Sets with identical prefixes and size form a group; pairs of groups that share a
-prefix n-gram pass the length and positional filters, are expanded into pairs of sets, verified by counting common
-n-grams, and expanded into documents.
-
-N-grams are 48-bit hashes. Counting them needs every n-gram of the corpus to meet its equals once; they travel as sorted
-blocks of differences, about six bytes each with the set they belong to, by range of hash, and only those of two sets or
-more travel on, to their set. All counts and candidates are exact over the whole corpus (up to equal hashes, which for
-a pair of documents have a chance below one in 10**8); there are no limits on partners. The number of pairs is that of
-the answer: a group of c copies gives c (c - 1) / 2 of them.
+The n-grams are put in order of the number of documents that have them, the rarest first; in that order two sets of the
+wanted similarity share an n-gram among the first |S| - ceil(t |S|) + 1 of each. Most documents drop out here: n-grams
+that no other document has come first, and when they fill a set's prefix, it has no partner. Documents with equal sets
+become one set. Sets with identical prefixes and size form a group; pairs of groups that share a prefix n-gram pass the
+length and positional filters, are expanded into pairs of sets, verified by counting common n-grams, and expanded into
+documents.
+
+Counting needs every n-gram of the corpus to meet its equals once. They travel in blocks, to ranges of hash, as sorted
+differences with the place of their document in its block: about six bytes each, however many ranges there are. Only
+n-grams of two documents or more travel back, to their block's home; signatures of whole sets travel once, and tell
+there which documents are copies. A block is named by its partition and number, so a task that is repeated must see its
+rows in the same order: inputs that come out of a shuffle are written first.
+
+N-grams are 48-bit hashes: of two documents with a and b n-grams, one that only seems common has a chance of about
+a * b / 2**48 (less than 10**-8 for 1,600 n-grams each; 10**-6 for 20,000, which changes the similarity by 1 in 20,000).
+Copies are told by 128-bit signatures. Else counts and candidates are exact over the whole corpus; there are no limits on
+partners. (Counts over 65,535 are equal in the order, which stays a total one.) The number of pairs is that of the
+answer: a group of c copies gives c (c - 1) / 2 of them.
 
 Cases: documents without words (null, empty) and rows without id are in no pair; one of 1 to n-1 words has one gram, all
-of its words; rows that share an id are one document, never a pair with itself; an empty table gives an empty result;
-columns other than the id and the text are not read.
+of its words; rows that share an id are never a pair, each of their texts is compared, and a pair of ids may so occur
+more than once; a very long text is one set of all its n-grams; a run of Chinese, Japanese or Thai letters is one word;
+an empty table gives an empty result; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import columnar as C
 from .graph import buckets, by_cell, components, forest, united, verify
-from .shared import documents, if_small, in_arrow, inner, release, width, written
+from .shared import documents, if_small, in_arrow, inner, release, stable, width, written
 
 N = 3
 THRESHOLD = 0.5
@@ -38,7 +46,8 @@ BLOCK = 1_500_000
 KEY = 48
 _LOW = np.uint64(2**KEY - 1)
 _SENT = "part int, kind int, a binary, b binary, c binary"
-_SETS = "kind int, set_id long, doc_id long, gid long, size int, lone int, prefix int, elements binary"
+_SETS = "kind int, set_id long, doc_id long, gid long, size int, lone int, prefix int, elements binary, docs binary"
+_COPY = np.uint64(0x5851F42D4C957F2D)
 
 
 def _rows(parts: list[tuple]) -> pa.RecordBatch:
@@ -77,61 +86,65 @@ def gram_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.nda
 
 
 class _Block:
-    """N-grams of some documents on their way to their ranges."""
+    """N-grams of some documents on their way to their ranges. A document is named by its block and place."""
 
-    def __init__(self, parts: int):
-        self.parts = parts
+    def __init__(self, parts: int, partition: int):
+        self.parts, self.name = parts, (partition << 25) - 1
         self.clear()
 
     def clear(self) -> None:
         self.entries, self.signs, self.sizes, self.ids, self.count, self.docs = [], [], [], [], 0, 0
+        self.name += 1
 
     def add(self, ids: np.ndarray, text: np.ndarray, key: np.ndarray) -> None:
         first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
         which = text[first]
-        self.signs.append(np.add.reduceat(C.mix64(key), first))
-        self.sizes.append(np.diff(np.append(first, len(text))).astype(np.int32))
+        size = np.diff(np.append(first, len(text)))
+        self.signs.append(np.stack([C.mix64(np.add.reduceat(C.mix64(key ^ salt), first) + size.astype(np.uint64)) for salt in (np.uint64(0), _COPY)], 1))
+        self.sizes.append(size.astype(np.int32))
         self.ids.append(ids[which])
-        local = np.repeat(np.arange(self.docs, self.docs + len(which), dtype=np.uint64), self.sizes[-1])
+        local = np.repeat(np.arange(self.docs, self.docs + len(which), dtype=np.uint64), size)
         self.entries.append(key << np.uint64(16) | local)
         self.docs += len(which)
         self.count += len(key)
 
     def rows(self) -> pa.RecordBatch | None:
+        """kind 0: n-grams with the places of their documents, to their range; 1: ids and names by signature, to the
+        signature's home; 2: sizes and ids, to the block's home."""
         if not self.docs:
             return None
         sign, size, ids = (np.concatenate(x) for x in (self.signs, self.sizes, self.ids))
-        sign = C.mix64(sign + size.astype(np.uint64))
         e = np.concatenate(self.entries)
-        _, rep, back = np.unique(sign, return_index=True, return_inverse=True)
-        if len(rep) < len(sign):  # copies within the block are sent once
-            e = e[rep[back][(e & np.uint64(0xFFFF)).astype(np.int64)] == (e & np.uint64(0xFFFF)).astype(np.int64)]
+        order = np.lexsort((sign[:, 1], sign[:, 0]))
+        new = np.concatenate([[True], (sign[order][1:] != sign[order][:-1]).any(axis=1)])
+        of = np.empty(self.docs, np.int64)
+        of[order] = order[new][np.cumsum(new) - 1]
+        if not new.all():  # copies within the block are sent once
+            local = (e & np.uint64(0xFFFF)).astype(np.int64)
+            e = e[of[local] == local]
         e.sort()
         cut = np.concatenate([[0], np.searchsorted(e, bounds(self.parts) << np.uint64(16)), [len(e)]])
-        out = []
-        for p in range(self.parts):
-            some = e[cut[p] : cut[p + 1]]
-            if not len(some):
-                continue
-            local = (some & np.uint64(0xFFFF)).astype(np.int64)
-            used = np.zeros(self.docs, bool)
-            used[local] = True
-            new = np.cumsum(used) - 1
-            some = some & ~np.uint64(0xFFFF) | new[local].astype(np.uint64)
-            out.append((p, 0, C.pack(some), sign[used].tobytes(), planes(size[used])))
-        home = (sign % np.uint64(self.parts)).astype(np.int64)
+        name = np.array([self.name], np.int64).tobytes()
+        docs = np.array([self.docs], np.int64).tobytes()
+        out = [(p, 0, C.pack(e[cut[p] : cut[p + 1]]), name, docs) for p in np.flatnonzero(np.diff(cut)).tolist()]
+        home = (sign[:, 0] % np.uint64(self.parts)).astype(np.int64)
         order = np.argsort(home, kind="stable")
         cut = np.searchsorted(home[order], np.arange(self.parts + 1))
-        for p in range(self.parts):
+        for p in np.flatnonzero(np.diff(cut)).tolist():
             o = order[cut[p] : cut[p + 1]]
-            if len(o):
-                out.append((p, 1, planes(ids[o]), sign[o].tobytes(), planes(size[o])))
+            out.append((p, 1, planes(ids[o]), sign[o].tobytes(), planes(self.name << 16 | of[o])))
+        out.append((_home(self.name, self.parts), 2, planes(size), name, planes(ids)))
         self.clear()
         return _rows(out)
 
 
+def _home(block: int, parts: int) -> int:
+    return int(C.mix64(np.array([block], np.uint64))[0] % np.uint64(parts))
+
+
 def _spread(batches: Iterator[pa.RecordBatch], n: int, parts: int) -> Iterator[pa.RecordBatch]:
-    block = _Block(parts)
+    task = TaskContext.get()
+    block = _Block(parts, task.partitionId() if task else 0)
     for b in batches:
         ids = b.column(0).to_numpy()
         for at, text, key in gram_sets(b.column(1), n):
@@ -169,114 +182,150 @@ def _distinct(key: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key[new], ref[new]
 
 
-def _count(batches: Iterator[pa.RecordBatch], parts: int, part_of: str = "sign") -> Iterator[pa.RecordBatch]:
-    """Of one range: n-grams of two sets or more, with their counts, to their sets; and members, as they are."""
-    keys, refs, signs, sizes, base, out = [], [], [], [], 0, []
+def _count(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Of one range: n-grams of two documents or more, with their counts, to the homes of their blocks (kind 0). Of the
+    signatures that belong here: groups of copies (1), and to the homes of their blocks which documents stand for a group
+    and which are left out (3). Sizes and ids (2) go on as they are."""
+    keys, refs, blocks, base = [], [], [], [0]
     members: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for kind, a, b, c in _fields(batches):
         if kind == 1:
-            members.append((unplanes(a, np.int64), np.frombuffer(b, np.uint64), unplanes(c, np.int32)))
-            continue
-        e = C.unpack(a)
-        keys.append(e >> np.uint64(16))
-        refs.append((e & np.uint64(0xFFFF)).astype(np.int64) + base)
-        signs.append(np.frombuffer(b, np.uint64))
-        sizes.append(unplanes(c, np.int32))
-        base += len(signs[-1])
+            members.append((unplanes(a, np.int64), np.frombuffer(b, np.uint64).reshape(-1, 2), unplanes(c, np.int64)))
+        elif kind == 2:
+            yield _rows([(_home(int(np.frombuffer(b, np.int64)[0]), parts), 2, a, b, c)])
+        else:
+            e = C.unpack(a)
+            keys.append(e >> np.uint64(16))
+            refs.append((e & np.uint64(0xFFFF)).astype(np.int64) + base[-1])
+            blocks.append(int(np.frombuffer(b, np.int64)[0]))
+            base.append(base[-1] + int(np.frombuffer(c, np.int64)[0]))
     if members:
-        ids, sign, size = (np.concatenate(x) for x in zip(*members))
-        out.append((int(sign[0] % np.uint64(parts)), 1, planes(ids), sign.tobytes(), planes(size)))
-    if keys:
-        every, first, back = np.unique(np.concatenate(signs), return_index=True, return_inverse=True)
-        size = np.concatenate(sizes)[first]
-        home = (every % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(home, kind="stable")
-        every, size, home = every[order], size[order], home[order]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        ref = place[back][np.concatenate(refs)]
-        key, ref = _distinct(np.concatenate(keys), ref)
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        start = np.flatnonzero(new)
-        count = np.diff(np.append(start, len(key)))
-        count = np.repeat(count, count)
-        keep = count > 1
-        element = np.minimum(count[keep], 65_535).astype(np.uint64) << np.uint64(KEY) | key[keep]
-        ref = ref[keep]
-        order = np.argsort(ref.astype(np.int32), kind="stable")
-        element, ref = element[order], ref[order]
-        cut = np.searchsorted(home[ref], np.arange(parts + 1)) if len(ref) else np.zeros(parts + 1, np.int64)
-        for p in range(parts):
-            r = ref[cut[p] : cut[p + 1]]
-            if len(r):
-                u, n = np.unique(r, return_counts=True)
-                out.append((p, 0, planes(element[cut[p] : cut[p + 1]]), every[u].tobytes(), planes(np.concatenate([n.astype(np.int32), size[u]]))))
+        yield from _copies(*(np.concatenate(x) for x in zip(*members)), parts)
+    if not keys:
+        return
+    key, ref = _distinct(np.concatenate(keys), np.concatenate(refs))
+    del keys, refs
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(np.append(start, len(key)))
+    count = np.repeat(count, count)
+    keep = count > 1
+    key, ref, count = key[keep], ref[keep], np.minimum(count[keep], 65_535).astype(np.uint16)
+    at = np.array(base)
+    block = (np.searchsorted(at, ref, "right") - 1).astype(np.int32)
+    order = np.argsort(block, kind="stable")
+    cut = np.searchsorted(block[order], np.arange(len(blocks) + 1))
+    out = []
+    for k, name in enumerate(blocks):
+        o = order[cut[k] : cut[k + 1]]
+        if len(o):
+            local = (ref[o] - at[k]).astype(np.uint16)
+            out.append((_home(name, parts), 0, C.pack(key[o]), np.array([name], np.int64).tobytes(), planes(count[o]) + planes(local)))
     if out:
         yield _rows(out)
 
 
+def _copies(ids: np.ndarray, sign: np.ndarray, name: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((ids, sign[:, 1], sign[:, 0]))
+    ids, sign, name = ids[order], sign[order], name[order]
+    new = np.concatenate([[True], (sign[1:] != sign[:-1]).any(axis=1)])
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(ids)))
+    several = np.flatnonzero(n > 1)
+    notes: dict[int, tuple[list, list]] = {}
+    groups = []
+    for g in several.tolist():
+        w = slice(first[g], first[g] + n[g])
+        docs, names = np.unique(ids[w]), np.unique(name[w])
+        if len(docs) > 1:
+            groups.append((0, 1, docs.tobytes(), names[:1].tobytes(), b""))
+        for k, x in enumerate(names.tolist()):
+            note = notes.setdefault(x >> 16, ([], []))
+            note[0].append((x & 0xFFFF) | (k > 0) << 16)
+            note[1].append(docs if k == 0 else docs[:0])
+    out = [(int(np.frombuffer(b, np.int64)[0] % parts), kind, a, b, c) for _, kind, a, b, c in groups]
+    for block, (local, docs) in notes.items():
+        sizes = np.array([len(d) for d in docs], np.int32)
+        out.append((_home(block, parts), 3, planes(np.array(local, np.int32)) + planes(sizes), np.array([block], np.int64).tobytes(), planes(np.concatenate(docs))))
+    for lo in range(0, len(out), 10_000):
+        yield _rows(out[lo : lo + 10_000])
+
+
+def _sets(kind: int, n: int, **columns) -> pa.RecordBatch:
+    kinds = {"set_id": pa.int64(), "doc_id": pa.int64(), "gid": pa.int64(), "size": pa.int32(), "lone": pa.int32(), "prefix": pa.int32(), "elements": pa.binary(), "docs": pa.binary()}
+    return pa.record_batch({"kind": np.full(n, kind, np.int32)} | {k: pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in kinds.items()})
+
+
 def _assemble(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Of one share of the sets: those that can have a partner, with their shared n-grams in order, and the members of
-    these and of sets of several documents."""
-    elements, owner, sizes, members = [], [], [], []
+    """kind 0: of the blocks that belong here the sets that can have a partner, with their shared n-grams in order; 1:
+    groups of copies."""
+    blocks: dict[bytes, tuple[list, list, list]] = {}
     for kind, a, b, c in _fields(batches):
-        sign = np.frombuffer(b, np.uint64)
         if kind == 1:
-            members.append((unplanes(a, np.int64), sign, unplanes(c, np.int32)))
+            docs = np.frombuffer(a, np.int64)
+            yield _sets(1, 1, set_id=np.frombuffer(b, np.int64), doc_id=docs[:1], docs=[a])
         else:
-            n, s = np.split(unplanes(c, np.int32), 2)
-            elements.append(unplanes(a))
-            owner.append(np.repeat(sign, n))
-            sizes.append((sign, s))
-    if not members:
-        return
-    ids, sign, size = (np.concatenate(x) for x in zip(*members))
-    order = np.lexsort((ids, sign))
-    ids, sign = ids[order], sign[order]
-    new = np.concatenate([[True], (sign[1:] != sign[:-1]) | (ids[1:] != ids[:-1])])
-    ids, sign = ids[new], sign[new]
-    every, first, count = np.unique(sign, return_index=True, return_counts=True)
-    leader = ids[first]
-    live = np.zeros(len(every), bool)
-    if elements:
-        e, o = np.concatenate(elements), np.searchsorted(every, np.concatenate(owner))
-        total = np.zeros(len(every), np.int64)
-        for s, z in sizes:
-            total[np.searchsorted(every, s)] = z
-        shared = np.bincount(o, minlength=len(every))
-        need = np.ceil(threshold * total - 1e-9).astype(np.int64)
-        live = (shared > 0) & (shared >= need)
-        e, o = e[live[o]], o[live[o]]
-        order = np.lexsort((e, o))
-        e, o = e[order], o[order]
+            blocks.setdefault(b, ([], [], []))[(0, None, 1, 2)[kind]].append((a, c))
+    while blocks:
+        name, (grams, table, notes) = blocks.popitem()
+        size, ids = unplanes(table[0][0], np.int32).astype(np.int64), unplanes(table[0][1], np.int64).copy()
+        out, docs = np.zeros(len(size), bool), {}
+        for a, c in notes:
+            local, n = unplanes(a[: len(a) // 2], np.int32), unplanes(a[len(a) // 2 :], np.int32)
+            members, end = unplanes(c, np.int64), np.cumsum(n)
+            out[local[local > 0xFFFF] & 0xFFFF] = True
+            for k in np.flatnonzero(n).tolist():
+                docs[int(local[k])] = members[end[k] - n[k] : end[k]]
+                ids[local[k]] = members[end[k] - n[k]]
+        if not grams:
+            continue
+        e = np.concatenate([C.unpack(a) for a, _ in grams])
+        count, local = (np.concatenate(x) for x in zip(*(((unplanes(c[: len(c) // 2], np.uint16)), unplanes(c[len(c) // 2 :], np.uint16)) for _, c in grams)))
+        e |= count.astype(np.uint64) << np.uint64(KEY)
+        shared = np.bincount(local, minlength=len(size))
+        need = np.ceil(threshold * size - 1e-9).astype(np.int64)
+        live = (shared > 0) & (shared >= need) & ~out
+        some = live[local]
+        e, local = e[some], local[some]
+        order = np.argsort(e)
+        order = order[np.argsort(local[order], kind="stable")]
+        e = e[order]
         which = np.flatnonzero(live)
-        if len(which):
-            n = shared[which]
-            at = np.cumsum(n) - n
-            lone = total[which] - n
-            prefix = np.clip(total[which] - need[which] + 1 - lone, 0, n)
-            # Identical prefixes and sizes make a group; a prefix with an n-gram of its own is like no other.
-            h = np.zeros(len(which), np.uint64)
-            some = np.flatnonzero(prefix > 0)
-            inside = C.ragged(at[some], prefix[some])
-            h[some] = np.add.reduceat(C.mix64(e[inside]), np.cumsum(prefix[some]) - prefix[some]) if len(some) else 0
-            group = np.where(lone == 0, C.mix64(h + total[which].astype(np.uint64)), C.mix64(every[which] ^ np.uint64(0x5851F42D4C957F2D)))
-            for lo in range(0, len(which), 2000):
-                w = slice(lo, lo + 2000)
-                m = len(which[w])
-                yield pa.record_batch(
-                    {
-                        "kind": np.zeros(m, np.int32), "set_id": leader[which[w]], "doc_id": pa.nulls(m, pa.int64()), "gid": group[w].view(np.int64), "size": total[which[w]].astype(np.int32),
-                        "lone": lone[w].astype(np.int32), "prefix": prefix[w].astype(np.int32),
-                        "elements": pa.array([e[i : i + k].tobytes() for i, k in zip(at[w], n[w])], pa.binary()),
-                    }
-                )
-    keep = np.repeat(live | (count > 1), count)
-    ids, lead = ids[keep], np.repeat(leader, count)[keep]
-    for lo in range(0, len(ids), 50_000):
-        m = len(ids[lo : lo + 50_000])
-        empty = pa.nulls(m, pa.int32())
-        yield pa.record_batch({"kind": np.ones(m, np.int32), "set_id": lead[lo : lo + 50_000], "doc_id": ids[lo : lo + 50_000], "gid": pa.nulls(m, pa.int64()), "size": empty, "lone": empty, "prefix": empty, "elements": pa.nulls(m, pa.binary())})
+        if not len(which):
+            continue
+        n = shared[which]
+        at = np.cumsum(n) - n
+        lone = size[which] - n
+        prefix = np.clip(size[which] - need[which] + 1 - lone, 0, n)
+        # Identical prefixes and sizes make a group; a prefix with an n-gram of its own is like no other.
+        h = np.zeros(len(which), np.uint64)
+        have = np.flatnonzero(prefix > 0)
+        inside = C.ragged(at[have], prefix[have])
+        h[have] = np.add.reduceat(C.mix64(e[inside]), np.cumsum(prefix[have]) - prefix[have]) if len(have) else 0
+        number = int(np.frombuffer(name, np.int64)[0]) << 16 | which
+        group = np.where(lone == 0, C.mix64(h + size[which].astype(np.uint64)), C.mix64(number.astype(np.uint64) ^ _COPY))
+        for lo in range(0, len(which), 2000):
+            w = slice(lo, lo + 2000)
+            yield _sets(
+                0, len(which[w]), set_id=number[w], doc_id=ids[which[w]], gid=group[w].view(np.int64), size=size[which[w]].astype(np.int32), lone=lone[w].astype(np.int32), prefix=prefix[w].astype(np.int32),
+                elements=[_elements(e[i : i + k]) for i, k in zip(at[w], n[w])], docs=[docs[k].tobytes() if k in docs else None for k in which[w].tolist()],
+            )
+
+
+def _elements(e: np.ndarray) -> bytes:
+    """The keys of six bytes, then the counts of two."""
+    raw = e.view(np.uint8).reshape(-1, 8)
+    return raw[:, :6].tobytes() + raw[:, 6:].tobytes()
+
+
+def _keys(b: bytes) -> np.ndarray:
+    raw = np.zeros((len(b) // 6, 8), np.uint8)
+    raw[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return raw.view(np.uint64).ravel()
+
+
+def _prefix(b: bytes, n: int) -> np.ndarray:
+    total = len(b) // 8
+    return _keys(b[: 6 * n]) | np.frombuffer(b, np.uint16, n, 6 * total).astype(np.uint64) << np.uint64(KEY)
 
 
 def _post(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -287,7 +336,7 @@ def _post(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
             group, sets, size, lone, prefix = (some.column(c).to_numpy() for c in ("gid", "set_id", "size", "lone", "prefix"))
             if not prefix.sum():
                 continue
-            e = np.concatenate([np.frombuffer(x.as_py(), np.uint64, int(k)) for x, k in zip(some.column("elements"), prefix)])
+            e = np.concatenate([_prefix(x.as_py(), int(k)) for x, k in zip(some.column("elements"), prefix)])
             owner = np.repeat(np.arange(len(group)), prefix)
             place = C.ragged(lone.astype(np.int64), prefix.astype(np.int64))
             home = (C.mix64(e) % np.uint64(parts)).astype(np.int64)
@@ -375,10 +424,11 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _common(threshold: float, connect: bool):
-    """Pairs of documents of similar sets, with the similarity; or, to ``connect`` them, a forest of the sets."""
+    """Pairs of documents of similar sets, with the similarity; or, to ``connect`` them, a forest of the sets' documents."""
 
     def kernel(ids: np.ndarray, a: np.ndarray, b: np.ndarray, sets: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_py(), np.uint64) for x in sets["elements"]]
+        parts = [_keys(x.as_py()) for x in sets["elements"]]
+        doc = sets["doc_id"].to_numpy()
         size = sets["size"].to_numpy().astype(np.int64)
         _, dense = np.unique(np.concatenate(parts), return_inverse=True)
         n = np.array([len(x) for x in parts])
@@ -399,8 +449,8 @@ def _common(threshold: float, connect: bool):
         a, b, j = a[ok], b[ok], j[ok]
         if connect:
             node, root = forest(len(ids), a, b)
-            return pa.table({"a": ids[node], "b": ids[root]})
-        docs = [np.array(x.as_py(), np.int64) for x in sets["docs"]]
+            return pa.table({"a": doc[node], "b": doc[root]})
+        docs = [np.frombuffer(x.as_py(), np.int64) if x.is_valid else doc[k : k + 1] for k, x in enumerate(sets["docs"])]
         flat, m = np.concatenate(docs), np.array([len(x) for x in docs])
         first = np.cumsum(m) - m
         times = np.repeat(m[b], m[a])
@@ -414,12 +464,12 @@ def _common(threshold: float, connect: bool):
 
 
 def _candidates(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sets that may have a partner; members (set_id, doc_id) of these and of sets of several documents; cells of
-    candidate pairs of sets). A set is named by its least document."""
+    """(sets that may have a partner, as a payload; groups of copies (doc_id: the least, docs); cells of candidate pairs
+    of sets)."""
     spark = docs.sparkSession
     parts = width(spark)
     count = buckets(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    base = stable(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL"), "gram-input")
     sent = in_arrow(base, lambda bs: _spread(bs, n, parts), _SENT).repartitionById(parts, "part")
     counted = in_arrow(sent, lambda bs: _count(bs, parts), _SENT).repartitionById(parts, "part")
     table = written(in_arrow(counted, lambda bs: _assemble(bs, threshold), _SETS), "gram-sets")
@@ -431,31 +481,44 @@ def _candidates(docs: DataFrame, threshold: float, n: int, id_col: str, text_col
     cells = written(in_arrow(met, _unite, "cell int, pairs binary, ids binary"), "gram-cells")
     del met
     release(spark)
-    return sets, table.where("kind = 1").select("set_id", "doc_id"), cells
+    # Counting what is common takes the keys alone.
+    payload = sets.select(F.col("set_id").alias("id"), "doc_id", "size", F.expr("substring(elements, 1, length(elements) div 8 * 6)").alias("elements"), "docs")
+    return payload, table.where("kind = 1").select("doc_id", "docs"), cells
+
+
+def _pairs_of_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for docs in b.column(1):
+            x = np.frombuffer(docs.as_py(), np.int64)
+            for i, j in _pairs_of_runs(np.arange(len(x)), np.full(len(x), len(x)), 500_000):
+                yield pa.record_batch({"doc_a": x[i], "doc_b": x[j], "jaccard": np.ones(len(i))})
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for least, docs in zip(b.column(0), b.column(1)):
+            x = np.frombuffer(docs.as_py(), np.int64)
+            yield pa.record_batch({"leader": np.full(len(x), least.as_py(), np.int64), "doc_id": x})
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b."""
-    sets, members, cells = _candidates(docs, threshold, n, id_col, text_col)
-    lists = members.groupBy(F.col("set_id").alias("id")).agg(F.collect_list("doc_id").alias("docs"))
-    payload = sets.select(F.col("set_id").alias("id"), "size", "elements").join(lists, "id")
-    across = verify(cells, payload, _common(threshold, False), "doc_a long, doc_b long, jaccard double")
-    left, right = members.select("set_id", F.col("doc_id").alias("doc_a")), members.select("set_id", F.col("doc_id").alias("doc_b"))
-    copies = left.join(right, "set_id").where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
-    return across.union(copies).withColumn("jaccard", F.round("jaccard", 6))
+    payload, groups, cells = _candidates(docs, threshold, n, id_col, text_col)
+    schema = "doc_a long, doc_b long, jaccard double"
+    across = verify(cells, payload, _common(threshold, False), schema)
+    return across.union(in_arrow(groups, _pairs_of_copies, schema)).withColumn("jaccard", F.round("jaccard", 6))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document, that of the least id, of each connected group of similar ones. Rows without words or
     without id stay; rows that share an id stand or fall together."""
-    sets, members, cells = _candidates(docs, threshold, n, id_col, text_col)
-    payload = sets.select(F.col("set_id").alias("id"), "size", "elements")
-    roots = components(verify(cells, payload, _common(threshold, True), "a long, b long"))
+    payload, groups, cells = _candidates(docs, threshold, n, id_col, text_col)
+    roots = components(verify(cells, payload.drop("docs"), _common(threshold, True), "a long, b long"))
+    copies = in_arrow(groups, _members, "leader long, doc_id long")
     gone = (
-        members.join(roots, members["set_id"] == roots["node"], "left")
-        .where(F.col("doc_id") != F.coalesce("root", "set_id"))
-        .select(F.col("doc_id").alias(inner("gone"))).distinct()
-    )
+        copies.join(roots, copies["leader"] == roots["node"], "left").where(F.col("doc_id") != F.coalesce("root", "leader")).select("doc_id")
+        .union(roots.where("node <> root").select("node")).select(F.col("doc_id").alias(inner("gone"))).distinct()
+    )
     gone = written(gone, "gram-gone")
     return docs.join(if_small(gone), docs[id_col].cast("long") == F.col(inner("gone")), "left_anti")
 

@@ -43,6 +43,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stable(df: DataFrame, name: str) -> DataFrame:
+    """The same rows in partitions that a repeated task reads in the same order: rows out of a shuffle are written."""
+    plan = df._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    return written(df, name) if "Exchange" in plan else df
+
+
 def if_small(df: DataFrame, *more: F.Column) -> DataFrame:
     """``df`` to be broadcast if its rows take no more than BROADCAST_BYTES, else as it is, for a join that shuffles.
     ``more``: how many numbers a row has besides its columns, in arrays."""

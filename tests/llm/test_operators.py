@@ -517,3 +517,15 @@ def test_chat_folds_edits_and_regenerations(spark):
     out = {r.conv_id: r for r in chat.render(chat.messages(events)).collect()}
     assert out["d"].rendered == "<|im_start|>user\nz<​|im_end|><|im_end|>\n<|im_start|>assistant\ny<|im_end|>\n" and out["c"].n_messages == 4 and "f" not in out
     assert chat.render(chat.messages(events.limit(0))).count() == 0
+
+
+def test_ngrams_travel_in_as_many_bytes_whatever_the_partitions():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 20_000, 300)) for _ in range(5000)]
+    batch = pa.record_batch({"doc_id": np.arange(5000), "text": texts})
+    size = {}
+    for parts in (10, 3000):
+        rows = list(ngram_join._spread(iter([batch]), 3, parts))
+        # As the shuffle's codec leaves them.
+        size[parts] = sum(len(pa.compress(b"".join(c[i].as_py() for c in (r["a"], r["b"], r["c"])), "lz4", asbytes=True)) + 40 for r in rows for i in range(r.num_rows))
+    assert size[3000] <= 1.2 * size[10] and size[10] <= sum(map(len, texts))
