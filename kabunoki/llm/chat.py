@@ -38,12 +38,11 @@ def messages(events: DataFrame) -> DataFrame:
     e = (
         events.select("conv_id", F.col("seq").cast("long").alias("seq"), F.coalesce("kind", F.lit("message")).alias("kind"), F.col("message").cast("long").alias("message"), "role", F.coalesce("text", F.lit("")).alias("text"))
         .where(F.col("conv_id").isNotNull() & F.col("seq").isNotNull() & F.col("message").isNotNull())
-        .dropDuplicates()
+        # One shuffle, by conversation: all that follows groups by conv_id and more.
+        .repartition("conv_id").dropDuplicates()
     )
     replaces = F.col("kind").isin(*REPLACING)
     branches = F.col("kind").isin("edit", "regenerate")
-    # One shuffle, by conversation: the next groupings have conv_id among their keys and all of them keep it.
-    e = e.repartition("conv_id")
     earlier = W.partitionBy("conv_id").orderBy("message").rangeBetween(W.unboundedPreceding, -1)
     e = e.withColumn("cut", F.max(F.when(branches, F.col("seq"))).over(earlier)).where(F.col("cut").isNull() | (F.col("seq") > F.col("cut")))
     order = F.struct("seq", F.when(replaces, 0).otherwise(1).alias("late"), "text")
