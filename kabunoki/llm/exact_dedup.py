@@ -2,20 +2,23 @@
 
 The index is an external table of the SHA-256 digests of all texts admitted so far, bucketed and sorted by digest. A
 batch is first reduced to one row per digest, then sort-merge anti-joined with the index, which is read without a
-shuffle; what is left is written, and its digests are appended. The batch's rows are written before the index grows, so
-a job that dies between the two is repeated without loss.
+shuffle; what is left is written, and its digests are appended. The batch's rows are written before the index grows, in a
+folder that gets the batch's name when it is complete and is never overwritten: ingesting a named batch again, after
+success or after a job that died at any point, gives its stored rows and appends what the index lacks of them.
 
 Cases: a null text counts as an empty one; of rows with equal texts the one with the least id stays (a null id last,
 then by the hash of the other columns; of fully equal rows any one); an empty batch admits nothing; the result has the
-batch's columns, whatever their names.
+batch's columns, whatever their names; very long texts are hashed whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from .shared import documents, fresh_path, inner, width
@@ -35,10 +38,14 @@ class DigestIndex:
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets or width(spark)
         self._open(max(self._generations(), default=0))
 
+    def _files(self, path: str):
+        """(the file system of a path, the path for it)."""
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), root
+
     def _generations(self) -> list[int]:
         jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs, root = self._files(self.path)
         if not fs.exists(root):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(root)]
@@ -60,17 +67,33 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
-        """The rows of ``docs`` whose text neither the index nor an earlier row has; their digests are appended."""
+        """The rows of ``docs`` whose text neither the index nor an earlier row has; their digests are appended. A batch
+        of a name that was ingested before isn't looked at: its rows are those that were admitted then."""
+        name = batch or fresh_path(self.spark, "b").rsplit("/", 1)[1]
+        at = f"{self.path}/batches/{name}"
+        fs, folder = self._files(at)
+        stored = T.StructType([*docs.schema.fields, T.StructField(DIGEST, T.BinaryType())])
+        seen = self.digests().select(F.col("digest").alias(DIGEST)).hint("merge")
+        if fs.exists(folder):
+            kept = self.spark.read.schema(stored).parquet(at)
+            lacks = kept.join(seen, DIGEST, "left_anti")
+        else:
+            self._admit(docs, id_col, text_col, seen, at)
+            kept = lacks = self.spark.read.schema(stored).parquet(at)
+        self._append(lacks.select(F.col(DIGEST).alias("digest"), F.lit(name).alias("batch")), self.name, self.at, "append")
+        return kept.drop(DIGEST)
+
+    def _admit(self, docs: DataFrame, id_col: str, text_col: str, seen: DataFrame, at: str) -> None:
         rest = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)]
         first = W.partitionBy(DIGEST).orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(F.lit(0), *rest))
         one = docs.withColumn(DIGEST, digest(text_col)).withColumn(RANK, F.row_number().over(first)).where(F.col(RANK) == 1).drop(RANK)
-        seen = self.digests().select(F.col("digest").alias(DIGEST)).hint("merge")
-        at = f"{self.path}/batches/{batch or fresh_path(self.spark, 'b').rsplit('/', 1)[1]}"
-        new = one.join(seen, DIGEST, "left_anti")
-        new.write.mode("overwrite").option("compression", "zstd").parquet(at)
-        kept = self.spark.read.schema(new.schema).parquet(at)
-        self._append(kept.select(F.col(DIGEST).alias("digest"), F.lit(at.rsplit("/", 1)[1]).alias("batch")), self.name, self.at, "append")
-        return kept.drop(DIGEST)
+        new = one.join(seen, DIGEST, "left_anti").select(*docs.columns, DIGEST)
+        under_way = f"{self.path}/under-way/{uuid.uuid4().hex}"
+        new.write.option("compression", "zstd").parquet(under_way)
+        fs, folder = self._files(at)
+        fs.mkdirs(folder.getParent())
+        if not fs.rename(self._files(under_way)[1], folder):
+            raise OSError(f"{under_way} can't be renamed to {at}")
 
     def compact(self) -> None:
         """Rewrite the index as one sorted file per bucket, after many appends."""
