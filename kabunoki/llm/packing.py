@@ -9,7 +9,9 @@ improves. The fractional solution is rounded down, what remains is packed first-
 are dealt to documents by their rank in their class.
 
 Cases: a null or empty text has 0 tokens and gets no row; a null id is carried as it is; repeated rows are packed once
-each; an empty table gives an empty result; columns other than the id and the text are not read.
+each, in sequences of their own; of rows of one class the order is by id, then length (equal rows are interchangeable); a
+very long text is cut into as many full pieces as it has; sequences are numbered from 0, first those that are packed, then
+the full ones; an empty table gives an empty result; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -63,7 +65,9 @@ def price(duals: np.ndarray, sizes: np.ndarray, capacity: int, demand: np.ndarra
 def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 5000, gap: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """(patterns as columns, how often each is used): the optimum of the linear relaxation, by revised simplex.
 
-    Columns are added until the solution is within half a sequence, or the share ``gap``, of the optimum. The start is one pattern per class with as many of that class as fit; the basis stays square.
+    Columns are added until the solution is within half a sequence, or the share ``gap``, of the optimum, as Farley's bound
+    proves; if it isn't after ``rounds``, that is an error. The start is one pattern per class with as many of that class as
+    fit; the basis stays square.
     """
     m = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
@@ -92,6 +96,8 @@ def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int
             row = inverse[out] / move[out]
             inverse = inverse - np.outer(move, row)
             inverse[out] = row
+    else:
+        raise ArithmeticError(f"no solution within the gap after {rounds} columns")
     return np.rint(basis).astype(np.int64), x
 
 
@@ -149,17 +155,10 @@ def pack(
         raise ValueError("classes must divide capacity")
     base = written(pieces(docs, bytes_per_token, automaton, id_col, text_col), "packing-lengths")
     rest = F.pmod("n", F.lit(capacity))
-    full = base.where(F.col("n") >= capacity).select(
-        "doc_id",
-        F.posexplode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / capacity) - 1)).alias("piece", "first"),
-    ).select(
-        "doc_id", F.col("piece").cast("long").alias("piece"), (F.col("first") * capacity).alias("first_token"), F.lit(capacity).cast("long").alias("n_tokens"),
-        F.lit("full").alias("sequence_kind"), F.xxhash64("doc_id", "piece").alias("sequence_id"),
-    )
     salts = max(1, width(spark))
+    salt = F.pmod(F.xxhash64("doc_id", "n"), F.lit(salts)).cast("int").alias("salt")
     tail = base.where(rest > 0).select(
-        "doc_id", F.floor(F.col("n") / capacity).cast("long").alias("piece"), rest.alias("len"),
-        F.ceil(rest / F.lit(step)).cast("int").alias("class"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
+        "doc_id", F.floor(F.col("n") / capacity).cast("long").alias("piece"), rest.alias("len"), F.ceil(rest / F.lit(step)).cast("int").alias("class"), salt
     )
     counts = tail.groupBy("class", "salt").count()
     histogram = {r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("count").alias("n")).collect()}
@@ -186,7 +185,19 @@ def pack(
         "doc_id", "piece", (F.col("piece") * capacity).alias("first_token"), F.col("len").alias("n_tokens"), F.lit("packed").alias("sequence_kind"),
         (F.col("s.base") + F.floor((F.col("rank") - F.col("s.lo")) / F.col("s.per"))).cast("long").alias("sequence_id"),
     )
-    return full.unionByName(packed)
+    return _full(base, capacity, salt, sequence).unionByName(packed)
+
+
+def _full(base: DataFrame, capacity: int, salt: F.Column, first: int) -> DataFrame:
+    """The pieces that are sequences of their own, numbered from ``first`` by salt and, within it, by rank."""
+    whole = base.select("doc_id", "n", F.floor(F.col("n") / capacity).cast("long").alias("k"), salt).where("k > 0")
+    # One row per salt: their running sum has as many rows as there are shuffle partitions.
+    before = whole.groupBy("salt").agg(F.sum("k").alias("all")).select("salt", (F.sum("all").over(W.orderBy("salt")) - F.col("all")).alias("before"))
+    rank = W.partitionBy("salt").orderBy(F.col("doc_id").asc_nulls_last(), "n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = whole.withColumn("base", F.sum("k").over(rank) - F.col("k")).join(before, "salt")
+    return placed.select("doc_id", (F.col("base") + F.col("before") + first).alias("base"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("piece")).select(
+        "doc_id", "piece", (F.col("piece") * capacity).alias("first_token"), F.lit(capacity).cast("long").alias("n_tokens"), F.lit("full").alias("sequence_kind"), (F.col("base") + F.col("piece")).alias("sequence_id")
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
