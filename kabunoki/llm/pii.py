@@ -13,8 +13,9 @@ kind in brackets; everything else stays as it was, character for character.
 
 Texts that no rule could touch (told by one linear-time scan in Arrow, over the whole text) never become Python strings.
 
-Cases: a null text stays null, an empty one empty; of overlapping findings the one that begins first stays, of those the
-longest; repeated rows are each treated; an empty table gives an empty result; other columns stay as they are.
+Cases: a null text stays null, an empty one empty; findings that overlap go as one, of the kind of the one that begins
+first, of those the longest; repeated rows are each treated; very long texts are treated whole; an empty table gives an
+empty result; other columns stay as they are, and a column of findings whose name is taken gets underscores behind it.
 """
 
 from __future__ import annotations
@@ -82,9 +83,10 @@ DETECTORS: list[tuple[str, re.Pattern[str], int]] = [
     ("IBAN", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"), 0),
     ("IP", re.compile(rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"), 0),
     ("IP", re.compile(r"(?<![:\w])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![:\w])"), 0),
+    ("IP", re.compile(r"(?<![:\w])(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){1,7}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![:\w])"), 0),
     ("PHONE", re.compile(r"(?<![\w+])(?:\+\d{1,3}[\s.\-]?)(?:\(\d{1,4}\)[\s.\-]?)?\d{1,4}(?:[\s.\-]?\d{2,4}){1,4}(?!\w)"), 0),
     ("PHONE", re.compile(r"(?<![\w+.\-])(?:\d[\s.\-])?(?:\(\d{2,4}\)[\s.\-]?|\d{3,4}[\s.\-])\d{3}[\s.\-]\d{3,4}(?![\w]|[.\-]\d)"), 0),
-    ("SSN", re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"), 0),
+    ("SSN", re.compile(r"(?<![\w\-])\d{3}([\- ])\d{2}\1\d{4}(?![\w\-])"), 0),
     ("NUMBER", re.compile(r"(?<![\w.,\-])\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,7}(?![\w]|[.,\-]\d)"), 0),
     ("NUMBER", re.compile(r"(?<![\w])\d{9,19}(?!\w)"), 0),
 ]
@@ -94,7 +96,7 @@ _S, _H, _D = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{20
 _APART = rf"[{_S}().{_H}]{{0,3}}"
 #: RE2: true of every text on which a transducer or a detector could act.
 TRIGGER = (
-    rf"(?i)@|{_D}{_APART}{_D}{_APART}{_D}{_APART}{_D}|(?:[0-9a-f]{{1,4}}:){{7}}|(?:{_D}{{1,3}}\.){{3}}{_D}|[0-9a-f]{{32}}|token|secret|key|passw|pwd|bearer|akia|gh[pousr]_|sk[{_H}]|xox|eyj|private"
+    rf"(?i)@|{_D}{_APART}{_D}{_APART}{_D}{_APART}{_D}|(?:[0-9a-f]{{1,4}}:){{7}}|[0-9a-f]::[0-9a-f]|(?:{_D}{{1,3}}\.){{3}}{_D}|[0-9a-f]{{32}}|token|secret|key|passw|pwd|bearer|akia|gh[pousr]_|sk[{_H}]|xox|eyj|private"
     rf"|[A-Z]{{2}}{_D}{{2}}(?:[{_S}]?[A-Z0-9]{{4}}){{3}}"
     rf"|[\[({{<][{_S}]*(?:{_AT_WORDS}|{_DOT_WORDS}|\.)[{_S}]*[\])}}>]|[{_S}](?:{_AT_WORDS})[{_S}]+\S+[{_S}]+(?:{_DOT_WORDS})[{_S}]"
     rf"|(?:{_WORD}|{_D}+)(?:[{_S},.{_H}]{{1,3}}(?:{_WORD}|{_D}+)){{4}}"
@@ -209,6 +211,8 @@ def deobfuscate(docs: DataFrame, text_col: str = "text", findings: str | None =
     finding = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     if findings:
+        while findings.lower() in {c.lower() for c in docs.columns}:
+            findings += "_"
         schema = schema.add(findings, T.ArrayType(finding))
     at = docs.columns.index(text_col)
 
