@@ -1,25 +1,26 @@
 """Approximate nearest neighbours of every vector, by multiprobe p-stable hashing.
 
 A table hashes a vector to the floors of its projections on Gaussian directions, shifted and divided by a width. A
-neighbour at distance r lies in a bucket whose coordinates differ from the query's by -1, 0 or 1 with probabilities that
-follow from the query's place within its slots; each query visits perturbed buckets in the order of the product of
-these, until, over all tables, the estimated chance to have met a neighbour at distance r reaches ``target``. In each
-bucket the distances to the visitors are computed as matrix products, the best k of each table are merged, and they are
-ranked by their exact distances.
+neighbour at distance r lies in a bucket whose coordinates differ from the query's by some slots each, with probabilities
+that follow from the query's place within its slots; each query visits the perturbed buckets of the greatest products of
+these, in their order, until, over all tables, the estimated chance to have met a neighbour at distance r reaches
+``target``. The perturbations of a product of at least some bound are found by branch and bound, coordinate by coordinate,
+and the bound is lowered until they are enough: no perturbation of less chance is visited before one of more, however many
+directions there are. In each bucket the distances to the visitors are computed as matrix products, the best k of each
+table are merged, and they are ranked by their exact distances.
 
 Nothing is tuned by hand to a data set: r is ``contrast`` times the root mean square distance of two vectors (a
 statistic over all vectors), the width is ``slots`` times r, and the number of directions grows with the logarithm of
 the number of vectors, so that a bucket keeps about ``bucket`` of them. Vectors travel once per partition that they
-visit; perturbations are scored in pieces for all queries at once, and there is no limit on probes.
+visit; there is no limit on probes.
 
 Cases: vectors that are null, of another length than most, or not finite have no neighbours and are nobody's; an id's
-own rows are not its neighbours; ties go to the lesser id; with less than k others the list is shorter; equal rows count
-once; an empty table gives an empty result; other columns are not read.
+own rows are not its neighbours; ties of the exact distance go to the lesser id; with less than k others the list is
+shorter; equal rows count once; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -39,7 +40,8 @@ TARGET = 0.97
 CONTRAST = 0.8
 SLOTS = 1.5
 BUCKET = 512
-PIECE = 3**7
+REACH = 4  # slots to either side; at the widest that is more than five deviations
+HELD = 4_000_000
 
 
 def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,32 +76,13 @@ class Hashing:
         self.radius = max(contrast * spread, 1e-9)
         self.width = slots * self.radius
         per = max(2.0, 1 + math.sqrt(2) * spread / self.width)  # slots that a direction's projections fill, roughly
-        self.m = max(1, min(24, round(math.log(max(2, count / bucket)) / math.log(per))))
+        self.m = max(1, round(math.log(max(2, count / bucket)) / math.log(per)))
         rng = np.random.default_rng(seed)
         self.a = rng.standard_normal((tables, dims, self.m)).astype(np.float32)
         self.b = (rng.random((tables, self.m)) * self.width).astype(np.float32)
         self.odd = rng.integers(1, 2**63, size=(tables, self.m), dtype=np.uint64) | np.uint64(1)
         self.each = 1 - (1 - target) ** (1 / tables)
 
-    def templates(self) -> Iterator[np.ndarray]:
-        """All perturbations as rows of -1, 0, 1, in pieces: at once if they are few, else those of few changes first."""
-        if 3**self.m <= PIECE:
-            yield np.array(list(itertools.product((0, -1, 1), repeat=self.m)), np.int8)
-            return
-        rows: list[list[int]] = []
-        for changes in range(self.m + 1):
-            for where in itertools.combinations(range(self.m), changes):
-                for signs in itertools.product((-1, 1), repeat=changes):
-                    row = [0] * self.m
-                    for i, s in zip(where, signs):
-                        row[i] = s
-                    rows.append(row)
-                    if len(rows) == PIECE:
-                        yield np.array(rows, np.int8)
-                        rows = []
-        if rows:
-            yield np.array(rows, np.int8)
-
     def places(self, x: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
         y = (x @ self.a[table] + self.b[table]) / self.width
         h = np.floor(y)
@@ -109,31 +92,61 @@ class Hashing:
         return C.mix64((h.astype(np.uint64) * self.odd[table]).sum(axis=-1, dtype=np.uint64))
 
     def probes(self, h: np.ndarray, inside: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, bucket key): each query's probes until the estimated success is enough."""
+        """(query, bucket key): each query's probes, the likeliest first, until the estimated success is enough."""
         s = self.width / self.radius
-        cdf = _normal_cdf(np.stack([-(inside + 1) * s, -inside * s, (1 - inside) * s, (2 - inside) * s]))
-        log = np.log(np.maximum(np.stack([cdf[1] - cdf[0], cdf[2] - cdf[1], cdf[3] - cdf[2]]), 1e-12))
-        # The share of what slots beside the query's own can reach counts as all.
-        enough = self.each * np.exp(np.logaddexp.reduce(log, axis=0).sum(axis=1))
-        have = np.zeros(len(h))
-        queries, keys, live = [], [], np.arange(len(h))
-        for steps in self.templates():
-            total = np.zeros((len(live), len(steps)), np.float32)
-            for i in range(self.m):
-                total += log[:, live, i].T[:, steps[:, i] + 1]
-            chance = np.exp(total)
-            order = np.argsort(-chance, axis=1, kind="stable")
-            reached = have[live, None] + np.cumsum(np.take_along_axis(chance, order, 1), axis=1)
-            before = np.concatenate([have[live, None], reached[:, :-1]], axis=1)
-            q, at = np.nonzero(before < enough[live, None])
-            queries.append(live[q])
-            keys.append(self.keys(h[live[q]] + steps[order[q, at]], table))
-            have[live] = reached[:, -1]
-            live = live[have[live] < enough[live]]
-            if not len(live):
-                break
+        slots = np.arange(-REACH, REACH + 2)
+        log = np.log(np.maximum(np.diff(_normal_cdf((slots - inside[..., None]) * s), axis=-1), 1e-30))
+        order = np.argsort(-log, axis=-1, kind="stable")
+        log = np.take_along_axis(log, order, -1)
+        move = (order - REACH).astype(np.uint64) * self.odd[table][:, None]
+        base = (h.astype(np.uint64) * self.odd[table]).sum(axis=-1, dtype=np.uint64)
+        # What is best beyond each coordinate, to bound a product.
+        rest = np.concatenate([np.cumsum(log[:, ::-1, 0], axis=1)[:, ::-1][:, 1:], np.zeros((len(h), 1))], axis=1)
+        queries, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        todo = [(np.arange(len(h)), log[:, :, 0].sum(axis=1) - 2.0)]
+        while todo:
+            live, bound = todo.pop()
+            found = self._above(log[live], move[live], base[live], rest[live], bound)
+            if found is None:
+                half = len(live) // 2
+                todo += [(live[:half], bound[:half]), (live[half:], bound[half:])]
+                continue
+            q, chance, key = found
+            have = np.bincount(q, chance, len(live))
+            less = have < self.each
+            if less.any():
+                todo.append((live[less], bound[less] - 1.0))
+            done = ~less[q]
+            q, chance, key = q[done], chance[done], key[done]
+            o = np.lexsort((-chance, q))
+            q, chance, key = q[o], chance[o], key[o]
+            before = np.cumsum(chance) - chance
+            first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+            before -= np.repeat(before[first], np.diff(np.append(first, len(q))))
+            keep = before < self.each
+            queries.append(live[q[keep]])
+            keys.append(C.mix64(key[keep]))
         return np.concatenate(queries), np.concatenate(keys)
 
+    def _above(self, log: np.ndarray, move: np.ndarray, base: np.ndarray, rest: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(query, chance, sum of the key) of all perturbations whose log chance is at least the query's bound; None if
+        they are too many to hold for several queries at once."""
+        q, sums, key = np.arange(len(base)), np.zeros(len(base)), base
+        for i in range(self.m):
+            parts = []
+            live = np.arange(len(q))
+            for r in range(log.shape[2]):
+                total = sums[live] + log[q[live], i, r]
+                ok = total + rest[q[live], i] >= bound[q[live]]
+                live, total = live[ok], total[ok]
+                if not len(live):
+                    break
+                parts.append((q[live], total, key[live] + move[q[live], i, r]))
+            q, sums, key = (np.concatenate(x) for x in zip(*parts))
+            if len(q) > HELD and len(base) > 1:
+                return None
+        return q, np.exp(sums), key
+
 
 def _normal_cdf(x: np.ndarray) -> np.ndarray:
     """Abramowitz and Stegun 26.2.17; the error is below 1e-7."""
@@ -239,6 +252,9 @@ def _search(batches: Iterator[pa.RecordBatch], dims: int, k: int) -> Iterator[pa
                 both = np.concatenate([best[q], d], axis=1)
                 names = np.concatenate([near[q], names], axis=1)
                 top = np.argpartition(both, k - 1, axis=1)[:, :k]
+                worst = np.take_along_axis(both, top, 1).max(axis=1)
+                for r in np.flatnonzero(((both <= worst[:, None]).sum(axis=1) > k) & (worst < np.inf)).tolist():  # ties at the last place
+                    top[r] = np.lexsort((ids[names[r]], both[r]))[:k]
                 best[q], near[q] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
     q, at = np.nonzero(near >= 0)
     n = near[q, at]
