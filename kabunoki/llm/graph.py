@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from . import columnar as C
-from .shared import if_small, ship, width, written
+from .shared import forget, if_small, ship, width, written
 
 
 def buckets(spark: SparkSession) -> int:
@@ -127,7 +127,8 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
             .select("x.a", "x.b").where("a <> b").distinct()
         )
-        e = written(small, "edges")
+        before, e = e, written(small, "edges")
+        forget(before)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == (now["n"], now["h"]):
             break

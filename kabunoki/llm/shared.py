@@ -18,12 +18,14 @@ _own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where it is unset, a local one that this
-    process removes at its end."""
+    """The folder of this application in the one that all executors share, spark.checkpoint.dir. Where that is unset a
+    local one serves, which this process removes at its end, if all executors are on this machine; else it's an error."""
+    app = spark.sparkContext.applicationId
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+        return f"{named.rstrip('/')}/kabunoki-{app}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="kabunoki-")
         atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
@@ -40,7 +42,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
 def stable(df: DataFrame, name: str) -> DataFrame:
@@ -56,6 +60,24 @@ def if_small(df: DataFrame, *more: F.Column) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a written table that nothing will read again."""
+    files, path = _files(df.sparkSession, df._written)
+    files.delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote in the shared folder; for a job's owner, when its results are
+    stored."""
+    files, path = _files(spark, scratch(spark))
+    files.delete(path, True)
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def width(spark: SparkSession) -> int:
     """The number of shuffle partitions, which a job's owner sets for the size of the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -4,11 +4,13 @@ A document is a bag of sentences; its label says only whether some sentence is t
 function of its words (hashed), a document's is the noisy-or of its sentences' scores, and the weights are fitted to
 document labels by the gradient of that likelihood with an L1 proximal step. Sentence scores then locate what offends.
 
-The model is fitted on at most ``max_labelled`` labelled documents, those with the least hash of their id; scoring
-covers every sentence of every document. The weights are a table of 2**BITS numbers, whatever the corpus.
+The model is fitted on at most ``max_labelled`` labelled documents, those with the least hash of their id, and on words
+that at least ``LEAST_DOCUMENTS`` of these have: a rarer word has no weight. Scoring covers every sentence of every
+document. The weights are a table of 2**BITS numbers, whatever the corpus.
 
 Cases: a null or empty text has no sentences and is never toxic; labels that are null or contradict each other for an id
-are left out; with no toxic or no clean labels nothing is flagged; a repeated row is flagged each time it occurs; an
+are left out; with no toxic or no clean labels nothing is flagged; a repeated row is flagged each time it occurs; of
+sentences that tie for the worst of a toxic document all are listed; a very long text is one bag of all its sentences; an
 empty table gives an empty result; columns other than the id and the text are not read.
 """
 
@@ -28,6 +30,7 @@ from .shared import documents, in_arrow
 BITS = 18
 MAX_LABELLED = 12_000
 THRESHOLD = 0.5
+LEAST_DOCUMENTS = 3
 SCHEMA = "doc_id long, doc_score double, sentence_no int, sentence string, sentence_score double"
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?\n"]] = True
@@ -61,7 +64,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 150, rate: float = 0.2,
         sentences += len(d)
     bucket, sent, doc = (np.concatenate(x) for x in zip(*parts))
     seen = np.unique(bucket.astype(np.int64) << 32 | doc[sent])
-    often = np.bincount(seen >> 32, minlength=1 << BITS) >= 3
+    often = np.bincount(seen >> 32, minlength=1 << BITS) >= LEAST_DOCUMENTS
     keep = often[bucket]
     bucket, sent = bucket[keep], sent[keep]
     used, f = np.unique(bucket, return_inverse=True)

@@ -77,6 +77,19 @@ def test_exact_dedup_keeps_first_and_persists(spark, docs):
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan  # the index isn't shuffled
 
 
+def test_exact_dedup_repeats_a_named_batch_without_loss(spark):
+    index = exact_dedup.DigestIndex(spark, fresh_path(spark, "index"), 2)
+    day = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
+    for _ in range(2):
+        assert sorted(r.doc_id for r in index.ingest(day, batch="day1").collect()) == [1, 2]
+    assert index.digests().count() == 2
+    # A job that died after its rows were stored and before the index grew.
+    more = spark.createDataFrame([(4, "c"), (5, "b")], "doc_id long, text string")
+    index._admit(more, "doc_id", "text", index.digests().selectExpr(f"digest AS {exact_dedup.DIGEST}"), f"{index.path}/batches/day2")
+    assert [r.doc_id for r in index.ingest(more, batch="day2").collect()] == [4] and index.digests().count() == 3
+    assert index.ingest(more).count() == 0 and index.ingest(empty(spark), batch="none").count() == 0
+
+
 # 2. personal data
 
 
@@ -140,6 +153,30 @@ def test_pii_spelled_numbers_of_any_length():
     assert pii.redact("one two three four five six")[0] == "one two three four five six"
 
 
+def test_pii_addresses_numbers_and_overlaps():
+    assert pii.redact("host 2001:db8::1 and fe80::2 up")[0] == "host [IP] and [IP] up"
+    assert pii.redact("ssn 123 45 6789; std::vector, 12::")[0] == "ssn [SSN]; std::vector, 12::"
+    text = "token: ann@mail.com!"
+    assert pii.find(text) == [(7, len(text), "SECRET")]  # the mail address lies in the secret, which begins as early and is longer
+    for t in ("2001:db8::1", "123 45 6789"):
+        assert pa.compute.match_substring_regex(pa.array([t]), pii.TRIGGER).to_pylist() == [True]
+
+
+def test_pii_batches_equal_single_texts(spark, docs):
+    """Brute force: every text of the test table on its own, without the prefilter."""
+    d = spark.read.parquet(DATA + "/documents.parquet") if os.path.isdir(DATA) else docs
+    got = {r.doc_id: (r.text, [(f.start, f.end, f.kind) for f in r.findings]) for r in pii.deobfuscate(d, findings="findings").collect()}
+    for r in d.collect():
+        assert got[r.doc_id] == pii.redact(r.text)
+        for a, b, _ in got[r.doc_id][1]:
+            assert r.text[a:b].strip()
+
+
+def test_pii_column_of_findings_whose_name_is_taken(spark):
+    d = spark.createDataFrame([("a@b.com", "x")], "text string, Findings string")
+    assert pii.deobfuscate(d, findings="findings").columns == ["text", "Findings", "findings_"]
+
+
 def test_pii_keeps_rows_and_columns(spark, docs):
     out = pii.deobfuscate(docs, findings="findings")
     assert out.columns == [*docs.columns, "findings"] and out.count() == docs.count()
@@ -185,6 +222,66 @@ def test_ann_rows_that_repeat_take_no_places(spark, times, shift):
     assert np.mean([len({n for _, n in by[i]} & set(want[i].tolist())) / 5 for i in range(len(x))]) >= 0.9
 
 
+@pytest.mark.parametrize("m", [1, 3, 8, 12])
+def test_ann_probes_in_order_of_success_until_the_target(m):
+    hashing = ann.Hashing(16, 1000, 5.0, 2, 0.8, 1.5, 512, 0.97)
+    hashing.m = m
+    rng = np.random.default_rng(m)
+    hashing.a, hashing.b = rng.standard_normal((2, 16, m)).astype(np.float32), rng.random((2, m)).astype(np.float32) * np.float32(hashing.width)
+    hashing.odd = rng.integers(1, 2**63, size=(2, m), dtype=np.uint64) | np.uint64(1)
+    x = rng.standard_normal((20, 16)).astype(np.float32) * 5
+    h, inside = hashing.places(x, 0)
+    q, key = hashing.probes(h, inside, 0)
+    chance = _slot_chances(hashing, inside)
+    for i in range(len(x)):
+        own = key[q == i]
+        assert own[0] == hashing.keys(h[i] + chance[i].argmax(axis=-1) - ann.REACH, 0) and len(set(own.tolist())) == len(own)
+        if m <= 3:  # every perturbation, scored one by one
+            every = np.stack(np.meshgrid(*[np.arange(-ann.REACH, ann.REACH + 1)] * m, indexing="ij"), -1).reshape(-1, m)
+            p = np.prod([chance[i, j, every[:, j] + ann.REACH] for j in range(m)], axis=0)
+            order = np.argsort(-p, kind="stable")
+            n = int(np.searchsorted(np.cumsum(p[order]), hashing.each)) + 1
+            assert len(own) == n and set(own.tolist()) == set(hashing.keys(h[i] + every[order[:n]], 0).tolist())
+    # Neighbours at the radius are met as often as the target says.
+    met, tries = 0, 4000
+    for t in range(2):
+        h, inside = hashing.places(x, t)
+        q, key = hashing.probes(h, inside, t)
+        has = [set(key[q == i].tolist()) for i in range(len(x))]
+        step = np.random.default_rng(5).standard_normal((tries, 16)).astype(np.float32)
+        step *= np.float32(hashing.radius) / np.linalg.norm(step, axis=1, keepdims=True)
+        near = x[np.arange(tries) % len(x)] + step
+        hit = np.array([k in has[i % len(x)] for i, k in enumerate(hashing.keys(hashing.places(near, t)[0], t).tolist())])
+        met = hit if t == 0 else met | hit
+    assert np.mean(met) >= 0.9
+
+
+def _slot_chances(hashing, inside):
+    slots = np.arange(-ann.REACH, ann.REACH + 2)
+    return np.diff(ann._normal_cdf((slots - inside[..., None]) * hashing.width / hashing.radius), axis=-1)
+
+
+@pytest.mark.parametrize("bucket", [40, 2])
+def test_ann_recall_with_many_directions(spark, bucket):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(60, 1, 16)) + 0.3 * rng.normal(size=(60, 20, 16))).reshape(-1, 16).astype(np.float32)
+    by = collections.defaultdict(set)
+    for r in ann.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), k=5, bucket=bucket).collect():
+        by[r.vec_id].add(r.neighbour_id)
+    d = ((x[:, None, :] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1)[:, :5]
+    assert np.mean([len(by[i] & set(want[i].tolist())) / 5 for i in range(len(x))]) >= 0.9
+
+
+def test_ann_ties_go_to_the_lesser_id(spark):
+    rows = [(i, [0.0, 0.0] if i % 2 else [1.0, 0.0]) for i in range(40)]
+    got = collections.defaultdict(list)
+    for r in sorted(ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).collect(), key=lambda r: (r.vec_id, r.rank)):
+        got[r.vec_id].append(r.neighbour_id)
+    assert all(got[i] == [j for j in range(40) if j % 2 == i % 2 and j != i][:3] for i in range(40))
+
+
 # 4. languages
 
 
@@ -477,6 +574,56 @@ def test_packing_holds_all_tokens_within_capacity(spark, docs):
 
 
 @pytest.mark.skipif(not os.path.exists(bpe.VOCABULARY), reason="needs the vocabulary file")
+def test_packing_of_repeated_rows_and_null_ids(spark):
+    d = spark.createDataFrame([(1, "x" * 700), (1, "x" * 700), (None, "y" * 700), (None, "y" * 700), (2, "z" * 256)], "doc_id long, text string")
+    rows = packing.pack(d, capacity=64, classes=64).collect()
+    held = collections.Counter()
+    for r in rows:
+        held[r.sequence_id] += r.n_tokens
+    assert max(held.values()) <= 64 and sum(held.values()) == 4 * 175 + 64 and sorted(held) == list(range(len(held)))
+
+
+def test_packing_of_small_cases_is_near_the_optimum():
+    def optimum(items, capacity):
+        best = len(items)
+
+        def place(k, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if k == len(items):
+                best = len(bins)
+                return
+            for i in range(len(bins)):
+                if bins[i] + items[k] <= capacity:
+                    place(k + 1, [*bins[:i], bins[i] + items[k], *bins[i + 1 :]])
+            place(k + 1, [*bins, items[k]])
+
+        place(0, [])
+        return best
+
+    rng = random.Random(8)
+    for _ in range(30):
+        capacity = rng.randint(10, 20)
+        items = sorted((rng.randint(2, capacity) for _ in range(9)), reverse=True)
+        sizes, demand = np.unique(items, return_counts=True)
+        patterns = packing.plan(sizes, demand, capacity)
+        assert (sum(p * n for p, n in patterns) == demand).all() and all(p @ sizes <= capacity for p, _ in patterns)
+        assert optimum(items, capacity) <= sum(n for _, n in patterns) <= optimum(items, capacity) + 1
+
+
+def test_pricing_is_the_best_pattern():
+    import itertools
+
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        sizes, capacity = np.unique(rng.integers(2, 9, 4)), 14
+        duals = rng.random(len(sizes))
+        value, pattern = packing.price(duals, sizes, capacity, np.ones(len(sizes)))
+        every = [duals @ p for p in map(np.array, itertools.product(range(8), repeat=len(sizes))) if sizes @ p <= capacity]
+        assert value == pytest.approx(max(every)) and duals @ pattern == pytest.approx(value) and sizes @ pattern <= capacity
+
+
 def test_packing_counts_real_tokens(spark, docs):
     machine = bpe.load()
     want = collections.Counter()
