@@ -62,22 +62,41 @@ def price(duals: np.ndarray, sizes: np.ndarray, capacity: int, demand: np.ndarra
     return float(best[capacity]), pattern
 
 
-def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 5000, gap: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 5000, gap: float = 1e-5, smooth: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """(patterns as columns, how often each is used): the optimum of the linear relaxation, by revised simplex.
 
     Columns are added until the solution is within half a sequence, or the share ``gap``, of the optimum, as Farley's bound
-    proves; if it isn't after ``rounds``, that is an error. The start is one pattern per class with as many of that class as
-    fit; the basis stays square.
+    proves; if it isn't after ``rounds``, that is an error. The start is first-fit decreasing: each of its patterns uses up
+    a class that no later one has, so they are a basis. Prices are smoothed towards those of the best bound so far.
     """
     m = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
+    left = demand.astype(float).copy()
+    while (left > 1e-9).any():
+        p, room = np.zeros(m), capacity
+        for c in np.flatnonzero(left > 1e-9)[::-1]:
+            p[c] = room // sizes[c]
+            room -= p[c] * sizes[c]
+        used = np.flatnonzero(p)
+        often = left[used] / p[used]
+        out = used[often.argmin()]
+        basis[:, out] = p
+        left[used] -= often.min() * p[used]
+        left[out] = 0
     inverse = np.linalg.inv(basis)
-    x = inverse @ demand
+    x = np.maximum(inverse @ demand, 0)
+    centre = sizes / capacity  # no pattern is worth more than 1 at these prices
+    bound = float(centre @ demand)
     for k in range(rounds):
         duals = inverse.sum(axis=0)
-        value, pattern = price(duals, sizes, capacity, demand)
-        # Farley's bound: no solution uses fewer than sum(x) / value sequences.
-        if value <= 1 + 1e-9 or x.sum() - x.sum() / value < max(0.5, gap * x.sum()):
+        for prices in (smooth * centre + (1 - smooth) * np.maximum(duals, 0), duals):
+            value, pattern = price(prices, sizes, capacity, demand)
+            # No solution uses fewer sequences than the demand is worth at prices at which no pattern is worth more than 1.
+            if prices @ demand > bound * max(value, 1e-12):
+                bound, centre = float(prices @ demand / value), np.maximum(prices, 0) / value
+            if duals @ pattern > 1 + 1e-9:
+                break
+        if value <= 1 + 1e-9 and prices is duals or x.sum() - bound < max(0.5, gap * x.sum()):
             break
         move = inverse @ pattern
         up = move > 1e-9
