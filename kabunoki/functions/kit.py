@@ -20,13 +20,13 @@ def settle(x: Column, digits: int = 6) -> Column:
 
 def percentile_rank(value: Column, *by: str | Column, ascending: bool = True) -> Column:
     """Average-tie rank divided by the number of non-null values; null for null."""
-    # The mean of the ranks among ties from either end; both windows have one partitioning, so a frame of many columns is
-    # shuffled once.
+    # Twice the mean of the ranks among ties, from one sort; all windows of a frame have one partitioning, so it is
+    # shuffled once however many columns are ranked.
     w = W.partitionBy(*by)
-    up, down = F.rank().over(w.orderBy(value.asc_nulls_last())), F.rank().over(w.orderBy(value.desc_nulls_last()))
-    low, high = (up, down) if ascending else (down, up)
+    order = w.orderBy(value.asc_nulls_last())
     n = F.count(value).over(w)
-    return F.when(value.isNotNull(), (low + n + 1 - high) / 2.0 / n)
+    twice = 2 * F.rank().over(order) + F.count(value).over(order.rangeBetween(W.currentRow, W.currentRow)) - 1
+    return F.when(value.isNotNull(), (twice if ascending else 2 * n + 2 - twice) / 2.0 / n)
 
 
 def rank_desc(value: Column, *by: str | Column) -> Column:
@@ -52,14 +52,25 @@ def growth(now: Column, before: Column) -> Column:
 
 
 def canonical_code(code: Column) -> Column:
-    """Codes of five characters that end in 0 lose it."""
-    c = F.trim(code)
+    """Codes in capitals without white space around and the suffix ".T"; of five characters that end in 0, without it."""
+    c = F.regexp_replace(F.upper(F.regexp_replace(code, r"(?U)^\s+|\s+$", "")), r"\.T$", "")
     return F.when((F.length(c) == 5) & c.endswith("0"), F.left(c, F.lit(4))).otherwise(c)
 
 
 def provider_symbol(code: Column, provider: str) -> Column:
-    """The symbol under which a data provider lists a canonical code."""
-    return F.concat(code, F.lit({"listing": "0", "quotes": ".T"}[provider]))
+    """The symbol under which a data provider lists a canonical code: ``listing`` has five characters, ``quotes`` a
+    suffix."""
+    c = F.regexp_replace(code, r"(?U)^\s+|\s+$", "")
+    if provider == "quotes":
+        return F.concat(c, F.lit(".T"))
+    if provider == "listing":
+        return F.when(F.length(c) >= 5, c).otherwise(F.concat(c, F.lit("0")))
+    raise ValueError(f"no provider {provider}")
+
+
+def collapse(text: Column) -> Column:
+    """Runs of white space as one blank, none at the ends; ideographic spaces count."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def squeeze(text: Column) -> Column:

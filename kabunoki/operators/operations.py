@@ -6,6 +6,8 @@ rows. The shuffle is by key, on both sides, and none if they are bucketed by it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -13,19 +15,68 @@ from pyspark.sql.window import Window as W
 from kabunoki.operators.documents import first_per_key
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Insert or replace by key. Columns match by name; what ``new`` lacks keeps its old value. Of several incoming rows
-    of a key the first in ``order`` counts."""
-    new = first_per_key(new, keys, *(order or [F.lit(0)]))
+    of a key the first in ``order`` counts; the order should be total."""
+    new = first_per_key(new, keys, *order)
     lacking = [c for c in old.columns if c not in new.columns]
     if lacking:
         new = new.join(old.select(*keys, *lacking), keys, "left")
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*[F.col(c).cast(old.schema[c].dataType) for c in old.columns]))
 
 
-def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Insert or ignore by key."""
-    return old.unionByName(first_per_key(new, keys, F.lit(0)).join(old.select(*keys), keys, "left_anti"))
+def upsert_by_position(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``upsert`` of rows whose columns match the table's by their place, whatever they are called. ``order`` is over the
+    table's names."""
+    if len(new.columns) != len(old.columns):
+        raise ValueError(f"{len(new.columns)} columns for a table of {len(old.columns)}")
+    return upsert(old, new.toDF(*old.columns), keys, order)
+
+
+def insert_new(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Insert or ignore by key; of several incoming rows of a key the first in ``order`` counts."""
+    return old.unionByName(first_per_key(new, keys, *order).join(old.select(*keys), keys, "left_anti"))
+
+
+def update(table: DataFrame, where: Column, **values: Column | object) -> DataFrame:
+    """``table`` with columns set to new values in the rows where the condition holds; where it is null they stay."""
+    return table.withColumns({c: F.when(where, v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(c)).cast(table.schema[c].dataType) for c, v in values.items()})
+
+
+MESSAGE = 4000  # characters of a journal's message
+
+
+def journal_message(text: Column) -> Column:
+    return F.left(F.coalesce(text, F.lit("")), F.lit(MESSAGE))
+
+
+def start_run(runs: DataFrame, run_id: str, scheduled: str, now: Column, version: str) -> DataFrame:
+    """The journal with stale runs aborted and a new one running."""
+    row = {"batch_run_id": F.lit(run_id), "scheduled_date": F.lit(scheduled).cast("date"), "started_at": now, "status": F.lit("running"), "pipeline_version": F.lit(version)}
+    new = runs.sparkSession.range(1).select(*[row.get(c, F.lit(None)).cast(runs.schema[c].dataType).alias(c) for c in runs.columns])
+    return recover_stale(runs, now).unionByName(new)
+
+
+def finish_run(runs: DataFrame, run_id: str, status: str, now: Column, message: str = "") -> DataFrame:
+    return update(runs, F.col("batch_run_id") == run_id, finished_at=now, status=status, message=journal_message(F.lit(message)))
+
+
+def finish_step(steps: DataFrame, run_id: str, step: str, attempt: int, status: str, now: Column, message: str = "", **counts: int) -> DataFrame:
+    """The journal of steps with one attempt finished; ``counts`` are processed_count, success_count and error_count."""
+    mine = (F.col("batch_run_id") == run_id) & (F.col("step_name") == step) & (F.col("attempt") == attempt)
+    return update(steps, mine, finished_at=now, status=status, message=journal_message(F.lit(message)), **counts)
+
+
+def watermark(marks: DataFrame, source: str, stream: str) -> str | None:
+    """How far a source's stream has been read; None if it hasn't."""
+    row = marks.where((F.col("source") == source) & (F.col("stream") == stream)).select("watermark_value").first()
+    return row[0] if row else None
+
+
+def set_watermark(marks: DataFrame, source: str, stream: str, value: str, now: Column, run_id: str | None = None) -> DataFrame:
+    row = {"source": F.lit(source), "stream": F.lit(stream), "watermark_value": F.lit(value), "updated_at": now, "batch_run_id": F.lit(run_id)}
+    new = marks.sparkSession.range(1).select(*[row[c].cast(marks.schema[c].dataType).alias(c) for c in marks.columns])
+    return upsert(marks, new, ["source", "stream"], [F.lit(0)])
 
 
 def merge_documents(old: DataFrame, new: DataFrame, keys: list[str], status: str, kept_if: Column, initial: str) -> DataFrame:
@@ -46,15 +97,35 @@ def merge_documents(old: DataFrame, new: DataFrame, keys: list[str], status: str
 
 
 def recover_stale(runs: DataFrame, now: Column, hours: int = 6) -> DataFrame:
-    """Runs that have been running for too long are aborted."""
+    """Runs that have been running for too long are aborted, and their message says so."""
     stale = (F.col("status") == "running") & (F.col("started_at") < now - F.make_interval(hours=F.lit(hours)))
-    return runs.withColumns({"status": F.when(stale, "aborted").otherwise(F.col("status")), "finished_at": F.when(stale, now).otherwise(F.col("finished_at"))})
+    return update(runs, stale, status="aborted", finished_at=now, message=F.concat(F.coalesce("message", F.lit("")), F.lit(" recovered as stale")))
+
+
+def requeue(queue: DataFrame, failed: DataFrame, now: Column, action: str = "collect_document", minutes: int = 15) -> DataFrame:
+    """The retry queue with one pending row, due in some minutes, for each failed item (source, item_key, error). A
+    pending row of the item that is there already goes. The id is the hash of source, item and time, so a repeated job
+    gives the same."""
+    key = ["source", "item_key"]
+    items = failed.groupBy(*key).agg(F.max("error").alias("error"))
+    rest = queue.join(items.select(*key, F.lit("pending").alias("status")), [*key, "status"], "left_anti").select(*queue.columns)
+    new = items.select(
+        F.sha2(F.concat_ws("\n", *key, now.cast("string")), 256).alias("retry_id"), *key, F.lit(action).alias("action"), F.lit(1).alias("attempt_count"), (now + F.make_interval(mins=F.lit(minutes))).alias("next_attempt_at"),
+        F.lit("pending").alias("status"), journal_message(F.col("error")).alias("last_error"), now.alias("created_at"), now.alias("updated_at"),
+    )
+    return rest.unionByName(new)
+
+
+def resolve(queue: DataFrame, source: str, now: Column, item: str | None = None) -> DataFrame:
+    """What was pending of a source (or of one of its items) is resolved, as it has succeeded."""
+    done = (F.col("source") == source) & (F.col("status") == "pending")
+    return update(queue, done & (F.col("item_key") == item) if item is not None else done, status="resolved", updated_at=now)
 
 
-def requeue(queue: DataFrame, failed: DataFrame, now: Column, minutes: int = 15) -> DataFrame:
-    """The retry queue with one pending row, due in some minutes, for each failed item (source, item)."""
-    rest = queue.join(failed.select("source", "item"), ["source", "item"], "left_anti").unionByName(queue.where("status <> 'pending'").join(failed.select("source", "item"), ["source", "item"], "left_semi"))
-    return rest.unionByName(failed.select("source", "item", F.lit("pending").alias("status"), (now + F.make_interval(mins=F.lit(minutes))).alias("due_at")))
+def within_horizon(watermark: Column, today: Column, days: int = 30) -> Column:
+    """A watermark no older than the day before a source's horizon: older days can't be fetched any more."""
+    earliest = F.date_sub(today.cast("date"), days + 1)
+    return F.when(watermark.isNotNull(), F.greatest(watermark.cast("date"), earliest))
 
 
 def catch_up(watermark: Column, target: Column, most: int = 7) -> Column:
@@ -66,7 +137,13 @@ def catch_up(watermark: Column, target: Column, most: int = 7) -> Column:
 
 def fetch_window(gap_days: Column) -> Column:
     """How much history to ask for after a gap."""
-    return F.when(gap_days.isNull() | (gap_days > 80), "2y").when(gap_days > 25, "3mo").otherwise("1mo")
+    return F.when(gap_days.isNull() | (gap_days > 90), "2y").when(gap_days > 30, "3mo").otherwise("1mo")
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n)."""
+    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n") for name, t in tables.items()]
+    return reduce(DataFrame.unionAll, counts)
 
 
 def duplicate_keys(frame: DataFrame, keys: list[str]) -> DataFrame:
@@ -141,17 +218,86 @@ def coverage(members: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
     ).drop("_ranked", "_confidence")
 
 
-def month_counts(bars: DataFrame, codes: DataFrame) -> DataFrame:
-    """(canonical_code, month, bars): every month from the first to the last of any bar, 0 where a code has none."""
-    b = bars.join(codes, "canonical_code", "left_semi").withColumn("month", F.trunc("trade_date", "month"))
-    spine = bars.agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("b")).select(F.explode(F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("INTERVAL 1 MONTH"))).alias("month"))
+def ranked_codes(inputs: DataFrame, limit: int, rank: str = "rank_6m") -> DataFrame:
+    """(canonical_code, place, label) of the first securities by rank, then code."""
+    one = first_per_key(inputs, ["canonical_code"], F.col(rank).asc_nulls_last(), F.col("company_name"))
+    # A row per security, ranked in one partition.
+    placed = one.withColumn("place", F.row_number().over(W.orderBy(F.col(rank).asc_nulls_last(), "canonical_code")).cast("long"))
+    return placed.where(F.col("place") <= limit).select("canonical_code", "place", F.concat_ws(" ", "canonical_code", "company_name").alias("label"))
+
+
+def disclosure_events(filings: DataFrame, codes: DataFrame, period: tuple[str | None, str | None] = (None, None)) -> DataFrame:
+    """Distinct (canonical_code, month, disclosure_date, current_period_type, document_type, label) of the codes'
+    disclosures in a period; the label is the period's type or else the document's."""
+    d = F.col("disclosure_date")
+    f = filings.join(codes.select("canonical_code"), "canonical_code", "left_semi")
+    for bound, holds in ((period[0], lambda x: d >= x), (period[1], lambda x: d <= x)):
+        if bound:
+            f = f.where(holds(F.lit(bound).cast("date")))
+    kinds = ["current_period_type", "document_type"]
+    return f.select("canonical_code", F.trunc("disclosure_date", "month").alias("month"), "disclosure_date", *kinds).distinct().withColumn("label", F.coalesce(*kinds).cast("string"))
+
+
+def month_counts(bars: DataFrame, codes: DataFrame, period: tuple[str | None, str | None] = (None, None)) -> DataFrame:
+    """(canonical_code, month, bars): every month of the period, or else from the first to the last of any bar, 0 where a
+    code has none."""
+    start, end = (F.lit(x).cast("date") for x in period)
+    limits = bars.agg(F.coalesce(start, F.min("trade_date")).alias("a"), F.coalesce(end, F.max("trade_date")).alias("b"))
+    b = bars.join(codes, "canonical_code", "left_semi").crossJoin(F.broadcast(limits)).where(F.col("trade_date").between(F.col("a"), F.col("b")))  # one row
+    b = b.withColumn("month", F.trunc("trade_date", "month"))
+    spine = limits.select(F.explode(F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("INTERVAL 1 MONTH"))).alias("month"))
     grid = codes.select("canonical_code").crossJoin(spine.select(F.col("month").cast("date").alias("month")))
     return grid.join(b.groupBy("canonical_code", "month").agg(F.count(F.lit(1)).alias("bars")), ["canonical_code", "month"], "left").withColumn("bars", F.coalesce("bars", F.lit(0)).cast("long"))
 
 
-def availability(frame: DataFrame, layers: dict[str, tuple[list[str], int]]) -> DataFrame:
-    """canonical_code and a 0/1 column per layer: whether at least so many of its columns have values."""
-    return frame.select("canonical_code", *[(sum((F.col(c).isNotNull().cast("int") for c in cs), F.lit(0)) >= k).cast("long").alias(name) for name, (cs, k) in layers.items()])
+PRICE_LAYER = "return_1m return_3m return_6m return_12m momentum_12_1 volatility_20d volatility_60d downside_volatility_60d max_drawdown_252d high_52w_distance log_average_turnover_20d".split()
+FINANCIAL_LAYER = "per pbr roe equity_ratio operating_margin sales_yoy operating_profit_yoy eps_yoy forecast_eps_revision financial_completeness".split()
+#: What each layer needs: all of the conditions, each so many values in some columns.
+LAYERS: dict[str, list[tuple[list[str], int]]] = {
+    "price_date": [(["price_date"], 1)], "disclosure_date": [(["disclosure_date"], 1)], "price_features": [(PRICE_LAYER, 3)], "financial_features": [(FINANCIAL_LAYER, 1)],
+    "model_input": [(PRICE_LAYER, 3), (["financial_completeness"], 1)], "label_6m": [(["forward_return_6m"], 1)], "label_12m": [(["forward_return_12m"], 1)],
+}
+
+
+def has_layer(needs: list[tuple[list[str], int]]) -> Column:
+    """Whether each group of columns has at least so many values."""
+    return reduce(lambda a, b: a & b, [sum((F.col(c).isNotNull().cast("int") for c in cs), F.lit(0)) >= k for cs, k in needs])
+
+
+def availability(frame: DataFrame, layers: dict[str, list[tuple[list[str], int]]] = LAYERS, keys: tuple[str, ...] = ("canonical_code",)) -> DataFrame:
+    """The keys and a 0/1 column per layer."""
+    return frame.select(*keys, *[has_layer(needs).cast("long").alias(name) for name, needs in layers.items()])
+
+
+def availability_matrix(frame: DataFrame, layer: list[tuple[list[str], int]], names: DataFrame, order: DataFrame | None = None, limit: int | None = None, date: str = "evaluation_date") -> DataFrame:
+    """(place, ticker_label, a 0/1 column per month): whether each security has a layer in each month, 0 where it has no
+    row. Securities come in the order of ``order`` (canonical_code, model_rank), if given, then of codes; months are named
+    YYYY-MM. ``names`` has canonical_code and company_name. One row per security and one column per month come out, and
+    the months are few, so they are listed first."""
+    one = names.groupBy("canonical_code").agg(F.min("company_name").alias("company_name"))
+    codes = frame.select("canonical_code").distinct().join(one, "canonical_code", "left")
+    place = [F.col("canonical_code")]
+    if order is not None:
+        codes, place = codes.join(order.select("canonical_code", "model_rank"), "canonical_code", "left"), [F.col("model_rank").asc_nulls_last(), *place]
+    # A row per security, ranked in one partition.
+    codes = codes.withColumn("place", F.row_number().over(W.orderBy(*place)).cast("long"))
+    if limit is not None:
+        codes = codes.where(F.col("place") <= limit)
+    label = F.concat_ws(" ", "canonical_code", F.coalesce("company_name", F.lit("-"))).alias("ticker_label")
+    cells = frame.select("canonical_code", F.date_format(date, "yyyy-MM").alias("month"), has_layer(layer).cast("long").alias("has")).join(codes.select("canonical_code", "place", label), "canonical_code")
+    months = [r[0] for r in frame.select(F.date_format(date, "yyyy-MM").alias("m")).where("m IS NOT NULL").distinct().orderBy("m").collect()]
+    return cells.groupBy("place", "ticker_label").pivot("month", months).agg(F.max("has")).na.fill(0, months)
+
+
+def coverage_counters(coverage: DataFrame) -> DataFrame:
+    """One row: how many securities there are, and how many have what the coverage report counts."""
+    tests = {"price_252": "price_rows >= 252", "financial_3": "financial_periods >= 3", "core_complete": "core_coverage_pct = 100", "with_source": "source_document_count > 0", "with_analysis": "analysis_count > 0"}
+    return coverage.agg(F.count(F.lit(1)).alias("securities"), *[F.count(F.when(F.expr(x), F.lit(1))).alias(name) for name, x in tests.items()])
+
+
+def sector_summary(ranks: DataFrame, score: str = "score_12m") -> DataFrame:
+    """(sector33_name, companies, median_score), the smallest sectors first; securities without a sector are one."""
+    return ranks.groupBy("sector33_name").agg(F.count("canonical_code").alias("companies"), F.median(score).alias("median_score")).orderBy("companies", F.col("sector33_name").asc_nulls_last())
 
 
 def published_prices(bars: DataFrame, events: DataFrame) -> DataFrame:

@@ -158,22 +158,6 @@ def scores(features: DataFrame, date: str) -> DataFrame:
     )
 
 
-def _history(seg: DataFrame) -> DataFrame:
-    """Valid bars with one-step returns within their segments and rolling features."""
-    by = W.partitionBy("canonical_code", "segment").orderBy("trade_date")
-    valid = seg.where("valid").withColumn("_r", F.col("return_price") / F.lag("return_price").over(by) - 1)
-    quoted = finite(F.col("valuation_price"))
-    month = by.rowsBetween(-19, 0)
-    valid = valid.withColumns(_windows("return_price"))
-    return valid.withColumns(
-        {
-            "average_volume_20d": F.avg("clean_volume").over(month),
-            "average_turnover_20d": F.avg(quoted * F.col("clean_volume")).over(month),
-            "_past": F.collect_list("return_price").over(by.rowsBetween(1 - YEAR, 0)),
-        }
-    )
-
-
 def price_features(cleaned: DataFrame) -> DataFrame:
     """The latest features of each code: from the last valid bar of its latest segment, ranked across codes."""
     seg = segments(cleaned)
@@ -194,9 +178,10 @@ def price_features(cleaned: DataFrame) -> DataFrame:
     last = past.where("_k = 1").withColumns(
         {
             "price_date": F.col("trade_date"), "latest_close": F.when(F.col("valuation_price") > 0, F.col("valuation_price")), "max_drawdown_252d": drawdown(F.col("_past"), 1),
-            "snapshot_date": F.max("trade_date").over(W.partitionBy(F.lit(1))), "feature_version": F.lit(FEATURE_VERSION),
+            "feature_version": F.lit(FEATURE_VERSION),
         }
     )
+    last = last.crossJoin(F.broadcast(last.agg(F.max("trade_date").alias("snapshot_date"))))  # one row
     out = scores(last, "snapshot_date").withColumn("price_score", 0.7 * F.col("momentum_score") + 0.3 * F.col("risk_score"))
     out = out.withColumn("price_rank", rank_desc(F.col("price_score"), "snapshot_date"))
     return out.select(
@@ -209,65 +194,110 @@ def month_calendar(cleaned: DataFrame, filings: DataFrame | None = None, period:
     """The last valid trade date of each month, from a year after the first (and the first filing) on."""
     start, end = period
     days = cleaned.where(_usable("return_price"))
-    first = F.add_months(F.min("trade_date"), 12)
-    limits = days.agg(first.alias("lo"), F.max("trade_date").alias("hi"))
+    # The bars are read once, for the first and last days of each month; all else is about months.
+    until = F.when(F.col("trade_date") <= F.lit(end).cast("date"), F.col("trade_date")) if end else F.col("trade_date")
+    months = days.groupBy(F.trunc("trade_date", "month").alias("month")).agg(F.min("trade_date").alias("first"), F.max(until).alias("evaluation_date"))
+    limits = months.agg(F.add_months(F.min("first"), 12).alias("lo"))
     if filings is not None:
-        limits = limits.crossJoin(filings.agg(F.min("disclosure_date").alias("filed"))).select(F.greatest("lo", "filed").alias("lo"), "hi")
+        limits = limits.crossJoin(filings.agg(F.min("disclosure_date").alias("filed"))).select(F.greatest("lo", "filed").alias("lo"))
     lo = F.lit(start).cast("date") if start else F.col("lo")
-    hi = F.lit(end).cast("date") if end else F.col("hi")
-    return (
-        days.select("trade_date").distinct().join(F.broadcast(limits))  # one row
-        .where((F.col("trade_date") >= lo) & (F.col("trade_date") <= hi))
-        .groupBy(F.trunc("trade_date", "month").alias("month")).agg(F.max("trade_date").alias("evaluation_date"))
-        .select("evaluation_date")
-    )
+    return months.crossJoin(F.broadcast(limits)).where(F.col("evaluation_date") >= lo).select("evaluation_date")  # one row
+
+
+def _by_month(calendar: DataFrame) -> DataFrame:
+    """One row: the number of the first month, and the evaluation date of each month from it on, null where there is none."""
+    number = F.year("evaluation_date") * 12 + F.month("evaluation_date")
+    months = calendar.select(number.alias("k"), "evaluation_date")
+    some = months.agg(F.min("k").alias("_first"), F.max("k").alias("_last"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "evaluation_date")))).alias("_days"))
+    return some.select("_first", F.transform(F.sequence("_first", "_last"), lambda k: F.element_at("_days", k)).alias("_months"))
+
+
+def _evaluated(day: Column, months_before: int = 0) -> Column:
+    """The evaluation date of the month so many before a day's."""
+    place = F.year(day) * 12 + F.month(day) - F.lit(months_before) - F.col("_first")
+    return F.when(place >= 0, F.get("_months", place))
+
+
+def _near(candidates: list[Column], holds) -> Column:
+    """The distinct candidates that hold."""
+    return F.array_distinct(F.filter(F.array(*candidates), lambda e: e.isNotNull() & holds(e)))
+
+
+def _served(bars: DataFrame, calendar: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """Valid bars with the evaluation dates that each serves: ``_grid`` as the latest bar of its code by then, and
+    ``_exit_<m>`` as the first on or after the date m months later; ten days at most lie between. ``_next`` is the bar
+    after it. A bar looks up the two months that can be meant, so neither bars nor months are joined by range."""
+    by = W.partitionBy("canonical_code").orderBy("trade_date")
+    d, early = F.col("trade_date"), F.date_sub("trade_date", GAP_DAYS)
+    b = bars.withColumns({"_next": F.lead(F.struct("trade_date", "return_price", "segment")).over(by), "_before": F.lag("trade_date").over(by)}).crossJoin(F.broadcast(_by_month(calendar)))  # one row
+    grid = lambda e: (e >= d) & (F.datediff(e, d) <= GAP_DAYS) & (F.col("_next").isNull() | (e < F.col("_next.trade_date")))
+    out = {"_grid": _near([_evaluated(d), _evaluated(F.date_add(d, GAP_DAYS))], grid)}
+    for m in horizons:
+
+        def serves(e: Column, m: int = m) -> Column:
+            t = F.add_months(e, m)
+            return (t <= d) & (t >= early) & (F.col("_before").isNull() | (t > F.col("_before")))
+
+        out[f"_exit_{m}"] = _near([_evaluated(early, m), _evaluated(d, m)], serves)
+    return b.withColumns(out).drop("_first", "_months", "_before")
+
+
+def _labels(entry: Column, exits: Column, months: int, date: Column) -> dict[str, Column]:
+    """``entry``: the bar after the evaluation date; ``exits``: the bar that closes the label."""
+    there = F.datediff(entry["trade_date"], date) <= GAP_DAYS
+    whole = there & exits.isNotNull() & (entry["segment"] == exits["segment"])
+    return {
+        "label_start_date": F.when(there, entry["trade_date"]), f"label_end_date_{months}m": F.when(whole, exits["trade_date"]),
+        f"forward_return_{months}m": F.when(whole, exits["return_price"] / entry["return_price"] - 1),
+    }
 
 
 def forward_labels(seg: DataFrame, grid: DataFrame, months: int) -> DataFrame:
     """For (canonical_code, evaluation_date): entry at the first valid bar after the date, exit at the first on or after
-    the date ``months`` later, both within ten days and in one segment."""
+    the date ``months`` later, both within ten days and in one segment. Bars and dates meet by code and month."""
     bars = seg.where("valid").select("canonical_code", F.col("trade_date").alias("d"), "return_price", "segment")
-    pick = F.struct("d", "return_price", "segment")
-    target = F.add_months("evaluation_date", months)
-    near = grid.join(bars, "canonical_code").where(
-        ((F.col("d") > F.col("evaluation_date")) & (F.col("d") <= F.date_add("evaluation_date", GAP_DAYS))) | ((F.col("d") >= target) & (F.col("d") <= F.date_add(target, GAP_DAYS)))
-    )
-    entry = F.col("d") <= F.date_add("evaluation_date", GAP_DAYS)
-    found = near.groupBy("canonical_code", "evaluation_date").agg(F.min(F.when(entry, pick)).alias("i"), F.min(F.when(F.col("d") >= target, pick)).alias("o"))
-    whole = F.col("i").isNotNull() & F.col("o").isNotNull() & (F.col("i.segment") == F.col("o.segment"))
-    return found.where("i IS NOT NULL").select(
-        "canonical_code", "evaluation_date", F.col("i.d").alias("label_start_date"), F.when(whole, F.col("o.d")).alias(f"label_end_date_{months}m"),
-        F.when(whole, F.col("o.return_price") / F.col("i.return_price") - 1).alias(f"forward_return_{months}m"),
-    )
-
-
-def month_grid(seg: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(canonical_code, evaluation_date, trade_date): the latest valid bar of each code at most ten days before. Each
-    bar is matched through the months it can serve, an equi-join, never a range join over the whole calendar."""
-    bars = seg.where("valid").select("canonical_code", "trade_date")
-    month = F.trunc("trade_date", "month")
-    served = bars.withColumn("m", F.explode(F.array_distinct(F.array(month, F.trunc(F.date_add("trade_date", GAP_DAYS), "month")))))
-    return (
-        served.join(calendar.withColumn("m", F.trunc("evaluation_date", "month")), "m")
-        .where((F.col("trade_date") <= F.col("evaluation_date")) & (F.datediff("evaluation_date", "trade_date") <= GAP_DAYS))
-        .groupBy("canonical_code", "evaluation_date").agg(F.max("trade_date").alias("trade_date"))
-    )
+    bars = bars.withColumn("m", F.explode(F.array_distinct(F.array(F.trunc(F.date_sub("d", GAP_DAYS), "month"), F.trunc("d", "month")))))
+    wanted = F.array(F.struct(F.lit(True).alias("entry"), F.col("evaluation_date").alias("t")), F.struct(F.lit(False).alias("entry"), F.add_months("evaluation_date", months).alias("t")))
+    asked = grid.select("canonical_code", "evaluation_date", F.explode(wanted).alias("x")).select("canonical_code", "evaluation_date", "x.*", F.trunc("x.t", "month").alias("m"))
+    near = asked.join(bars, ["canonical_code", "m"]).where((F.col("d") > F.col("t")) & F.col("entry") | (F.col("d") >= F.col("t")) & ~F.col("entry")).where(F.datediff("d", "t") <= GAP_DAYS)
+    pick = F.struct(F.col("d").alias("trade_date"), "return_price", "segment")
+    found = near.groupBy("canonical_code", "evaluation_date").agg(F.min(F.when(F.col("entry"), pick)).alias("i"), F.min(F.when(~F.col("entry"), pick)).alias("o")).where("i IS NOT NULL")
+    labels = _labels(F.col("i"), F.col("o"), months, F.col("evaluation_date"))
+    return found.select("canonical_code", "evaluation_date", *[c.alias(name) for name, c in labels.items()])
 
 
 def price_rows(cleaned: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Point-in-time features of each code at each evaluation date, with 6 and 12 month labels."""
-    seg = segments(cleaned)
-    grid = month_grid(seg, calendar)
-    at = _history(seg).join(grid, ["canonical_code", "trade_date"]).withColumns(
+    """Point-in-time features of each code at each evaluation date, with 6 and 12 month labels. One pass over the bars,
+    by code; only bars that an evaluation date looks back from carry their past prices beyond the window."""
+    by = W.partitionBy("canonical_code", "segment").orderBy("trade_date")
+    month = by.rowsBetween(-19, 0)
+    horizons = (6, 12)
+    valid = _served(segments(cleaned).where("valid"), calendar, horizons)
+    valid = valid.withColumn("_r", F.col("return_price") / F.lag("return_price").over(by) - 1).withColumns(_windows("return_price")).withColumns(
+        {
+            "average_turnover_20d": F.avg(finite(F.col("valuation_price")) * F.col("clean_volume")).over(month),
+            "_place": F.row_number().over(by), "_at": F.struct("trade_date", "return_price", "segment"),
+        }
+    )
+    valid = valid.withColumn("_past", F.when(F.size("_grid") > 0, F.collect_list("return_price").over(by.rowsBetween(1 - YEAR, 0))))
+    valid = valid.withColumn("max_drawdown_252d", drawdown(F.col("_past"), 2))
+    kept = ["canonical_code", "trade_date", "valuation_price", *LAGS, *SHAPES, "average_turnover_20d", "_next"]
+    row = F.struct(*[F.col(c) for c in kept])
+    kind = lambda k, dates, at: F.transform(dates, lambda e: F.struct(e.alias("evaluation_date"), F.lit(k).alias("kind"), at.alias("row"), F.col("_at").alias("bar")))
+    none = F.lit(None).cast(valid.select(row.alias("r")).schema["r"].dataType)
+    events = F.concat(kind(0, F.col("_grid"), row), *[kind(m, F.col(f"_exit_{m}"), none) for m in horizons])
+    told = valid.select("canonical_code", F.explode(events).alias("e")).select("canonical_code", "e.*")
+    one = told.groupBy("canonical_code", "evaluation_date").agg(
+        F.first(F.when(F.col("kind") == 0, F.col("row")), ignorenulls=True).alias("x"), *[F.first(F.when(F.col("kind") == m, F.col("bar")), ignorenulls=True).alias(f"o{m}") for m in horizons]
+    )
+    at = one.where("x IS NOT NULL").withColumns({k: c for m in reversed(horizons) for k, c in _labels(F.col("x._next"), F.col(f"o{m}"), m, F.col("evaluation_date")).items()})
+    at = at.select("evaluation_date", "x.*", "label_start_date", *[f"{c}_{m}m" for m in horizons for c in ("label_end_date", "forward_return")]).withColumns(
         {
             "snapshot_date": F.col("evaluation_date"), "price_date": F.col("trade_date"), "latest_close": F.when(F.col("valuation_price") > 0, F.col("valuation_price")),
-            "max_drawdown_252d": drawdown(F.col("_past"), 2), "log_average_turnover_20d": F.when(F.col("average_turnover_20d") >= 0, F.log1p("average_turnover_20d")),
+            "log_average_turnover_20d": F.when(F.col("average_turnover_20d") >= 0, F.log1p("average_turnover_20d")),
         }
     )
-    keys = grid.select("canonical_code", "evaluation_date")
-    six, twelve = forward_labels(seg, keys, 6), forward_labels(seg, keys, 12).drop("label_start_date")
-    out = scores(at, "evaluation_date").join(six, ["canonical_code", "evaluation_date"], "left").join(twelve, ["canonical_code", "evaluation_date"], "left")
-    return out.select(
+    return scores(at, "evaluation_date").select(
         "evaluation_date", "snapshot_date", "canonical_code", "price_date", "latest_close", *LAGS, *SHAPES,
         "average_turnover_20d", "log_average_turnover_20d", "momentum_score", "risk_score", *"label_start_date label_end_date_6m label_end_date_12m forward_return_6m forward_return_12m".split(),
     )

@@ -31,20 +31,31 @@ MEANS = {
 }
 
 
-def metric_scores(frame: DataFrame, metrics: dict[str, bool] = METRICS, date: str | None = None) -> DataFrame:
+def metric_scores(frame: DataFrame, metrics: dict[str, bool] = METRICS, date: str | None = None, key: str = "canonical_code") -> DataFrame:
     """``<metric>_score`` for each metric: 70 % its percentile within the sector, 30 % within the group, of values clipped
-    to the group's 2.5 and 97.5 percentiles. Metrics are done in one pass per kind of window; ``date`` keeps
-    cross-sections of different dates apart."""
-    group = [date, "model_group"] if date else ["model_group"]
+    to the group's 2.5 and 97.5 percentiles; ``date`` keeps cross-sections of different dates apart, and ``key`` tells the
+    rows of a cross-section apart.
+
+    The metrics are stacked, so that one shuffle by group and metric serves all windows, with a sort for each of the two
+    kinds of cross-section, and the work spreads by metric too. The rest of a row travels with its first metric."""
+    keys = [date, key] if date else [key]
+    group = [*([date] if date else []), "model_group", "_metric"]
     sector = [*group, "sector33_name"]
-    f = frame.withColumns({f"_c_{m}": winsorise(finite(F.col(m).cast("double")), group) for m in metrics})
-    out = {}
-    for m, up in metrics.items():
-        v = F.col(f"_c_{m}")
-        wide, narrow = percentile_rank(v, *group, ascending=up), percentile_rank(v, *sector, ascending=up)
-        enough = F.col("sector33_name").isNotNull() & (F.count(v).over(W.partitionBy(*sector)) >= LEAST_IN_SECTOR)
-        out[f"{m}_score"] = (F.when(enough, narrow).otherwise(wide) * 0.7 + wide * 0.3) * 100
-    return f.withColumns(out).drop(*[f"_c_{m}" for m in metrics])
+    names = list(metrics)
+    rest = F.struct(*[F.col(f"`{c}`") for c in frame.columns])
+    stack = F.array(*[F.struct(F.lit(k).alias("_metric"), finite(F.col(m).cast("double")).alias("_value"), (F.lit(None) if k else rest).cast(frame.schema).alias("_rest")) for k, m in enumerate(names)])
+    long = frame.select(*dict.fromkeys([*keys, "model_group", "sector33_name"]), F.explode(stack).alias("_s")).select("*", "_s.*").drop("_s")
+    long = long.withColumn("_value", winsorise(F.col("_value"), group))
+    # A metric of which less is better has its percentiles from the other end.
+    turned = F.when(F.col("_metric").isin(*[k for k, m in enumerate(names) if not metrics[m]]), -F.col("_value")).otherwise(F.col("_value"))
+    long = long.withColumn("_value", turned)
+    v = F.col("_value")
+    long = long.withColumn("_wide", percentile_rank(v, *group)).withColumns({"_narrow": percentile_rank(v, *sector), "_n": F.count(v).over(W.partitionBy(*sector))})
+    enough = F.col("sector33_name").isNotNull() & (F.col("_n") >= LEAST_IN_SECTOR)
+    score = (F.when(enough, F.col("_narrow")).otherwise(F.col("_wide")) * 0.7 + F.col("_wide") * 0.3) * 100
+    parts = long.groupBy(*keys).agg(F.collect_list(F.struct("_metric", score.alias("score"), "_rest")).alias("_parts"))
+    of = lambda k: F.get(F.filter("_parts", lambda p: p["_metric"] == k), F.lit(0))
+    return parts.select(of(0)["_rest"].alias("_rest"), *[of(k)["score"].alias(f"{m}_score") for k, m in enumerate(names)]).select("_rest.*", *[f"{m}_score" for m in names])
 
 
 def reasons(positive: bool) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import companies, market, models, records
+from . import companies, control, market, models, records
 
-MODULES = (market, companies, models, records)
+MODULES = (market, companies, models, records, control)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _module in MODULES:

@@ -67,12 +67,12 @@ def ranks(s: SparkSession, d: str) -> DataFrame:
 def _scores(s: SparkSession, d: str) -> DataFrame:
     c = load(s, d, "customer")
     base = c.select("c_custkey", F.col("c_mktsegment").alias("model_group"), F.col("c_nationkey").cast("string").alias("sector33_name"), F.when(F.col("c_custkey") % 9 != 0, F.col("c_acctbal")).alias("per"), F.when(F.col("c_custkey") % 8 != 0, F.col("c_acctbal") % 97).alias("roe"))
-    return rounded(R.metric_scores(base, {"per": False, "roe": True}).select("c_custkey", "per_score", "roe_score"))
+    return rounded(R.metric_scores(base, {"per": False, "roe": True}, key="c_custkey").select("c_custkey", "per_score", "roe_score"))
 
 
 def _ranks(s: SparkSession, d: str) -> DataFrame:
     names = [*R.FACTORS, "qualitative_score", "qualitative_confidence", "confidence", "score_6m", "score_12m"]
-    return longs(rounded(ranks(s, d).select("snapshot_date", "canonical_code", *names))).withColumns({c: F.col(c) for c in ()})
+    return longs(rounded(ranks(s, d).select("snapshot_date", "canonical_code", *names)))
 
 
 def _places(s: SparkSession, d: str) -> DataFrame:
@@ -82,11 +82,12 @@ def _places(s: SparkSession, d: str) -> DataFrame:
 
 
 def _reasons(s: SparkSession, d: str) -> DataFrame:
-    kind = "array<struct<factor:string,score:double,contribution:double>>"
+    # Scores are settled and moved off the halves between tenths, so that both engines round them alike.
     x = ranks(s, d).where(F.col("snapshot_date") == DATES[-1])
-    names = lambda c: F.array_join(F.transform(F.from_json(c, kind), lambda f: f["factor"]), ",")
-    return x.select("canonical_code", F.size(F.from_json("positive_reasons", kind)).cast("long").alias("positives"), F.size(F.from_json("negative_reasons", kind)).cast("long").alias("negatives"),
-        settle(F.get(F.from_json("positive_reasons", kind), F.lit(0))["contribution"], 0).alias("best"), names("positive_reasons").isNotNull().alias("listed"))
+    x = x.withColumns({c: settle(F.col(c)) + 0.0137 for c in (*R.FACTORS, "qualitative_score")})
+    tenths = lambda c: F.round(c * 10).cast("long").cast("string")
+    told = lambda up: F.array_join(F.transform(R.reasons(up), lambda f: F.concat(f["factor"], F.lit("="), tenths(f["score"]), F.lit("/"), tenths(f["contribution"]))), ",")
+    return x.select("canonical_code", told(True).alias("positive"), told(False).alias("negative"))
 
 
 QUERIES = {
@@ -122,7 +123,7 @@ grid AS (
     c_mktsegment AS model_group, CASE WHEN c_custkey % 23 <> 0 THEN CAST(c_nationkey AS VARCHAR) END AS sector33_name
   FROM customer, (VALUES {', '.join(f"('{d}')" for d in DATES)}) v(d))"""
 _G = lambda a, b: f"CASE WHEN abs({b}) >= 1e-12 THEN ({a} - {b}) / abs({b}) END"
-PIT = f"""{FILED}, {GRID},
+_PIT = f"""
 known AS (
   SELECT g.snapshot_date, g.canonical_code, g.latest_price, m.* EXCLUDE (code), coalesce(sales, operating_profit, eps) IS NOT NULL AS result,
     row_number() OVER (PARTITION BY g.snapshot_date, g.canonical_code ORDER BY disclosure_date, disclosure_time NULLS LAST, current_period_end, current_fiscal_year_end, current_period_type, disclosure_number) AS rn
@@ -144,6 +145,9 @@ ratios AS (SELECT snapshot_date, canonical_code, greatest(dl, df) AS disclosure_
 fund AS (SELECT *, ({' + '.join(f'CAST({c} IS NOT NULL AS INT)' for c in L.RATIOS)}) / 9.0::DOUBLE AS financial_completeness FROM ratios)"""
 
 
+PIT = f"{FILED}, {GRID}, {_PIT}"
+
+
 def score_sql(source: str, metrics: dict[str, bool], keep: str, by: str) -> str:
     """CTEs ``clipped`` and ``metric`` over ``source``."""
     clip = ", ".join(f"CASE WHEN count({m}) OVER g >= 10 THEN greatest(least({m}, quantile_cont({m}, 0.975) OVER g), quantile_cont({m}, 0.025) OVER g) ELSE {m} END AS c_{m}" for m in metrics)
@@ -157,16 +161,27 @@ placed AS (SELECT *, {wide} FROM turned), metric AS (SELECT {keep}, {blend} FROM
 
 _FACTOR_MEANS = ", ".join(f"coalesce({mean(*[f'{m}_score' for m in names.split()])}, 50) AS {c}" for c, names in R.MEANS.items())
 _RAW = {h: " + ".join(f"{c} * {spec[1 + k]}" for c, spec in R.FACTORS.items()) for k, h in enumerate(("6m", "12m"))}
-RANKED = f"""{PIT},
+_RANKED = f"""
 joined AS (SELECT g.snapshot_date, g.canonical_code, g.model_group, g.sector33_name, g.momentum, g.risk, f.* EXCLUDE (snapshot_date, canonical_code, latest_price) FROM grid g LEFT JOIN fund f ON f.snapshot_date = g.snapshot_date AND f.canonical_code = g.canonical_code),
 {score_sql('joined', R.METRICS, 'snapshot_date, canonical_code, momentum, risk, financial_completeness', 'snapshot_date, model_group')},
 factored AS (SELECT *, {_FACTOR_MEANS}, coalesce(momentum, 50) AS momentum_score, coalesce(risk, 50) AS risk_score, CASE WHEN canonical_code[-1] = '3' THEN 80.0::DOUBLE ELSE 50.0::DOUBLE END AS qualitative_score,
   CASE WHEN canonical_code[-1] = '3' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS qualitative_confidence, 0.4::DOUBLE + 0.6::DOUBLE * coalesce(financial_completeness, 0) AS confidence FROM metric),
 final AS (SELECT *, {', '.join(f"greatest(least(50.0::DOUBLE + confidence * (({_RAW[h]}) - 50.0::DOUBLE) + {R.QUALITATIVE[h]}::DOUBLE * qualitative_confidence * (qualitative_score - 50), 100), 0) AS score_{h}" for h in ('6m', '12m'))} FROM factored)"""
+RANKED = f"{PIT}, {_RANKED}"
 _NAMES = [*R.FACTORS, "qualitative_score", "qualitative_confidence", "confidence", "score_6m", "score_12m"]
 _RANKS = f"SELECT snapshot_date, canonical_code, {', '.join(f'{r(c)} AS {c}' for c in _NAMES)} FROM final"
 _WEIGHTS = ", ".join(f"(canonical_code, {spec[2]}::DOUBLE * ({c} - 50), {k})" for k, (c, spec) in enumerate(R.FACTORS.items()))
 
+
+
+def ranked_on(grid: str, code: str, opinion: str = "false") -> str:
+    """CTEs up to ``final`` over another ``grid`` (a query), whose filings have another code, of customers' keys
+    ``o_custkey``."""
+    filed = FILED.replace("CASE WHEN o_custkey < 1000 THEN lpad(CAST(o_custkey AS VARCHAR), 4, '0') ELSE CAST(o_custkey AS VARCHAR) END || '0' AS code", f"{code} AS code")
+    rest = f"{_PIT}, {_RANKED}".replace("canonical_code[-1] = '3'", opinion).replace("grid g", "asked g")
+    return f"{filed}, asked AS ({grid}), {rest}"
+
+
 SQL = {
     "filings": f"WITH {FILED} SELECT {_KEY}, document_type, disclosure_time, disclosure_number, {', '.join(f'{r(c)} AS {c}' for c in _AMOUNTS)} FROM merged",
     "fundamentals_pit": f"WITH {PIT} SELECT snapshot_date, canonical_code, disclosure_date, current_period_type, price_date, {', '.join(f'{r(c)} AS {c}' for c in ['latest_price', 'eps', 'bps', *L.RATIOS, 'financial_completeness'])} FROM fund",
@@ -174,7 +189,10 @@ SQL = {
       {score_sql('base', {'per': False, 'roe': True}, 'c_custkey', 'model_group')} SELECT c_custkey, {r('per_score')} AS per_score, {r('roe_score')} AS roe_score FROM metric""",
     "rule_rank": f"WITH {RANKED} {_RANKS}",
     "rank_places": f"WITH {RANKED}, settled AS ({_RANKS}) SELECT snapshot_date, canonical_code, rank() OVER (PARTITION BY snapshot_date ORDER BY score_6m DESC) AS rank_6m, rank() OVER (PARTITION BY snapshot_date ORDER BY score_12m DESC) AS rank_12m FROM settled",
-    "reasons_topk": f"""WITH {RANKED}, parts AS (
-        SELECT canonical_code, unnest([{', '.join(f'{spec[2]}::DOUBLE * ({c} - 50)' for c, spec in R.FACTORS.items())}, {R.QUALITATIVE['12m']}::DOUBLE * qualitative_confidence * (qualitative_score - 50)]) AS w FROM final WHERE snapshot_date = DATE '{DATES[-1]}')
-      SELECT canonical_code, least(count(*) FILTER (WHERE w > 0), 3) AS positives, least(count(*) FILTER (WHERE w < 0), 3) AS negatives, {r('max(round_even(w, 1)) FILTER (WHERE w > 0)', 0)} AS best, true AS listed FROM parts GROUP BY 1""",
+    "reasons_topk": f"""WITH {RANKED}, settled AS (SELECT canonical_code, {', '.join(f"{r(c)} + 0.0137::DOUBLE AS {c}" for c in [*R.FACTORS, 'qualitative_score'])}, qualitative_confidence FROM final WHERE snapshot_date = DATE '{DATES[-1]}'),
+      parts AS (SELECT canonical_code, unnest([{', '.join(f"{{'f': '{spec[0]}', 's': {c}, 'w': {spec[2]}::DOUBLE * ({c} - 50), 'k': {k}}}" for k, (c, spec) in enumerate(R.FACTORS.items()))},
+        {{'f': 'Qualitative', 's': qualitative_score, 'w': {R.QUALITATIVE['12m']}::DOUBLE * qualitative_confidence * (qualitative_score - 50), 'k': {len(R.FACTORS)}}}]) AS p FROM settled),
+      listed AS (SELECT canonical_code, p.f || '=' || CAST(round(round_even(p.s, 1) * 10) AS BIGINT) || '/' || CAST(round(round_even(p.w, 1) * 10) AS BIGINT) AS t, p.w > 0 AS up, p.w < 0 AS down,
+        row_number() OVER (PARTITION BY canonical_code, p.w > 0, p.w < 0 ORDER BY -abs(round_even(p.w, 1)), p.k) AS i FROM parts)
+      SELECT canonical_code, coalesce(string_agg(t, ',' ORDER BY i) FILTER (WHERE up AND i <= 3), '') AS positive, coalesce(string_agg(t, ',' ORDER BY i) FILTER (WHERE down AND i <= 3), '') AS negative FROM listed GROUP BY 1""",
 }

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kabunoki.functions.kit import settle
+from kabunoki.operators import filings as L
 from kabunoki.operators import learning as M
+from kabunoki.operators import prices as P
+from kabunoki.operators import ranking as R
+from kabunoki.plans.companies import ranked_on
 from kabunoki.plans.market import ROWS, bars, longs, pct, price_rows, r, rounded
 from kabunoki.session import load
 
@@ -72,6 +76,7 @@ QUERIES = {
     "spearman_matrix": lambda s, d: rounded(M.spearman_matrix(load(s, d, "part").select("p_brand", "p_size", "p_retailprice", F.when(F.col("p_partkey") % 5 != 0, F.col("p_partkey")).alias("p_partkey")), ["p_size", "p_retailprice", "p_partkey"], "p_brand")),
 }
 
+P_ = lambda c: r("CASE WHEN r.average_turnover_20d >= 0 THEN ln(1 + r.average_turnover_20d) END" if c == "log_average_turnover_20d" else f"r.{c}")
 _LABELLED = f"{ROWS}, labelled_ AS (SELECT *, CASE WHEN average_turnover_20d >= 0 THEN ln(1 + average_turnover_20d) END AS log_average_turnover_20d FROM rows_ WHERE forward_return_6m IS NOT NULL)"
 _PCT = lambda fs: ", ".join(f"coalesce({pct(c, 'evaluation_date')}, 0.5) AS {c}_pct" for c in fs)
 _PCTS = [f"{c}_pct" for c in _F]
@@ -86,6 +91,16 @@ e3 AS (SELECT evaluation_date, count(*) AS rows, CASE WHEN stddev_pop(rp) > 0 AN
 monthly AS (SELECT *, top_return - universe_return AS top_excess, top_return - bottom_return AS long_short, CASE WHEN lag(codes) OVER (ORDER BY evaluation_date) IS NOT NULL THEN 1 - len(list_intersect(codes, lag(codes) OVER (ORDER BY evaluation_date))) / len(codes)::DOUBLE END AS turnover FROM e3)"""
 _MEASURES = "ic top_return universe_return top_excess bottom_return long_short turnover".split()
 
+_TRAIN_GRID = """SELECT r.evaluation_date AS snapshot_date, r.canonical_code, CASE WHEN r.valuation_price > 0 THEN r.valuation_price END AS latest_price, r.momentum_score AS momentum, r.risk_score AS risk, 'general' AS model_group, CAST(n_regionkey AS VARCHAR) AS sector33_name
+  FROM rows_ r JOIN nation ON r.canonical_code = 'N' || n_nationkey"""
+_KNOWN = [c for c in M.FEATURES if c not in M.PRICE_FEATURES]
+_TRAINING = f"""WITH {ROWS}, {ranked_on(_TRAIN_GRID, "'N' || (o_custkey * 10 % 25)")}
+  SELECT r.evaluation_date, r.canonical_code, 'general' AS model_group, CAST(n_regionkey AS VARCHAR) AS sector33_name, f.disclosure_date, r.trade_date AS price_date,
+    {', '.join(f"{P_(c)} AS {c}" for c in M.PRICE_FEATURES)}, {', '.join(f"{r(f'f.{c}')} AS {c}" for c in _KNOWN)}, {r('x.confidence')} AS rule_confidence, {r('x.score_12m')} AS rule_score_12m, {r('x.score_6m')} AS rule_score_6m,
+    r.label_start_date, r.label_end_date_6m, {r('r.forward_return_6m')} AS forward_return_6m, r.label_end_date_12m, {r('r.forward_return_12m')} AS forward_return_12m, CAST(NULL AS VARCHAR) AS universe_as_of, true AS survivor_bias_flag,
+    '{P.CLEANING_VERSION}' AS price_cleaning_version, '{L.FUNDAMENTAL_VERSION}' AS fundamental_feature_version, '{R.RANKING_VERSION}' AS rule_ranking_version, '{M.DATASET_VERSION}' AS dataset_version
+  FROM rows_ r JOIN nation ON r.canonical_code = 'N' || n_nationkey LEFT JOIN fund f ON f.snapshot_date = r.evaluation_date AND f.canonical_code = r.canonical_code LEFT JOIN final x ON x.snapshot_date = r.evaluation_date AND x.canonical_code = r.canonical_code"""
+
 
 def _rho(x: str, y: str) -> str:
     return f"""SELECT p_brand, '{x}' AS x, '{y}' AS y, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN {r('covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry))')} END AS rho
@@ -93,6 +108,7 @@ def _rho(x: str, y: str) -> str:
 
 
 SQL = {
+    "training_set": _TRAINING,
     "pct_features": f"WITH {_LABELLED}, q AS (SELECT evaluation_date, canonical_code, {_PCT(_F)} FROM labelled_) SELECT evaluation_date, canonical_code, {', '.join(f'{r(c)} AS {c}' for c in _PCTS)} FROM q",
     "excess_target": f"WITH {_LABELLED}, q AS (SELECT evaluation_date, canonical_code, {_EXCESS} FROM labelled_) SELECT evaluation_date, canonical_code, {r('target_excess')} AS target_excess FROM q",
     "monthly_ic": f"WITH {_MONTHLY} SELECT evaluation_date, rows, {', '.join(f'{r(c)} AS {c}' for c in _MEASURES)} FROM monthly",

@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kabunoki.functions.kit import canonical_code, clock_seconds, squeeze, tokyo_to_utc
+from kabunoki.functions.kit import canonical_code, clock_seconds, provider_symbol, squeeze, tokyo_to_utc
 from kabunoki.operators import documents as D
 from kabunoki.operators import operations as O
 from kabunoki.operators import prices as P
 from kabunoki.plans.market import BARS, EVENTS, bars, cleaned, r, rounded
-from kabunoki.session import load
+from kabunoki.session import load, workspace
 from kabunoki.sources import web
 from kabunoki.streaming.incremental import VersionedTable, ingest
 
-TITLES = ["2025年3月期　決算短信〔日本基準〕", "決算 説明資料", "業績予想の修正に関するお知らせ", "配当予想の修正", "（訂正）有価証券報告書", "代表取締役の異動", "決算説明会資料", "通期業績予想と実績の差異"]
+TITLES = ["2025年3月期　決算短信〔日本基準〕", "決算 説明資料", "業績予想の修正に関するお知らせ", "配当予想の変更について", "決算〔米国基準〕", "決算発表日の変更について", "決算説明会資料", "通期業績予想と実績の差異", "決算概要", "業績予想の変更", "配当予想に関するお知らせ", "決算ハイライト", "自己株式取得について", "決算発表予定"]
 TYPES = ["earnings_release", "forecast_revision", "dividend_revision", "earnings_presentation", "other"]
 
 
@@ -67,10 +65,12 @@ def _titles(s: SparkSession, d: str) -> DataFrame:
 
 
 def _codes(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("c_custkey").cast("string")
+    k, m = F.col("c_custkey").cast("string"), F.col("c_custkey") % 4
+    raw = F.when(m == 0, F.concat(F.lit("　"), k, F.lit("a "))).when(m == 1, F.concat(k, F.lit(".t"))).otherwise(F.concat(k, F.lit("0")))
+    code = canonical_code(raw)
     clock = F.when(F.col("c_custkey") % 5 == 0, None).when(F.col("c_custkey") % 7 == 0, "bad").otherwise(F.concat(F.lpad((F.col("c_custkey") % 24).cast("string"), 2, "0"), F.lit(":30")))
     return load(s, d, "customer").select(
-        "c_custkey", canonical_code(F.concat(k, F.lit("0"))).alias("canonical_code"), clock_seconds(clock).cast("long").alias("seconds"),
+        "c_custkey", code.alias("canonical_code"), provider_symbol(code, "listing").alias("listed"), provider_symbol(code, "quotes").alias("quoted"), clock_seconds(clock).cast("long").alias("seconds"),
         tokyo_to_utc(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 300).cast("int")), "15:30:00").alias("known_at"),
     )
 
@@ -88,12 +88,12 @@ def _control(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _upsert(s: SparkSession, d: str) -> DataFrame:
-    return O.upsert(*_control(s, d), ["o_orderkey"])
+    return O.upsert(*_control(s, d), ["o_orderkey"], [F.col("o_orderstatus")])
 
 
 def _insert(s: SparkSession, d: str) -> DataFrame:
     old, new = _control(s, d)
-    return O.insert_new(old, new.withColumn("o_totalprice", F.lit(0.0)), ["o_orderkey"])
+    return O.insert_new(old, new.withColumn("o_totalprice", F.lit(0.0)), ["o_orderkey"], [F.col("o_orderstatus")])
 
 
 def _merge(s: SparkSession, d: str) -> DataFrame:
@@ -103,8 +103,8 @@ def _merge(s: SparkSession, d: str) -> DataFrame:
 
 def _stale(s: SparkSession, d: str) -> DataFrame:
     now = F.lit("2024-01-30 00:00:00").cast("timestamp")
-    runs = load(s, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "running").otherwise("succeeded").alias("status"), F.col("ts").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"))
-    return O.recover_stale(runs, now).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count("finished_at").alias("finished"))
+    runs = load(s, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "running").otherwise("succeeded").alias("status"), F.col("ts").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.when(F.col("event_id") % 3 == 0, "late").alias("message"))
+    return O.recover_stale(runs, now).groupBy("status", "message").agg(F.count(F.lit(1)).alias("n"), F.count("finished_at").alias("finished"))
 
 
 def _catch_up(s: SparkSession, d: str) -> DataFrame:
@@ -143,7 +143,7 @@ def _heatmap(s: SparkSession, d: str) -> DataFrame:
 
 def _available(s: SparkSession, d: str) -> DataFrame:
     c = load(s, d, "customer").select(F.col("c_custkey").cast("string").alias("canonical_code"), *[F.when(F.col("c_custkey") % k != 0, F.col("c_acctbal")).alias(f"x{k}") for k in (2, 3, 5)])
-    return O.availability(c, {"all_of": (["x2", "x3", "x5"], 3), "two_of": (["x2", "x3", "x5"], 2), "first": (["x2"], 1)})
+    return O.availability(c, {"all_of": [(["x2", "x3", "x5"], 3)], "two_of": [(["x2", "x3", "x5"], 2)], "first": [(["x2"], 1)], "both": [(["x2", "x3"], 1), (["x5"], 1)]})
 
 
 def _published(s: SparkSession, d: str) -> DataFrame:
@@ -152,21 +152,12 @@ def _published(s: SparkSession, d: str) -> DataFrame:
 
 
 def _counts(s: SparkSession, d: str) -> DataFrame:
-    out = None
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
-        n = load(s, d, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), "n")
-        out = n if out is None else out.unionAll(n)
-    return out
+    return O.row_counts({t: load(s, d, t) for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")})
 
 
 def _stream(s: SparkSession, d: str) -> DataFrame:
     """The events file as a stream: the latest row per user, ingested twice to the same effect."""
-    named = s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        base = f"{named.rstrip('/')}/stream-{s.sparkContext.applicationId}-{id(object())}"
-    else:
-        base = tempfile.mkdtemp(prefix="kabunoki-stream-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    base = f"{workspace(s)}/stream-{uuid.uuid4().hex}"
     table = VersionedTable(s, f"{base}/table", ["user_id"], [F.desc("ts"), F.desc("event_id")])
     schema = s.read.parquet(f"{d}/events.parquet").schema
     for _ in range(2):
@@ -237,15 +228,18 @@ SQL = {
     "missing_analyses": f"WITH {_TYPED} SELECT document_id, disclosure_date, document_type FROM typed t WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = t.doc_id) AND document_type <> 'other' ORDER BY disclosure_date, 5 - {_PLACE}, document_id LIMIT 50",
     "evidence_match": f"""WITH e AS (SELECT d.doc_id, b.item_id % 5 AS f, contains({_SQ('d.text')}, {_SQ('b.text')}) AS ok FROM documents d JOIN benchmark b ON b.item_id % 20 = d.doc_id % 20),
       g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE ok) AS k, count(DISTINCT f) FILTER (WHERE ok) AS c FROM e GROUP BY 1) SELECT doc_id AS document_id, k AS kept, n - k AS rejected, {r('0.8::DOUBLE * (k / n::DOUBLE) * (c / 5.0::DOUBLE)')} AS confidence FROM g""",
-    "title_class": f"""WITH t AS (SELECT doc_id, {_SQ(_TITLE)} AS t FROM documents) SELECT doc_id, CASE WHEN t LIKE '%決算短信%' THEN 'earnings_release' WHEN t LIKE '%決算%' AND regexp_matches(t, '説明資料|説明会資料|補足資料|プレゼンテーション') THEN 'earnings_presentation'
-      WHEN t LIKE '%業績予想%' AND regexp_matches(t, '修正|差異') THEN 'forecast_revision' WHEN t LIKE '%配当%' AND regexp_matches(t, '修正|予想|変更') THEN 'dividend_revision' WHEN t LIKE '%訂正%' THEN 'correction' ELSE 'other' END AS document_type, length(t) AS width FROM t""",
-    "code_norm": """SELECT c_custkey, CASE WHEN length(c_custkey || '0') = 5 THEN CAST(c_custkey AS VARCHAR) ELSE c_custkey || '0' END AS canonical_code,
-      CAST(CASE WHEN c_custkey % 5 = 0 THEN 0 WHEN c_custkey % 7 = 0 THEN -1 ELSE (c_custkey % 24) * 3600 + 1800 END AS BIGINT) AS seconds, CAST(DATE '2024-01-01' + CAST(c_custkey % 300 AS INT) AS TIMESTAMP) + INTERVAL 390 MINUTE AS known_at FROM customer""",
+    "title_class": f"""WITH t AS (SELECT doc_id, {_TITLE} AS t FROM documents) SELECT doc_id, CASE WHEN t LIKE '%決算短信%' OR t LIKE '%決算〔%' THEN 'earnings_release' WHEN regexp_matches(t, '決算(説明|補足|概要|ハイライト)') THEN 'earnings_presentation'
+      WHEN t LIKE '%業績予想%' AND (t LIKE '%修正%' OR t LIKE '%差異%' OR t LIKE '%変更%') THEN 'forecast_revision' WHEN t LIKE '%配当予想%' AND (t LIKE '%修正%' OR t LIKE '%変更%') THEN 'dividend_revision'
+      WHEN regexp_matches(t, '決算発表(日|予定|時刻)') THEN 'earnings_schedule' ELSE 'other' END AS document_type, length({_SQ('t')}) AS width FROM t""",
+    "code_norm": """WITH x AS (SELECT *, CASE c_custkey % 4 WHEN 0 THEN c_custkey || 'a' WHEN 1 THEN c_custkey || '' ELSE c_custkey || '0' END AS raw FROM customer),
+      y AS (SELECT *, CASE WHEN length(raw) = 5 AND raw[-1] = '0' THEN raw[1:4] ELSE upper(raw) END AS code FROM x)
+      SELECT c_custkey, code AS canonical_code, CASE WHEN length(code) < 5 THEN code || '0' ELSE code END AS listed, code || '.T' AS quoted,
+      CAST(CASE WHEN c_custkey % 5 = 0 THEN 0 WHEN c_custkey % 7 = 0 THEN -1 ELSE (c_custkey % 24) * 3600 + 1800 END AS BIGINT) AS seconds, CAST(DATE '2024-01-01' + CAST(c_custkey % 300 AS INT) AS TIMESTAMP) + INTERVAL 390 MINUTE AS known_at FROM y""",
     "page_links": r"""SELECT page_id, len(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS n_links, CAST(coalesce(nullif(regexp_extract(url, '[?&]page=(\d+)', 1), ''), '1') AS BIGINT) AS page, sha256(html) AS content_key FROM pages""",
     "keyed_upsert": f"WITH {_OLD} SELECT * FROM old WHERE o_orderkey NOT IN (SELECT o_orderkey FROM new) UNION ALL SELECT n.o_orderkey, n.o_orderstatus, o.o_totalprice FROM new n LEFT JOIN old o USING (o_orderkey)",
     "insert_or_ignore": f"WITH {_OLD} SELECT * FROM old UNION ALL SELECT o_orderkey, o_orderstatus, 0.0::DOUBLE FROM new WHERE o_orderkey NOT IN (SELECT o_orderkey FROM old)",
     "conditional_merge": f"WITH {_OLD} SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NOT NULL AND (n.o_orderkey IS NULL OR o.o_totalprice > 100000) THEN o.o_orderstatus ELSE 'discovered' END AS o_orderstatus, CASE WHEN n.o_orderkey IS NOT NULL THEN 1.0::DOUBLE ELSE o.o_totalprice END AS o_totalprice FROM old o FULL JOIN new n USING (o_orderkey)",
-    "stale_runs": "WITH x AS (SELECT CASE WHEN event_id % 2 = 0 THEN CASE WHEN ts < TIMESTAMP '2024-01-29 18:00:00' THEN 'aborted' ELSE 'running' END ELSE 'succeeded' END AS status FROM events) SELECT status, count(*) AS n, count(*) FILTER (WHERE status = 'aborted') AS finished FROM x GROUP BY 1",
+    "stale_runs": "WITH x AS (SELECT CASE WHEN event_id % 2 = 0 THEN CASE WHEN ts < TIMESTAMP '2024-01-29 18:00:00' THEN 'aborted' ELSE 'running' END ELSE 'succeeded' END AS status, CASE WHEN event_id % 3 = 0 THEN 'late' END AS m FROM events) SELECT status, CASE WHEN status = 'aborted' THEN concat(coalesce(m, ''), ' recovered as stale') ELSE m END AS message, count(*) AS n, count(*) FILTER (WHERE status = 'aborted') AS finished FROM x GROUP BY 1, 2",
     "catch_up_dates": """WITH m AS (SELECT c_custkey, CASE WHEN c_custkey % 10 <> 0 THEN DATE '2026-05-01' + CAST(c_custkey % 25 AS INT) END AS mark FROM customer)
       SELECT c_custkey, CAST(unnest(CASE WHEN mark IS NULL THEN [DATE '2026-05-20'] ELSE list_transform(range(1, least(7, date_diff('day', mark, DATE '2026-05-20')) + 1), lambda i: CAST(mark + CAST(i AS INT) AS DATE)) END) AS DATE) AS day FROM m""",
     "watchlist": """WITH u AS (SELECT *, CASE c_custkey % 5 WHEN 2 THEN 1 WHEN 0 THEN 2 ELSE 3 END AS place FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 5 IN (0, 2, 4) AND c_mktsegment IN ('BUILDING', 'MACHINERY')),
@@ -264,8 +258,19 @@ SQL = {
     "month_grid": f"""WITH {BARS}, m AS (SELECT CAST(unnest(generate_series(date_trunc('month', (SELECT min(trade_date) FROM bars)), date_trunc('month', (SELECT max(trade_date) FROM bars)), INTERVAL 1 MONTH)) AS DATE) AS month),
       c AS (SELECT 'N' || n_nationkey AS canonical_code FROM nation WHERE n_nationkey < 10) SELECT c.canonical_code, m.month, count(b.trade_date) AS bars FROM c CROSS JOIN m LEFT JOIN bars b ON b.canonical_code = c.canonical_code AND date_trunc('month', b.trade_date) = m.month GROUP BY 1, 2""",
     "event_heatmap": "SELECT user_id, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS \"{k}\"" for k in ("click", "error", "login", "purchase", "view")) + " FROM events GROUP BY 1",
-    "availability": "WITH x AS (SELECT CAST(c_custkey AS VARCHAR) AS canonical_code, c_custkey % 2 <> 0 AS a, c_custkey % 3 <> 0 AS b, c_custkey % 5 <> 0 AS c FROM customer) SELECT canonical_code, CAST(a AND b AND c AS BIGINT) AS all_of, CAST(CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) >= 2 AS BIGINT) AS two_of, CAST(a AS BIGINT) AS first FROM x",
+    "availability": "WITH x AS (SELECT CAST(c_custkey AS VARCHAR) AS canonical_code, c_custkey % 2 <> 0 AS a, c_custkey % 3 <> 0 AS b, c_custkey % 5 <> 0 AS c FROM customer) SELECT canonical_code, CAST(a AND b AND c AS BIGINT) AS all_of, CAST(CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) >= 2 AS BIGINT) AS two_of, CAST(a AS BIGINT) AS first, CAST((a OR b) AND c AS BIGINT) AS both FROM x",
     "published_prices": f"WITH {EVENTS}, x AS (SELECT DISTINCT canonical_code, trade_date FROM events WHERE action = 'exclude_model_price') SELECT b.canonical_code, b.trade_date, {r('adjusted_close')} AS raw_adjusted_close, {r('CASE WHEN x.trade_date IS NULL THEN adjusted_close END')} AS adjusted_close FROM bars b LEFT JOIN x ON x.canonical_code = b.canonical_code AND x.trade_date = b.trade_date",
     "row_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")),
+    "quality_gate": f"""WITH {EVENTS}, b AS (SELECT count(DISTINCT canonical_code) AS priced, max(trade_date) AS last FROM bars),
+      o AS (SELECT count(*) FILTER (WHERE bad AND trade_date >= last - 400) AS bad_now, count(*) FILTER (WHERE bad) AS bad_ever FROM (SELECT trade_date, coalesce(high < greatest(open, close), false) OR coalesce(low > least(open, close), false) OR high < low OR volume < 0 AS bad FROM bars), b),
+      e AS (SELECT count(DISTINCT (canonical_code, trade_date, source)) FILTER (WHERE action = 'exclude_model_price') AS gone, count(DISTINCT (canonical_code, trade_date, source)) FILTER (WHERE action = 'exclude_model_price' AND trade_date >= last - 400) AS gone_now,
+        count(*) FILTER (WHERE clean_high < clean_low) AS unclean FROM events, b),
+      d AS (SELECT count(*) FILTER (WHERE coalesce(length(text), 0) = 0) AS lost FROM documents), p AS (SELECT count(*) AS unproved FROM documents x, benchmark y WHERE x.doc_id < 5 AND NOT contains({_SQ('coalesce(x.text, $$$$)')}, {_SQ('y.text')})),
+      r AS (SELECT *, date_diff('day', last, DATE '2002-01-05') AS age FROM b, o, e, d, p)
+      SELECT unnest(['watchlist_count', 'price_coverage', 'price_freshness_days', 'price_duplicate_keys', 'price_ohlc_valid', 'price_historical_ohlc_anomalies', 'price_source_model_exclusions', 'price_recent_model_exclusions', 'price_cleaned_ohlc_valid', 'rank_coverage', 'rank_values_valid',
+          'explanation_json_valid', 'financial_coverage', 'tdnet_document_integrity', 'tdnet_pending_retries', 'qualitative_evidence_integrity', 'qualitative_coverage']) AS check_name,
+        unnest(['FAIL', CASE WHEN priced / 25.0 >= 0.98 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN age <= 7 THEN 'PASS' ELSE 'FAIL' END, 'PASS', if(bad_now = 0, 'PASS', 'FAIL'), if(bad_ever = 0, 'PASS', 'WARN'), if(gone = 0, 'PASS', 'WARN'), if(gone_now = 0, 'PASS', 'WARN'), if(unclean = 0, 'PASS', 'FAIL'), 'PASS', 'PASS',
+          'FAIL', 'PASS', if(lost = 0, 'PASS', 'FAIL'), 'WARN', if(unproved = 0, 'PASS', 'FAIL'), 'PASS']) AS status,
+        unnest(['25', printf('%.4f', priced / 25.0), age || '', '0', bad_now || '', bad_ever || '', gone || '', gone_now || '', unclean || '', '25', '0', '1', '0.8800', lost || '', '2', unproved || '', '0.8400']) AS observed_value FROM r""",
     "incremental_upsert": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
 }

@@ -7,29 +7,26 @@ pointer, so a batch that is delivered twice gives the same table, and readers se
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from kabunoki.operators.documents import first_per_key
 from kabunoki.operators.operations import upsert
+from kabunoki.operators.publication import read_text, remove, write_text
 
 
 class VersionedTable:
-    """Parquet versions under a path, and a pointer to the current one, swapped atomically on the driver."""
+    """Parquet versions under a path of any file system that Spark knows, and a pointer to the current one, swapped by a
+    rename. Of the versions the last two stay: a reader may be at the one before."""
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[Column]):
         self.spark, self.path, self.keys, self.order = spark, path.rstrip("/"), keys, order
-        self.pointer = f"{self.path}/latest.json".removeprefix("file:")
-        os.makedirs(os.path.dirname(self.pointer), exist_ok=True)
+        self.pointer = f"{self.path}/latest.json"
 
     def version(self) -> dict | None:
-        try:
-            with open(self.pointer) as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return None
+        text = read_text(self.spark, self.pointer)
+        return json.loads(text) if text else None
 
     def read(self) -> DataFrame | None:
         v = self.version()
@@ -43,9 +40,9 @@ class VersionedTable:
         new = first_per_key(batch, self.keys, *self.order) if old is None else upsert(old, batch, self.keys, self.order)
         to = f"{self.path}/v{number}"
         new.write.mode("overwrite").parquet(to)
-        with open(self.pointer + ".tmp", "w") as f:
-            json.dump({"path": to, "batch": number}, f)
-        os.replace(self.pointer + ".tmp", self.pointer)
+        write_text(self.spark, self.pointer, json.dumps({"path": to, "batch": number, "before": now and now["path"]}))
+        if now and now.get("before"):
+            remove(self.spark, now["before"])
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType, table: VersionedTable, checkpoint: str, pattern: str | None = None, files_per_batch: int = 1) -> None:

@@ -201,9 +201,11 @@ def test_temporal_split_purges_labels(spark):
 
 def test_keyed_writes(spark):
     old = spark.createDataFrame([(1, 10, 20), (2, 5, 6)], "id int, a int, b int")
-    got = {r.id: (r.a, r.b) for r in O.upsert(old, spark.createDataFrame([(1, 11), (3, 7)], "id int, a int"), ["id"]).collect()}
+    got = {r.id: (r.a, r.b) for r in O.upsert(old, spark.createDataFrame([(1, 11), (3, 7), (3, 6)], "id int, a int"), ["id"], [F.desc("a")]).collect()}
     assert got == {1: (11, 20), 2: (5, 6), 3: (7, None)}
-    assert O.insert_new(old, spark.createDataFrame([(1, 0, 0), (4, 1, 1)], "id int, a int, b int"), ["id"]).count() == 3
+    assert O.insert_new(old, spark.createDataFrame([(1, 0, 0), (4, 1, 1)], "id int, a int, b int"), ["id"], [F.col("a")]).count() == 3
+    with pytest.raises(ValueError):
+        O.upsert_by_position(old, old.select("id", "a"), ["id"], [F.col("a")])
 
 
 def test_catch_up(spark):
@@ -211,6 +213,58 @@ def test_catch_up(spark):
     assert [d.day for d in one("2026-05-01")] == [2, 3, 4, 5, 6, 7, 8] and one("2026-05-20") == [] and one(None) == [day("2026-05-20")]
 
 
+def test_fetch_windows_and_the_horizon_of_a_source(spark):
+    got = spark.createDataFrame([(n,) for n in (0, 26, 30, 31, 81, 90, 91, None)], "g int").select(O.fetch_window(F.col("g")).alias("w"))
+    assert [r.w for r in got.collect()] == ["1mo", "1mo", "1mo", "3mo", "3mo", "3mo", "2y", "2y"]
+    kept = spark.createDataFrame([("2026-01-01",), ("2026-05-01",), (None,)], "m string").select(O.within_horizon(F.col("m"), F.lit("2026-05-20")).alias("k"))
+    assert [r.k for r in kept.collect()] == [day("2026-04-19"), day("2026-05-01"), None]
+
+
+def test_runs_are_journalled(spark):
+    now = F.lit("2026-01-02 12:00:00").cast("timestamp")
+    runs = spark.createDataFrame([("a", dt.datetime(2026, 1, 2, 1), "running", "slow"), ("b", dt.datetime(2026, 1, 2, 11), "running", None)], "batch_run_id string, started_at timestamp, status string, message string")
+    runs = runs.withColumns({"scheduled_date": F.lit("2026-01-02").cast("date"), "finished_at": F.lit(None).cast("timestamp"), "pipeline_version": F.lit("v")})
+    runs = O.finish_run(O.start_run(runs, "c", "2026-01-02", now, "v"), "c", "succeeded", now, "x" * 5000)
+    got = {r.batch_run_id: (r.status, r.message and len(r.message), r.finished_at is not None) for r in runs.collect()}
+    assert got == {"a": ("aborted", len("slow recovered as stale"), True), "b": ("running", None, False), "c": ("succeeded", 4000, True)}
+    marks = spark.createDataFrame([], "source string, stream string, watermark_value string, updated_at timestamp, batch_run_id string")
+    for value in ("2026-01-01", "2026-01-02"):
+        marks = O.set_watermark(marks, "s", "t", value, now)
+    assert O.watermark(marks, "s", "t") == "2026-01-02" and O.watermark(marks, "s", "u") is None and marks.count() == 1
+
+
+def test_retries_wait_once_and_are_resolved(spark):
+    now = F.lit("2026-01-02 12:00:00").cast("timestamp")
+    queue = spark.createDataFrame([], "retry_id string, source string, item_key string, action string, attempt_count int, next_attempt_at timestamp, status string, last_error string, created_at timestamp, updated_at timestamp")
+    failed = spark.createDataFrame([("tdnet", "a", "e1"), ("tdnet", "a", "e2"), ("tdnet", "b", None)], "source string, item_key string, error string")
+    queue = O.requeue(O.requeue(queue, failed, now), failed.where("item_key = 'a'"), now)
+    got = {r.item_key: (r.status, r.last_error, r.attempt_count, r.next_attempt_at) for r in queue.collect()}
+    assert got == {"a": ("pending", "e2", 1, dt.datetime(2026, 1, 2, 12, 15)), "b": ("pending", "", 1, dt.datetime(2026, 1, 2, 12, 15))} and queue.count() == 2
+    assert {r.item_key: r.status for r in O.resolve(queue, "tdnet", now, "b").collect()} == {"a": "pending", "b": "resolved"}
+
+
+def test_disclosure_list_pages(spark):
+    html = """<table><tr><td class="oddnew-L kjTime">15:00</td><td class="kjCode">72030</td><td class="kjName">　A  B</td><td class="kjTitle"><a href="1401.pdf">決算短信</a></td><td class="kjXbrl"><a href="x.zip">XBRL</a></td>
+      <td class="kjPlace">東</td><td class="kjHistroy"></td></tr><tr><td class="kjTime">16:00</td><td class="kjCode">332A0</td><td class="kjTitle"><a href="sub/1402.pdf">配当予想の変更</a></td></tr><tr><td class="kjCode">1</td></tr></table>
+      <a href="I_list_001_20260105.html">1</a><a href="I_list_012_20260105.html">12</a>"""
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page int, html string")
+    items = web.disclosure_list(pages)
+    got = {r.document_id: r for r in items.collect()}
+    assert set(got) == {"tdnet:1401", "tdnet:1402"} and got["tdnet:1401"].company_name == "A B" and got["tdnet:1401"].xbrl_href == "x.zip"
+    assert got["tdnet:1402"].canonical_code == "332A" and got["tdnet:1402"].xbrl_href is None and got["tdnet:1402"].exchange == ""
+    assert [r.n for r in pages.orderBy("page").select(F.coalesce(web.list_pages(F.col("html"), "2026-01-05"), F.lit(1)).alias("n")).collect()] == [12, 1, 1]
+    assert [r.document_id for r in web.select_disclosures(items.union(items), ("earnings_release", "dividend_revision"), limit=1).collect()] == ["tdnet:1402"]
+    assert [r.document_id for r in web.select_disclosures(items, code="72030").collect()] == ["tdnet:1401"]
+
+
+def test_availability_of_a_model_input_needs_both(spark):
+    row = {c: 1.0 for c in O.PRICE_LAYER[:3]} | {c: None for c in O.PRICE_LAYER[3:]} | {c: None for c in O.FINANCIAL_LAYER} | dict.fromkeys("price_date disclosure_date forward_return_6m forward_return_12m".split())
+    schema = ", ".join(f"{c} double" for c in row)
+    f = spark.createDataFrame([tuple(row.values()), tuple((row | {"financial_completeness": 0.5}).values())], schema).withColumn("canonical_code", F.lit("1"))
+    got = [r.asDict() for r in O.availability(f).collect()]
+    assert [(r["price_features"], r["financial_features"], r["model_input"], r["label_6m"]) for r in got] == [(1, 0, 0, 0), (1, 1, 1, 0)]
+
+
 def test_watchlist_order_of_sizes(spark):
     rows = [("2026-01-01", c, c, O.MARKETS[0], "銀行業" if c == "1001" else "機械", f"TOPIX {s}") for c, s in (("1001", "Mid400"), ("1002", "Large70"), ("1003", "Core30"), ("1004", "Mid400"))]
     got = O.watchlist(spark.createDataFrame(rows, "as_of_date string, code string, company_name string, market_segment string, sector33_name string, size_name string"), limit=3).orderBy("selection_rank").collect()
@@ -218,12 +272,18 @@ def test_watchlist_order_of_sizes(spark):
 
 
 def test_titles_codes_and_html(spark):
-    titles = {"決算短信〔日本基準〕": "earnings_release", "決算説明資料": "earnings_presentation", "業績予想の修正": "forecast_revision", "配当予想の修正": "dividend_revision", "（訂正）報告書": "correction", "人事異動": "other"}
+    titles = {
+        "2027年3月期 第1四半期決算短信〔日本基準〕": "earnings_release", "2026年12月期 決算説明資料": "earnings_presentation", "通期業績予想の修正に関するお知らせ": "forecast_revision", "配当予想の変更について": "dividend_revision",
+        "決算発表日の変更について": "earnings_schedule", "自己株式取得について": "other", "業績予想の変更": "forecast_revision", "決算概要": "earnings_presentation", "配当予想に関するお知らせ": "other", "決算〔IFRS〕": "earnings_release", "（訂正）報告書": "other",
+    }
     f = spark.createDataFrame([(t,) for t in titles], "t string").select("t", D.title_class(F.col("t")).alias("k"))
     assert {r.t: r.k for r in f.collect()} == titles
-    codes = spark.createDataFrame([("72030",), ("332A0",), ("332A",)], "c string").select(kit.canonical_code(F.col("c")).alias("c"))
-    assert [r.c for r in codes.collect()] == ["7203", "332A", "332A"]
-    assert web.visible("<p>a<script>x</script> b</p><div>c&amp;d</div>") == "a b\nc&d" and web.visible("") == "" and web.visible(None) is None
+    codes = spark.createDataFrame([("72030",), ("332A0",), ("332A",), ("　332a0.t ",), (None,)], "c string").select(kit.canonical_code(F.col("c")).alias("c"))
+    assert [r.c for r in codes.collect()] == ["7203", "332A", "332A", "332A", None]
+    listed = spark.createDataFrame([("7203",), ("25935",)], "c string").select(kit.provider_symbol(F.col("c"), "listing").alias("l"), kit.provider_symbol(F.col("c"), "quotes").alias("q"))
+    assert [(r.l, r.q) for r in listed.collect()] == [("72030", "7203.T"), ("25935", "25935.T")]
+    assert web.visible("<p>a<script>x</script> b</p><div>c&amp;d</div>") == "a b\n\nc&d" and web.visible("") == "" and web.visible(None) is None
+    assert web.visible("<h1>t</h1><noscript>n</noscript><td>c</td><br><br><br>z") == "tnc\n\nz"
     pages = spark.createDataFrame([("<a href='?page=1'></a><a href='?page=12'></a>",), ("",)], "h string")
     assert [r.n for r in pages.select(web.page_numbers(F.col("h")).alias("n")).collect()] == [12, 1]
 

@@ -42,7 +42,39 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
-def test_query_gives_rows(spark, name):
-    # The smallest tables trade too sparsely for a single label.
-    assert catalog.QUERIES[name](spark, DATA.replace("sf0.001", "sf0.01")).limit(1).count() == 1
+# What has no equivalent in SQL.
+
+
+def test_visible_text_of_pages(spark):
+    from kabunoki.sources import web
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    got = {r.page_id: r.visible_text for r in catalog.QUERIES["visible_text"](spark, DATA).collect()}
+    assert got == {k: web.visible(h) for k, h in pages.items()} and any("<" not in t and t for t in got.values())
+
+
+def test_predictions_are_those_of_the_closed_form(spark):
+    import numpy as np
+
+    from kabunoki.operators import learning as M
+    from kabunoki.plans import models
+
+    at = DATA.replace("sf0.001", "sf0.01")
+    frame = M.excess_target(M.percentile_features(models.labelled(spark, at), M.PRICE_FEATURES), "forward_return_6m")
+    names = [f"{c}_pct" for c in M.PRICE_FEATURES]
+    p = frame.select("evaluation_date", "canonical_code", *names, "target_excess").toPandas()
+    x, y = p[names].to_numpy(), p["target_excess"].to_numpy()
+    z = (x - x.mean(0)) / x.std(0)
+    w = np.linalg.solve(z.T @ z + 10 * np.eye(len(names)), z.T @ (y - y.mean()))
+    want = {(d, c): v for d, c, v in zip(p["evaluation_date"], p["canonical_code"], y.mean() + z @ w)}
+    got = {(r.evaluation_date, r.canonical_code): r.prediction for r in catalog.QUERIES["ridge_predict"](spark, at).collect()}
+    assert set(got) == set(want) and max(abs(got[k] - want[k]) for k in want) < 2e-6
+
+
+def test_training_finds_the_feature_that_decides(spark):
+    got = {r.scored_by: r for r in catalog.QUERIES["model_training"](spark, DATA.replace("sf0.001", "sf0.01")).collect()}
+    assert set(got) == {"model", "rule"} and got["model"].months >= 8 and got["model"].mean_spearman_ic > 0.7 > got["rule"].mean_spearman_ic
+
+
+def test_all_others_are_tested_above():
+    assert set(catalog.QUERIES) - set(catalog.SQL) == {"visible_text", "ridge_predict", "model_training"}
