@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kabunoki.functions.kit import canonical_code, clock_seconds, finite, growth
+from kabunoki.session import width
 
 FUNDAMENTAL_VERSION = "fundamental_1"
 #: Results, balance, cash flows, forecasts; what a frame lacks is left out.
@@ -22,9 +23,11 @@ PERIOD = "code disclosure_date current_period_type current_period_end current_fi
 RATIOS = "per pbr roe equity_ratio operating_margin sales_yoy eps_yoy operating_profit_yoy forecast_eps_revision".split()
 
 
-def coalesce_same_day(filings: DataFrame) -> DataFrame:
+def coalesce_same_day(filings: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """One row for each code, disclosure date and accounting period: the most complete row, overlaid with the latest
-    non-null amounts of the day, and the latest row's time, number and retrieval."""
+    non-null amounts of the day, and the latest row's time, number and retrieval. ``also``: columns that follow from the
+    code, by which the rows may be partitioned already."""
+    period = [*also, *PERIOD]
     amounts = [c for c in AMOUNTS if c in filings.columns]
     latest_of = [c for c in ("disclosure_time", "disclosure_number", "retrieved_at") if c in filings.columns]
     f = filings.withColumns({c: finite(F.col(c).cast("double")) for c in amounts})
@@ -34,9 +37,9 @@ def coalesce_same_day(filings: DataFrame) -> DataFrame:
         f = f.withColumn("disclosure_number", F.lit("").cast("string"))
     f = f.withColumns({"_count": sum((F.col(c).isNotNull().cast("int") for c in amounts), F.lit(0)), "_time": clock_seconds(F.col("disclosure_time")), "_number": F.coalesce(F.col("disclosure_number").cast("string"), F.lit(""))})
     recent = [F.desc("_time"), F.desc("_number")] + ([F.col("retrieved_at").desc_nulls_last()] if "retrieved_at" in f.columns else [])
-    newest = W.partitionBy(*PERIOD).orderBy(*recent)
+    newest = W.partitionBy(*period).orderBy(*recent)
     whole = newest.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    best = W.partitionBy(*PERIOD).orderBy(F.desc("_count"), *recent)
+    best = W.partitionBy(*period).orderBy(F.desc("_count"), *recent)
     f = f.withColumns({f"_v_{c}": F.first(c, ignorenulls=True).over(whole) for c in amounts} | {f"_l_{c}": F.first(c).over(whole) for c in latest_of} | {"_rank": F.row_number().over(best)})
     out = f.where("_rank = 1").withColumns({c: F.col(f"_v_{c}") for c in amounts} | {c: F.col(f"_l_{c}") for c in latest_of})
     return out.select(*filings.columns)
@@ -48,7 +51,9 @@ def _last(a: Column) -> Column:
 
 def histories(filings: DataFrame) -> DataFrame:
     """(canonical_code, history): coalesced filings of each code in their total order, nulls last."""
-    f = coalesce_same_day(filings).withColumn("canonical_code", canonical_code(F.col("code").cast("string")))
+    # One shuffle, by canonical code, for the coalescing and the lists.
+    f = filings.withColumn("canonical_code", canonical_code(F.col("code").cast("string"))).repartition(width(filings.sparkSession), "canonical_code")
+    f = coalesce_same_day(f, ("canonical_code",))
     order = "disclosure_date disclosure_time current_period_end current_fiscal_year_end current_period_type disclosure_number".split()
     key = F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"{c}_none"), F.col(c).alias(c))])
     for c in AMOUNTS:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kabunoki.functions.kit import finite, percentile_rank, rank_desc, row_mean
+from kabunoki.session import width
 
 CLEANING_VERSION = "clean_1"
 FEATURE_VERSION = "price_1"
@@ -115,9 +116,10 @@ def segments(cleaned: DataFrame, price: str = "return_price") -> DataFrame:
     one = W.partitionBy("canonical_code", "trade_date").orderBy(F.col("source").desc_nulls_last() if "source" in cleaned.columns else F.lit(1))
     by_day = W.partitionBy("canonical_code").orderBy("trade_date")
     valid = _usable(price)
-    # By code at once: all windows to come, by code and day or code and segment, keep this partitioning.
+    # By code at once: all windows to come, by code and day or code and segment, keep this partitioning. Its number is given,
+    # as windows take long for their bytes and few partitions would be made of them.
     return (
-        cleaned.repartition("canonical_code").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+        cleaned.repartition(width(cleaned.sparkSession), "canonical_code").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
         .withColumns({"valid": valid, "_gap": F.coalesce(F.datediff("trade_date", F.lag("trade_date").over(by_day)) > GAP_DAYS, F.lit(False))})
         .withColumn("segment", F.sum((~F.col("valid") | F.col("_gap")).cast("long")).over(by_day.rowsBetween(W.unboundedPreceding, 0)))
         .drop("_gap")

@@ -27,6 +27,8 @@ def session(name: str = "kabunoki", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.parquet.filterPushdown": "true",
+        # Where each column was written isn't sent to the JVM: plans of a thousand expressions are built twice as fast.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -45,6 +47,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
 
 
+def width(spark: SparkSession) -> int:
+    """The number of shuffle partitions, which a job's owner sets for the size of the data."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def workspace(spark: SparkSession) -> str:
     """The folder of this application in the one that all executors share, spark.checkpoint.dir. Where that is unset a
     local one serves, which this process removes at its end, if all executors are on this machine; else it's an error."""
