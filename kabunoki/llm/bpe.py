@@ -316,6 +316,21 @@ class Automaton:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin, stop)]
 
 
+def written_out(tokens: list[int], merges: list[tuple[int, int, int]]) -> dict[int, set[int]]:
+    """The automaton with all its arcs, for a small vocabulary of single bytes ``tokens``: for the state behind each token
+    the tokens that may follow, by one gadget for each merge in turn. What an ``Automaton`` looks up is held against it."""
+    arcs = {u: set(tokens) for u in tokens}
+    for u, v, w in merges:
+        if u not in arcs or v not in arcs[u]:
+            continue  # its halves never meet
+        arcs[w] = set(arcs[v])  # behind the merged token all goes on as behind its right half
+        arcs[u].discard(v)
+        for after in arcs.values():
+            if u in after:  # whence its left half was reached, so is it
+                after.add(w)
+    return arcs
+
+
 def load(path: str = VOCABULARY) -> Automaton:
     """Compile a byte-level vocabulary file (JSON with the vocabulary and the ordered merges)."""
     with open(path, encoding="utf-8") as f:

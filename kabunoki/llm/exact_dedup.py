@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .shared import documents, fresh_path, inner, width
+from .shared import documents, fresh_path, inner, quoted, width
 
 DIGEST, RANK = inner("digest"), inner("rank")
 
@@ -84,10 +84,10 @@ class DigestIndex:
         return kept.drop(DIGEST)
 
     def _admit(self, docs: DataFrame, id_col: str, text_col: str, seen: DataFrame, at: str) -> None:
-        rest = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)]
+        rest = [F.col(quoted(c)).cast("string") for c in docs.columns if c not in (id_col, text_col)]
         first = W.partitionBy(DIGEST).orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(F.lit(0), *rest))
         one = docs.withColumn(DIGEST, digest(text_col)).withColumn(RANK, F.row_number().over(first)).where(F.col(RANK) == 1).drop(RANK)
-        new = one.join(seen, DIGEST, "left_anti").select(*docs.columns, DIGEST)
+        new = one.join(seen, DIGEST, "left_anti").select(*map(quoted, docs.columns), DIGEST)
         under_way = f"{self.path}/under-way/{uuid.uuid4().hex}"
         new.write.option("compression", "zstd").parquet(under_way)
         fs, folder = self._files(at)

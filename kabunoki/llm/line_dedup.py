@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from . import columnar as C
 from .graph import buckets, by_cell, components, forest, verify
 from .ngram_join import _SENT, _distinct, _fields, _pairs_of_runs, _rows, bounds, planes, unplanes
-from .shared import documents, if_small, in_arrow, inner, release, width, written
+from .shared import documents, if_small, in_arrow, inner, quoted, release, width, written
 
 SIMILARITY = 0.9
 POSTED = 12  # classes of a line that are blocks
@@ -382,7 +382,7 @@ def cut_lines(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_co
     schema = T.StructType(list(docs.schema.fields))
     at, names = docs.columns.index(text_col), docs.columns
     gone = written(lines.groupBy(F.col("doc_id").alias(inner("id"))).agg(F.collect_list("line_no").alias(REMOVED)), "lines-gone")
-    joined = docs.join(if_small(gone, F.size(REMOVED)), docs[id_col].cast("long") == F.col(inner("id")), "left").select(*[docs[c] for c in names], REMOVED)
+    joined = docs.join(if_small(gone, F.size(REMOVED)), docs[id_col].cast("long") == F.col(inner("id")), "left").select(*[docs[quoted(c)] for c in names], REMOVED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

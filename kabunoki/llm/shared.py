@@ -2,38 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kabunoki.session import ship
-
-BROADCAST_BYTES = 32 << 20
-_own: dict[str, str] = {}
+from kabunoki.session import ship, width, workspace
 
+__all__ = ["ship", "width"]
 
-def scratch(spark: SparkSession) -> str:
-    """The folder of this application in the one that all executors share, spark.checkpoint.dir. Where that is unset a
-    local one serves, which this process removes at its end, if all executors are on this machine; else it's an error."""
-    app = spark.sparkContext.applicationId
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/kabunoki-{app}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="kabunoki-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return "file://" + _own[app]
+BROADCAST_BYTES = 32 << 20
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -69,7 +52,7 @@ def forget(df: DataFrame) -> None:
 def clean(spark: SparkSession) -> None:
     """Delete all tables that this application wrote in the shared folder; for a job's owner, when its results are
     stored."""
-    files, path = _files(spark, scratch(spark))
+    files, path = _files(spark, workspace(spark))
     files.delete(path, True)
 
 
@@ -78,11 +61,6 @@ def _files(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def width(spark: SparkSession) -> int:
-    """The number of shuffle partitions, which a job's owner sets for the size of the data."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def release(spark: SparkSession) -> None:
     """Let the context cleaner delete shuffle files that no live plan refers to; without a collection of the driver's
     garbage it may keep them for half an hour."""
@@ -105,7 +83,13 @@ def text_bytes(name: str = "text") -> F.Column:
     return F.coalesce(F.octet_length(F.col(name)), F.lit(0)).cast("long")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """mapInArrow with this package at hand in the workers."""
+    """mapInArrow with this package at hand in the workers. Columns whose names have dots or ticks, by which it can't find
+    them, go in under others; what comes out is named by the schema."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    safe = [inner(f"column_{k}") if set(c) & set(".`") else c for k, c in enumerate(df.columns)]
+    return (df.toDF(*safe) if safe != df.columns else df).mapInArrow(run, schema)

@@ -312,6 +312,43 @@ def test_languages_of_a_text_are_not_limited_in_number():
     assert names == list("vwxyz") and all(0.15 < s < 0.25 for s in shares[:5])
 
 
+def test_languages_equal_a_plain_expectation_maximisation():
+    """Brute force: every text alone, word by word, all sets of the most present components."""
+    rng = random.Random(6)
+    letters = ["abcdefgh", "efghijkl", "mnopqrst"]
+    write = lambda x, n: " ".join("".join(rng.choices(x, k=rng.randint(2, 6))) for _ in range(n))
+    names, table = langid.fit({f"l{i}": pa.array([write(x, 500)]) for i, x in enumerate(letters)})
+    texts = [" ".join(write(x, rng.randint(0, 20)) for x in letters) for _ in range(40)] + ["", None, "123 4x5", "zz yy"]
+    got, words = langid.infer(pa.array(texts), table)
+
+    def em(p, pi):
+        while True:
+            r = p * pi
+            new = (r / r.sum(1, keepdims=True)).mean(0)
+            if np.abs(new - pi).max() <= langid.TOLERANCE:
+                return new, np.log((p * new).sum(1)).sum()
+            pi = new
+
+    for k, t in enumerate(texts):
+        own = [w for w in re.findall(r"[0-9a-z]+", t or "") if not re.search(r"\d", w)]
+        assert words[k] == len(own)
+        if not own:
+            assert not got[k].any()
+            continue
+        log = []
+        for w in own:
+            bucket, _ = langid.trigrams(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))
+            log.append(table[bucket].astype(np.float64).sum(0))
+        p = np.exp(np.array(log) - np.max(log, axis=1, keepdims=True))
+        pi, _ = em(p, np.full(4, 0.25))
+        best = (-np.inf, None)
+        for size in range(1, 5):
+            some = np.where(np.isin(np.arange(4), np.argsort(-pi, kind="stable")[:size]), np.maximum(pi, 1e-6), 0)
+            some, ll = em(p, some / some.sum())
+            best = max(best, (ll - langid.PENALTY * size * np.log1p(len(own)), some.tolist()))
+        assert np.allclose(got[k], best[1], atol=5e-3), t
+
+
 # 5. byte-pair encoding
 
 
@@ -361,6 +398,44 @@ def test_bpe_arcs_of_a_small_vocabulary():
             assert machine.encode_words(raw, np.array([0]), np.array([n]))[0].tolist() == merge(word)
 
 
+def test_bpe_automaton_has_the_arcs_of_successive_gadgets():
+    rng = random.Random(9)
+    for _ in range(60):
+        tokens = {i: bytes([97 + i]) for i in range(3)}
+        merges = []
+        while len(merges) < 9:
+            u, v = rng.choice(list(tokens)), rng.choice(list(tokens))
+            if tokens[u] + tokens[v] not in tokens.values():
+                merges.append((u, v, len(tokens)))
+                tokens[len(tokens)] = tokens[u] + tokens[v]
+        arcs = bpe.written_out([0, 1, 2], merges)
+        machine = bpe.Automaton(tokens, merges)
+        for u in arcs:
+            got = machine.has_arc(np.full(len(arcs), u, np.int32), np.array(list(arcs), np.int32))
+            assert {t for t, ok in zip(arcs, got) if ok} == arcs[u]
+        assert set(machine.by_bytes.values()) == set(arcs)
+        # A path of arcs from the start is the merges' result, and no other writing of a word is one.
+        for _ in range(30):
+            word = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 9)))
+            way = machine.encode_word(word)
+            assert b"".join(tokens[t] for t in way) == word and all(b in arcs[a] for a, b in zip(way, way[1:])) and way == _merged(word, tokens, merges)
+
+
+def _merged(word, tokens, merges):
+    seq = [x - 97 for x in word]
+    for u, v, w in merges:
+        out, i = [], 0
+        while i < len(seq):
+            if seq[i : i + 2] == [u, v]:
+                out.append(w)
+                i += 2
+            else:
+                out.append(seq[i])
+                i += 1
+        seq = out
+    return seq
+
+
 # 6. n-gram Jaccard join
 
 
@@ -433,6 +508,32 @@ def test_toxicity_held_out_and_located(spark):
     assert toxicity.locate(test, none).count() == 0 and toxicity.locate(test.limit(0), model).count() == 0
 
 
+def test_toxicity_scores_equal_plain_noisy_or():
+    """Brute force: sentence by sentence, the words of each as a set."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcd") for _ in range(3)) for _ in range(40)] + ["vile"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 30))) for _ in range(200)]
+    texts = ["".join(c if c != " " or rng.random() < 0.8 else rng.choice(". |! |? |\n".split("|")) for c in t) for t in texts] + [None, "", "..!", "vile " * 50_000]
+    toxic = np.array([int("vile" in (t or "")) for t in texts])
+    weights, intercept = toxicity.fit(pa.array(texts), toxic)
+    batches = list(toxicity.score_batch(pa.array(range(len(texts))), pa.array(texts), weights, intercept, 0.5))
+    got = {(d, n): (s, p, w) for b in batches for d, w, n, s, p in zip(*(b[c].to_pylist() for c in ("doc_id", "doc_score", "sentence_no", "sentence", "sentence_score")))}
+    want = {}
+    for d, t in enumerate(texts):
+        scored = {}
+        for n, sentence in enumerate(re.split(r"[.!?\n]", t or "")):
+            if w := sorted(set(words(sentence))):
+                raw = "".join(w).encode()
+                ends = np.cumsum([len(x.encode()) for x in w])
+                bucket = toxicity.C.span_hashes(np.frombuffer(raw, np.uint8), np.append(0, ends[:-1]), ends) >> np.uint64(64 - toxicity.BITS)
+                scored[n] = (sentence.strip(), 1 / (1 + np.exp(-(sum(float(weights[b]) for b in set(bucket.tolist())) + intercept))))
+        whole = 1 - np.prod([1 - p for _, p in scored.values()]) if scored else 0
+        if whole >= 0.5:
+            worst = max(p for _, p in scored.values())
+            want |= {(d, n): (s, pytest.approx(p, abs=1e-5), pytest.approx(whole, abs=1e-5)) for n, (s, p) in scored.items() if p >= 0.5 or p == worst}
+    assert got == want and len(want) > 20 and (len(texts) - 1, 0) in want
+
+
 # 8. line deduplication
 
 
@@ -676,3 +777,25 @@ def test_ngrams_travel_in_as_many_bytes_whatever_the_partitions():
         # As the shuffle's codec leaves them.
         size[parts] = sum(len(pa.compress(b"".join(c[i].as_py() for c in (r["a"], r["b"], r["c"])), "lz4", asbytes=True)) + 40 for r in rows for i in range(r.num_rows))
     assert size[3000] <= 1.2 * size[10] and size[10] <= sum(map(len, texts))
+
+
+def test_chat_folds_any_log_as_one_event_after_another(spark):
+    """Brute force: a conversation as a dictionary of messages, changed by one event at a time."""
+    rng = random.Random(12)
+    rows = []
+    for conv in range(60):
+        for seq in range(rng.randint(0, 14)):
+            kind = rng.choice(["message", "delta", "delta", "edit", "regenerate", None])
+            rows.append((conv, seq, kind, rng.randint(0, 4), rng.choice(["user", "assistant", None]), rng.choice(["a", "b", "cd", "", None])))
+    rows += [rows[0], (None, 1, "message", 1, "user", "x"), (1, None, "delta", 1, "user", "x"), (1, 3, "delta", None, "user", "x"), (99, 1, "message", 0, "user", "y" * 1_000_000)]
+    want = {}
+    for conv in {r[0] for r in rows}:
+        state: dict[int, list] = {}
+        for _, seq, kind, message, role, text in sorted({r for r in rows if r[0] == conv and None not in (r[0], r[1], r[3])}, key=lambda r: r[1]):
+            if kind in ("edit", "regenerate"):
+                state = {m: x for m, x in state.items() if m <= message}
+            before = state.get(message, [None, ""])
+            state[message] = [role or before[0], (before[1] if kind == "delta" else "") + (text or "")]
+        want |= {(conv, m): (x[0] or "user", x[1]) for m, x in state.items()}
+    frame = spark.createDataFrame(rows, "conv_id long, seq long, kind string, message long, role string, text string")
+    assert {(r.conv_id, r.message): (r.role, r.text) for r in chat.messages(frame).collect()} == want
