@@ -371,5 +371,23 @@ def decode(encoded: DataFrame, automaton: Automaton) -> DataFrame:
     return in_arrow(encoded.select("doc_id", F.coalesce("tokens", F.array().cast("array<int>")).alias("tokens")), run, "doc_id long, text string")
 
 
+def round_trip(docs: DataFrame, automaton: Automaton, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode``, with ``restored``: whether decoding the tokens gives the text (for a null text, an empty one)."""
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = shared.value
+        for b in batches:
+            for at, some in C.chunks(b.column(1), 2 << 20):
+                tokens, count = machine.encode(some)
+                stop = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                same = pa.compute.equal(pa.array(machine.decode(tokens, count), pa.string()), pa.compute.fill_null(some.cast(pa.string()), ""))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(at, len(some)), pa.array(count.astype(np.int32)), pa.ListArray.from_arrays(pa.array(stop), pa.array(tokens)), same], names=["doc_id", "n_tokens", "tokens", "restored"]
+                )
+
+    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA + ", restored boolean")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(documents(spark, sf_dir), load())
+    return round_trip(documents(spark, sf_dir), load())

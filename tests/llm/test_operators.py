@@ -368,6 +368,7 @@ def test_bpe_equals_the_merges_and_round_trips(spark):
     got = {r.doc_id: r for r in enc.collect()}
     for i, t in enumerate(texts):
         assert got[i].tokens == reference.encode(t or "", add_special_tokens=False).ids and got[i].n_tokens == len(got[i].tokens)
+    assert bpe.round_trip(frame, machine).where("NOT restored OR restored IS NULL").count() == 0
     back = {r.doc_id: r.text for r in bpe.decode(enc, machine).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
 
