@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of ``documents``, with
 n_chars brought up to date where texts change.
+
+Cases, beside those of the operators: an empty table goes through all stages as one; null and empty texts, which have no
+language, go in the first stage, and stay in the others but the last, where they have no tokens; rows without id are judged
+by their text in the first, fourth and last stage and stay as they are in the others; rows that share an id are treated
+alike where lines and near copies are told by it; very long texts are worked on whole; columns beyond those of
+``documents`` come along, whatever their names, but for the last stage, which reads none.
 """
 
 from __future__ import annotations
@@ -44,8 +50,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", languages), ("line dedup", lines), ("n-gram Jaccard join", near_copies), ("PII", private), ("packing", pack)]
 
-#: Language models, fuzzy lines and the packing's linear program can't be expressed in SQL; the stages are tested
-#: against brute-force versions.
+#: Language models, fuzzy lines and the packing's linear program can't be expressed in SQL; tests/llm/test_pipeline.py
+#: holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
