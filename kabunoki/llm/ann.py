@@ -118,7 +118,7 @@ class Hashing:
                 todo.append((live[less], bound[less] - 1.0))
             done = ~less[q]
             q, chance, key = q[done], chance[done], key[done]
-            o = np.lexsort((-chance, q))
+            o = np.argsort(q - chance)  # by query, then the greatest chance; it is at most 1
             q, chance, key = q[o], chance[o], key[o]
             before = np.cumsum(chance) - chance
             first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
