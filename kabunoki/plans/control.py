@@ -48,7 +48,7 @@ def _saved_bars(s: SparkSession, d: str) -> DataFrame:
     short = _response(o.where(k % 2 == 0), k % 7, "data", new)
     long = _response(o.where(k % 2 == 1), k % 7, "daily_quotes", old)
     out = saved.bars(short.unionByName(long))
-    return rounded(out.select("trade_date", "code", "open", "high", "close", "volume", "adjusted_close", "source"), 4)
+    return rounded(out.select("code", "trade_date", "source", "volume", "open", "high", "close", "adjusted_close"), 4)
 
 
 def _saved_filings(s: SparkSession, d: str) -> DataFrame:

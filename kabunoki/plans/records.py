@@ -263,7 +263,7 @@ SQL = {
     "row_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")),
     "quality_gate": f"""WITH {EVENTS}, b AS (SELECT count(DISTINCT canonical_code) AS priced, max(trade_date) AS last FROM bars),
       o AS (SELECT count(*) FILTER (WHERE bad AND trade_date >= last - 400) AS bad_now, count(*) FILTER (WHERE bad) AS bad_ever FROM (SELECT trade_date, coalesce(high < greatest(open, close), false) OR coalesce(low > least(open, close), false) OR high < low OR volume < 0 AS bad FROM bars), b),
-      e AS (SELECT count(DISTINCT (canonical_code, trade_date, source)) FILTER (WHERE action = 'exclude_model_price') AS gone, count(DISTINCT (canonical_code, trade_date, source)) FILTER (WHERE action = 'exclude_model_price' AND trade_date >= last - 400) AS gone_now,
+      e AS (SELECT count(DISTINCT (source, canonical_code, trade_date)) FILTER (WHERE action = 'exclude_model_price') AS gone, count(DISTINCT (source, canonical_code, trade_date)) FILTER (WHERE action = 'exclude_model_price' AND trade_date >= last - 400) AS gone_now,
         count(*) FILTER (WHERE clean_high < clean_low) AS unclean FROM events, b),
       d AS (SELECT count(*) FILTER (WHERE coalesce(length(text), 0) = 0) AS lost FROM documents), p AS (SELECT count(*) AS unproved FROM documents x, benchmark y WHERE x.doc_id < 5 AND NOT contains({_SQ('coalesce(x.text, $$$$)')}, {_SQ('y.text')})),
       r AS (SELECT *, date_diff('day', last, DATE '2002-01-05') AS age FROM b, o, e, d, p)

@@ -76,7 +76,7 @@ def filing_query(code: str | None = None, date: str | None = None) -> dict[str,
     """What to ask the provider for: the filings of a code or of a day, not both and not neither."""
     if bool(code) == bool(date):
         raise ValueError("exactly one of a code and a date")
-    return {"code": code} if code else {"date": str(date).replace("-", "")}
+    return {"date": "".join(c for c in str(date) if c != "-")} if date else {"code": code}
 
 
 def documents(saved: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ BREAKS = frozenset("p div br tr li h1 h2 h3".split())
 CLOSES = frozenset("p div tr li".split())
 HIDDEN = frozenset(("script", "style"))
 LONGEST = 300_000
+EMPTY = re.compile("\n\n\n+")
 #: The columns of a disclosure list, by the class of its cells.
 CELLS = dict(zip("kjTime|kjCode|kjName|kjTitle|kjXbrl|kjPlace|kjHistroy".split("|"), "disclosure_time|tdnet_code|company_name|title|xbrl|exchange|update_history".split("|")))
 DISCLOSURES = "disclosure_time string, tdnet_code string, company_name string, title string, pdf_href string, xbrl_href string, exchange string, update_history string"
@@ -56,7 +57,8 @@ def visible(html: str | None) -> str | None:
     parser = _Visible()
     parser.feed(html)
     parser.close()
-    return re.sub(r"\n{3,}", "\n\n", "".join(parser.out)).strip()[:LONGEST]
+    text = EMPTY.sub("\n" * 2, "".join(parser.out))
+    return text.strip()[:LONGEST]
 
 
 class _Rows(HTMLParser):
@@ -64,10 +66,8 @@ class _Rows(HTMLParser):
 
     def reset(self) -> None:
         HTMLParser.reset(self)
-        self.rows: list[dict] = []
-        self.row: dict | None = None
-        self.field: str | None = None
-        self.text: list[str] = []
+        self.rows, self.text = [], []
+        self.row = self.field = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         given = {k: v or "" for k, v in attrs}
