@@ -246,7 +246,8 @@ def test_retries_wait_once_and_are_resolved(spark):
 def test_disclosure_list_pages(spark):
     html = """<table><tr><td class="oddnew-L kjTime">15:00</td><td class="kjCode">72030</td><td class="kjName">　A  B</td><td class="kjTitle"><a href="1401.pdf">決算短信</a></td><td class="kjPlace">東</td>
       <td class="kjXbrl">figures: <a href="x.zip">here</a></td><td class="kjHistroy"></td></tr>
-      <tr id="2"><td class="kjTime">16:00</td><td class="kjCode">332A0</td><td class="kjTitle"><a href="sub/1402.pdf">配当予想の変更</a></td></tr><tr><td class="kjCode">1</td></tr></table>
+      <tr id="2"><td class="kjTime">16:00</td><td class="kjCode">332A0</td><td class="kjTitle"><a href="sub/1402.pdf">配当予想の変更</a></td></tr>
+      <tr id="3"><td class="kjCode">1</td></tr></table>
       <a href="I_list_001_20260105.html">1</a><a href="I_list_012_20260105.html">12</a>"""
     pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page int, html string")
     items = web.disclosure_list(pages)
