@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from . import columnar as C
-from .shared import forget, if_small, ship, width, written
+from .shared import forget, give_back, if_small, ship, width, written
 
 
 def buckets(spark: SparkSession) -> int:
@@ -85,7 +85,9 @@ def verify(cells: DataFrame, payload: DataFrame, kernel: Callable[[np.ndarray, n
             return nothing
         ids, x, y = pairs_of([(p.as_py(), i.as_py()) for p, i in zip(left["pairs"], left["ids"])])
         right = right.take(pa.array(np.argsort(right["id"].to_numpy(), kind="stable")))
-        return kernel(ids, x, y, right)
+        out = kernel(ids, x, y, right)
+        give_back()
+        return out
 
     return cells.groupBy("cell").cogroup(sent.groupBy("cell")).applyInArrow(run, schema)
 

@@ -46,7 +46,7 @@ SPARE = 4  # classes by which one may be extended
 PAIRED = 2  # levels of lines so short that pairs of classes are blocks
 #: Edits that similar lines may have, by level; all lines of a level have as many classes.
 LEVELS = np.unique(np.concatenate([np.arange(1, 7), np.floor(8 * 1.28 ** np.arange(70))])).astype(np.int64)
-BLOCK = 1_500_000
+BLOCK = 1_000_000
 _LINES = "kind int, line long, doc_id long, line_no int, words binary, ids binary"
 WORD_BYTES = 3
 PARITY = 512  # bits

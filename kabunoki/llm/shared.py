@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,4 +94,17 @@ def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     them, go in under others; what comes out is named by the schema."""
     ship(df.sparkSession)
     safe = [inner(f"column_{k}") if set(c) & set(".`") else c for k, c in enumerate(df.columns)]
-    return (df.toDF(*safe) if safe != df.columns else df).mapInArrow(run, schema)
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return (df.toDF(*safe) if safe != df.columns else df).mapInArrow(whole, schema)
+
+
+def give_back() -> None:
+    """Return what this worker has freed to the system: idle workers would keep it, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
