@@ -6,7 +6,7 @@ line's blocks. An edit touches two classes at most, so by the pigeonhole princip
 all words are equal, and agree on its SimHash, wherever the edits are. A class of too few words or bytes to tell lines
 apart is extended by the classes after it; lines of less than 30 words, whose classes are all so small, have their pairs of
 classes as blocks. Of many classes the first POSTED suffice: every one of them survives with a chance of about 0.4. Lines
-that agree on a block and have lengths that allow it are candidates; of these a pair is verified by its edit distance over words,
+that agree on a block and have lengths that allow it are candidates; unless they are connected already, a pair is verified by its edit distance over words,
 banded, for many pairs at once, unless the parities of its words' counts already differ by more than the edits allow. Of
 each connected group of similar lines the first occurrence, by document id and line number, stays; the others are cut
 from their documents.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import columnar as C
-from .graph import buckets, by_cell, components, forest, verify
+from .graph import HOT, buckets, bundles, by_cell, components, forest, leader_of, merged, verify
 from .ngram_join import _SENT, _distinct, _fields, _pairs_of_runs, _rows, bounds, planes, unplanes
 from .shared import documents, if_small, in_arrow, inner, quoted, release, width, written
 
@@ -218,9 +218,10 @@ def _spread(batches: Iterator[pa.RecordBatch], parts: int, similarity: float) ->
         yield last
 
 
-def _meet(batches: Iterator[pa.RecordBatch], similarity: float, count: int) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], similarity: float, count: int, hot: int) -> Iterator[pa.RecordBatch]:
     """kind 0: candidate pairs by cell, of lines that agree on a block here (line is the cell, words the pairs); 1:
-    occurrences of the lines that belong here; 2: the words of each."""
+    occurrences of the lines that belong here; 2: the words of each; 3: the lines of a block that more than ``hot`` have
+    (line is their leader)."""
     keys, signs, sizes = [], [], []
     sent: set[int] = set()
     for kind, a, b, c in _fields(batches):
@@ -250,7 +251,13 @@ def _meet(batches: Iterator[pa.RecordBatch], similarity: float, count: int) -> I
     rank[order] = np.arange(len(order))
     key, ref = _distinct(np.concatenate(keys), rank[ref])
     _, run, length = np.unique(key, return_index=True, return_counts=True)
-    inside = np.flatnonzero(length > 1)
+    many: dict[int, list[np.ndarray]] = {}
+    for k in np.flatnonzero(length > hot).tolist():
+        some = every[ref[run[k] : run[k] + length[k]]].view(np.int64)
+        many.setdefault(leader_of(some), []).append(some)
+    for leader, some in many.items():
+        yield _out(3, np.array([leader], np.int64), None, None, None, [np.unique(np.concatenate(some)).tobytes()])
+    inside = np.flatnonzero((length > 1) & (length <= hot))
     keep = C.ragged(run[inside], length[inside])
     ref = ref[keep]
     stop = np.repeat(np.cumsum(length[inside]), length[inside])
@@ -261,13 +268,11 @@ def _meet(batches: Iterator[pa.RecordBatch], similarity: float, count: int) -> I
         most = int(size[-1]) + 2
         place = runs * most + size[ref]
         stop = np.minimum(stop, np.searchsorted(place, runs * most + np.minimum(np.floor(size[ref] / similarity + 1e-9).astype(np.int64), most - 1), "right"))
-    found, held = [], 0
+    found, held = [], 4_000_000
     for i, j in _pairs_of_runs(start, stop):
         found.append(np.unique(ref[i].astype(np.uint64) << np.uint64(32) | ref[j].astype(np.uint64)))
-        held += len(found[-1])
-        if held > 4_000_000:
-            found = [np.unique(np.concatenate(found))]
-            held = len(found[0])
+        if sum(map(len, found)) > held:
+            found, held = merged(found, held)
     if not found:
         return
     pairs = np.unique(np.concatenate(found))
@@ -325,49 +330,83 @@ def parities(word: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _alike(similarity: float):
-    def kernel(ids: np.ndarray, a: np.ndarray, b: np.ndarray, lines: pa.Table) -> pa.Table:
+    def kernel(ids: np.ndarray, a: np.ndarray, b: np.ndarray, lines: pa.Table, leader: int) -> pa.Table:
         parts = [x.as_py() for x in lines["words"]]
         n = np.array([len(x) // WORD_BYTES for x in parts], np.int64)
         at = np.cumsum(n) - n
         raw = np.zeros((int(n.sum()), 4), np.uint8)
         raw[:, :WORD_BYTES] = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, WORD_BYTES)
         word = raw.view(np.uint32).ravel().astype(np.int64)
-        longest = np.maximum(n[a], n[b])
-        limit = np.floor((1 - similarity) * longest + 1e-9).astype(np.int64)
-        good = np.zeros(len(a), bool)
         odd = parities(word, n)
-        far = [np.bitwise_count(odd[a[i : i + 200_000]] ^ odd[b[i : i + 200_000]]).sum(axis=1, dtype=np.int64) for i in range(0, len(a), 200_000)]
-        order = np.flatnonzero(np.concatenate(far or [np.zeros(0, np.int64)]) <= 2 * limit)
-        order = order[np.lexsort((longest[order], limit[order]))]
-        lo = 0
-        while lo < len(order):
-            k = int(limit[order[lo]])
-            hi = int(np.searchsorted(limit[order], k, "right"))
-            most = max(1, int(4_000_000 // max(1, (2 * k + 1 + int(longest[order[hi - 1]])))))
-            o = order[lo : min(hi, lo + most)]
-            lo += len(o)
-            w = int(longest[o].max())
-            pa_, pb = np.full((len(o), w), -1, np.int64), np.full((len(o), w), -2, np.int64)
-            for m, x in ((pa_, a[o]), (pb, b[o])):
-                row = np.repeat(np.arange(len(o)), n[x])
-                m[row, C.ragged(np.zeros(len(o), np.int64), n[x])] = word[C.ragged(at[x], n[x])]
-            good[o] = edit_distances(pa_, pb, n[a[o]], n[b[o]], k) <= k
-        node, root = forest(len(ids), a[good], b[good])
-        return pa.table({"a": ids[node], "b": ids[root]})
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        label = np.arange(len(ids))
+        for p, q in _across(a, b) if leader else ((a[i : i + 200_000], b[i : i + 200_000]) for i in range(0, len(a), 200_000)):
+            apart = label[p] != label[q]
+            p, q = p[apart], q[apart]
+            limit = np.floor((1 - similarity) * np.maximum(n[p], n[q]) + 1e-9).astype(np.int64)
+            some = np.abs(n[p] - n[q]) <= limit
+            some[some] = np.bitwise_count(odd[p[some]] ^ odd[q[some]]).sum(axis=1, dtype=np.int64) <= 2 * limit[some]
+            p, q, limit = p[some], q[some], limit[some]
+            # First one partner of each line: mostly that connects the rest as well.
+            _, first = np.unique(q, return_index=True)
+            rest = np.ones(len(q), bool)
+            rest[first] = False
+            for part in (first, np.flatnonzero(rest)):
+                part = part[label[p[part]] != label[q[part]]]
+                good = part[_within(word, at, n, p[part], q[part], limit[part])]
+                if len(good):
+                    x.append(p[good])
+                    y.append(q[good])
+                    node, root = forest(len(ids), np.concatenate(x), np.concatenate(y))
+                    x, y = [node], [root]
+                    label[node] = root
+        return pa.table({"a": ids[x[0]], "b": ids[y[0]]})
 
     return kernel
 
 
-def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _across(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (x, y), x < y, of two arrays of places; first those of few x, to connect most lines early."""
+    lo = 0
+    while lo < len(a):
+        some = a[lo : lo + min(max(1, lo), max(1, 400_000 // len(b)))]
+        lo += len(some)
+        x, y = np.repeat(some, len(b)), np.tile(b, len(some))
+        yield x[x < y], y[x < y]
+
+
+def _within(word: np.ndarray, at: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair of lines is at most its limit."""
+    longest = np.maximum(n[a], n[b])
+    good = np.zeros(len(a), bool)
+    order = np.lexsort((longest, limit))
+    lo = 0
+    while lo < len(order):
+        k = int(limit[order[lo]])
+        hi = int(np.searchsorted(limit[order], k, "right"))
+        most = max(1, int(4_000_000 // max(1, (2 * k + 1 + int(longest[order[hi - 1]])))))
+        o = order[lo : min(hi, lo + most)]
+        lo += len(o)
+        w = int(longest[o].max())
+        pa_, pb = np.full((len(o), w), -1, np.int64), np.full((len(o), w), -2, np.int64)
+        for m, x in ((pa_, a[o]), (pb, b[o])):
+            row = np.repeat(np.arange(len(o)), n[x])
+            m[row, C.ragged(np.zeros(len(o), np.int64), n[x])] = word[C.ragged(at[x], n[x])]
+        good[o] = edit_distances(pa_, pb, n[a[o]], n[b[o]], k) <= k
+    return good
+
+
+def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, line_no) of the lines that go: all but the first of each connected group of similar lines."""
     spark = docs.sparkSession
     parts, count = width(spark), buckets(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     sent = in_arrow(base, lambda bs: _spread(bs, parts, similarity), _SENT).repartitionById(parts, "part")
-    table = written(in_arrow(sent, lambda bs: _meet(bs, similarity, count), _LINES), "lines")
+    table = written(in_arrow(sent, lambda bs: _meet(bs, similarity, count, hot), _LINES), "lines")
     del sent
     release(spark)
-    cells = table.where("kind = 0").select(F.col("line").cast("int").alias("cell"), F.col("words").alias("pairs"), "ids")
+    cells = table.where("kind = 0").select(F.col("line").alias("cell"), F.col("words").alias("pairs"), "ids")
+    cells = written(cells.union(bundles(table.where("kind = 3").select(F.col("line").alias("leader"), "ids"))), "line-cells")
     payload = table.where("kind = 2").select(F.col("line").alias("id"), "words")
     roots = components(verify(cells, payload, _alike(similarity), "a long, b long"))
     release(spark)

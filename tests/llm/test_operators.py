@@ -588,6 +588,33 @@ def test_line_dedup_equals_brute_force(spark, docs):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_of_blocks_that_many_lines_have(spark, docs):
+    plain = sorted(map(tuple, line_dedup.repeated_lines(docs).collect()))
+    assert sorted(map(tuple, line_dedup.repeated_lines(docs, hot=1).collect())) == plain
+
+
+def test_variants_of_one_line_are_not_sent_as_pairs():
+    rng = random.Random(2)
+    base = [f"word{i}" for i in range(40)]
+    lines = [" ".join(edited(rng, base, 2, "substitute")) for _ in range(3000)]
+    sent = list(line_dedup._spread(iter([pa.record_batch({"doc_id": np.arange(len(lines)), "text": lines})]), 1, 0.9))
+    rows = [r for b in line_dedup._meet(iter(sent), 0.9, 3, graph.HOT) for r in b.to_pylist() if r["kind"] in (0, 3)]
+    assert {r["kind"] for r in rows} == {0, 3} or {r["kind"] for r in rows} == {3}
+    assert sum(len(r["ids"]) + len(r["words"] or b"") for r in rows) < 200 * len(lines)  # a pair would take a byte
+
+
+def test_chunks_of_a_bundle_make_all_pairs(monkeypatch):
+    monkeypatch.setattr(graph, "CHUNK", 7)
+    ids = np.arange(100, 130)
+    pairs = []
+    for cell, split, some in graph.bundled([(5, ids[:20].tobytes()), (5, ids[10:].tobytes())]):
+        some, k = np.frombuffer(some, np.int64), int(np.frombuffer(split, np.int64)[0])
+        assert cell >> 32 == 5
+        for x, y in line_dedup._across(np.arange(k or len(some)), np.arange(k, len(some))):
+            pairs += zip(some[x].tolist(), some[y].tolist())
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a in ids.tolist() for b in ids.tolist() if a < b}
+
+
 def test_line_dedup_keeps_words_without_letters(spark):
     docs = spark.createDataFrame([(1, "same line here ok"), (2, "same line here ok\n\U0001f600\U0001f600\U0001f600"), (3, "same line here ok\n--")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {1: "same line here ok", 2: "\U0001f600\U0001f600\U0001f600"}
