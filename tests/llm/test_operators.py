@@ -475,6 +475,44 @@ def test_one_of_each_group_stays(spark, docs):
     assert ngram_join.join(empty(spark)).count() == 0 and ngram_join.one_of_each(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 4, 1000])
+def test_ngrams_that_many_sets_have_make_bundles(spark, docs, hot):
+    want = jaccard_pairs(docs.collect(), 0.3)
+    got = ngram_join.join(docs, 0.3, hot=hot).collect()
+    assert len(got) == len(want) and {(r.doc_a, r.doc_b): r.jaccard for r in got} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+    again = spark.createDataFrame([*[(r.doc_id, r.text) for r in docs.collect()], (50, "a b c d e f"), (51, "a b c d e f"), (50, "a b c d e f g"), (52, "a b c d e f g")], "doc_id long, text string")
+    pairs = [(r.doc_a, r.doc_b) for r in ngram_join.join(again, hot=hot).collect()]
+    class_of = {i: i for (i,) in again.where("doc_id IS NOT NULL").select("doc_id").distinct().collect()}
+    for _ in class_of:
+        for a, b in pairs:
+            class_of[a] = class_of[b] = min(class_of[a], class_of[b])
+    links = collections.Counter(x for p in pairs for x in p)
+    found = ngram_join.links(again, hot=hot).collect()
+    assert sorted((r.doc_id, r.class_id, r.links) for r in found) == sorted((i, c, links[i]) for i, c in class_of.items())
+    assert ngram_join.links(empty(spark)).count() == 0
+
+
+def test_overlaps_of_frequent_and_rare_ngrams():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([rng.integers(0, 60, 40), rng.integers(60, 4000, 50)])) for _ in range(90)]
+    n = np.array([len(x) for x in sets])
+    gram, at = np.concatenate(sets), np.cumsum(n) - n
+    every = np.arange(90)
+    for a, b in ((every[:50], every[50:]), (every, every)):
+        got = ngram_join._overlaps(gram, at, n, a, b)
+        assert all(got[i, j] == len(np.intersect1d(sets[x], sets[y])) for i, x in enumerate(a) for j, y in enumerate(b) if x < y)
+
+
+def test_variants_of_one_text_are_not_sent_as_pairs():
+    rng = random.Random(2)
+    base = [f"word{i}" for i in range(60)]
+    texts = [" ".join(edited(rng, base, 3, "substitute")) for _ in range(3000)]
+    rows = list(ngram_join._spread(iter([pa.record_batch({"doc_id": np.arange(len(texts)), "text": texts})]), 3, 1))
+    sets = [b.select(["gid", "set_id", "size", "lone", "prefix", "elements"]) for b in ngram_join._assemble(ngram_join._count(iter(rows), 1), 0.5)]
+    sent = [r for b in ngram_join._meet(ngram_join._post(iter(sets), 1), 0.5, 1, 3, graph.HOT) for r in b.to_pylist()]
+    assert sum(len(r["a"]) + len(r["b"]) for r in sent) < 200 * len(texts)  # a pair would take a byte
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(100, 100), (7, 3)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
