@@ -274,6 +274,25 @@ def test_ann_recall_with_many_directions(spark, bucket):
     assert np.mean([len(by[i] & set(want[i].tolist())) / 5 for i in range(len(x))]) >= 0.9
 
 
+def test_ann_queries_are_some_rows_and_all_are_searched(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(60, 1, 16)) + 0.3 * rng.normal(size=(60, 20, 16))).reshape(-1, 16).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    by = collections.defaultdict(set)
+    for r in ann.neighbours(rows, k=5, bucket=40, every=50).collect():
+        by[r.vec_id].add(r.neighbour_id)
+    assert ann.neighbours(rows.where("vec_id % 50 <> 0"), every=50).count() == 0
+    assert set(by) == set(range(0, len(x), 50)) and any(n % 50 for s in by.values() for n in s)
+    want = {i: set([n for n in np.argsort(((x - x[i]) ** 2).sum(-1)).tolist() if n != i][:5]) for i in by}
+    assert np.mean([len(by[i] & want[i]) / 5 for i in by]) >= 0.9
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_ann_query_asks_for_ids_divisible_by_fifty(spark):
+    ids = {r.vec_id for r in spark.read.parquet(DATA + "/embeddings.parquet").select("vec_id").collect()}
+    assert {r.vec_id for r in ann.query(spark, DATA).collect()} == {i for i in ids if i % 50 == 0}
+
+
 def test_ann_ties_go_to_the_lesser_id(spark):
     rows = [(i, [0.0, 0.0] if i % 2 else [1.0, 0.0]) for i in range(40)]
     got = collections.defaultdict(list)
