@@ -144,3 +144,11 @@ def test_run_gives_the_stages_in_a_row(spark):
     key = lambda r: (r.doc_id, r.piece, r.first_token, r.n_tokens)
     assert sorted(map(key, corpus_pipeline.run(spark, DATA).collect())) == sorted(map(key, docs.collect()))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "n-gram Jaccard join", "PII", "packing"]
+
+
+def test_stages_on_more_variants_than_are_listed_as_pairs(spark):
+    base = [f"word{i}" for i in range(40)]
+    texts = [" ".join(f"x{k}" if i == k % 40 else w for i, w in enumerate(base)) for k in range(300)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCUMENTS)
+    for name in ("line dedup", "n-gram Jaccard join"):
+        assert [r.doc_id for r in STAGES[name](spark, docs, DATA).collect()] == [0]
