@@ -296,9 +296,9 @@ def edit_distances(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray,
     """Edit distances over words of rows of ``a`` and ``b`` (padded by different negative numbers), exact up to ``limit``
     and more than it beyond; bands of 2 * limit + 1."""
     rows, span, far = len(a), 2 * limit + 1, limit + 1
-    wide = np.full((rows, b.shape[1] + 2 * limit + 2), -3, np.int64)
+    wide = np.full((rows, b.shape[1] + 2 * limit + 2), -3, b.dtype)
     wide[:, limit : limit + b.shape[1]] = b
-    shift = np.arange(span)
+    shift = np.arange(span, dtype=np.int32)
     # Cell k of a band in row i is column i + k - limit of the matrix.
     d = np.where(shift >= limit, shift - limit, far).astype(np.int32)[None, :].repeat(rows, 0)
     out = np.full(rows, far, np.int32)
@@ -344,27 +344,41 @@ def _alike(similarity: float):
             apart = label[p] != label[q]
             p, q = p[apart], q[apart]
             limit = np.floor((1 - similarity) * np.maximum(n[p], n[q]) + 1e-9).astype(np.int64)
-            some = np.abs(n[p] - n[q]) <= limit
-            some[some] = np.bitwise_count(odd[p[some]] ^ odd[q[some]]).sum(axis=1, dtype=np.int64) <= 2 * limit[some]
-            p, q, limit = p[some], q[some], limit[some]
-            # First one partner of each line: mostly that connects the rest as well.
-            _, first = np.unique(q, return_index=True)
-            rest = np.ones(len(q), bool)
-            rest[first] = False
-            for part in (first, np.flatnonzero(rest)):
-                part = part[label[p[part]] != label[q[part]]]
-                good = part[_within(word, at, n, p[part], q[part], limit[part])]
+            gap = np.abs(n[p] - n[q])
+            some = gap <= limit
+            p, q, limit, gap = p[some], q[some], limit[some], gap[some]
+            spare = 2 * limit - gap - np.bitwise_count(odd[p] ^ odd[q]).sum(axis=1, dtype=np.int64)
+            order = np.argsort(-spare, kind="stable")[: int((spare >= 0).sum())]
+            p, q, limit = p[order], q[order], limit[order]
+            # First one partner of each group, on either side, then twice as many each time: mostly few connect the rest.
+            tries = 1
+            while len(p):
+                now = (_places(label[p]) < tries) | (_places(label[q]) < tries)
+                good = np.flatnonzero(now)
+                good = good[_within(word, at, n, p[good], q[good], limit[good])]
                 if len(good):
                     x.append(p[good])
                     y.append(q[good])
                     node, root = forest(len(ids), np.concatenate(x), np.concatenate(y))
                     x, y = [node], [root]
                     label[node] = root
+                left = ~now & (label[p] != label[q])
+                p, q, limit = p[left], q[left], limit[left]
+                tries *= 2
         return pa.table({"a": ids[x[0]], "b": ids[y[0]]})
 
     return kernel
 
 
+def _places(x: np.ndarray) -> np.ndarray:
+    """The place of each number among those equal to it."""
+    order = np.argsort(x, kind="stable")
+    run = np.flatnonzero(np.concatenate([[True], x[order][1:] != x[order][:-1]]))
+    out = np.empty(len(x), np.int64)
+    out[order] = C.ragged(np.zeros(len(run), np.int64), np.diff(np.append(run, len(x))))
+    return out
+
+
 def _across(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs (x, y), x < y, of two arrays of places; first those of few x, to connect most lines early."""
     lo = 0
@@ -388,7 +402,7 @@ def _within(word: np.ndarray, at: np.ndarray, n: np.ndarray, a: np.ndarray, b: n
         o = order[lo : min(hi, lo + most)]
         lo += len(o)
         w = int(longest[o].max())
-        pa_, pb = np.full((len(o), w), -1, np.int64), np.full((len(o), w), -2, np.int64)
+        pa_, pb = np.full((len(o), w), -1, np.int32), np.full((len(o), w), -2, np.int32)
         for m, x in ((pa_, a[o]), (pb, b[o])):
             row = np.repeat(np.arange(len(o)), n[x])
             m[row, C.ragged(np.zeros(len(o), np.int64), n[x])] = word[C.ragged(at[x], n[x])]

@@ -677,6 +677,23 @@ def test_line_dedup_keeps_words_without_letters(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {1: "same line here ok", 2: "\U0001f600\U0001f600\U0001f600"}
 
 
+@pytest.mark.parametrize("chunk", [0, 300])
+def test_lines_of_a_bundle_are_compared_until_they_are_connected(monkeypatch, chunk):
+    rng = random.Random(4)
+    base = list(range(60))
+    new = lambda k: [w if i not in at else rng.randrange(10**4, 10**6) for at in [set(rng.sample(base, k))] for i, w in enumerate(base)]
+    lines = [np.array(new(9 if k % 100 == 7 else rng.randrange(1, 4)), np.uint32) for k in range(600)]
+    words = [x.view(np.uint8).reshape(-1, 4)[:, : line_dedup.WORD_BYTES].tobytes() for x in lines]
+    compared, within = [], line_dedup._within
+    monkeypatch.setattr(line_dedup, "_within", lambda word, at, n, a, b, limit: compared.append(len(a)) or within(word, at, n, a, b, limit))
+    ids = np.arange(600)
+    out = line_dedup._alike(0.9)(ids, np.arange(chunk or 600), np.arange(chunk, 600), pa.table({"words": pa.array(words, pa.binary())}), 1)
+    alike = [(i, j) for i in range(chunk or 600) for j in range(max(chunk, i + 1), 600) if (lines[i] != lines[j]).sum() <= 6]
+    label = dict(zip(*(x.tolist() for x in graph.forest(600, *map(np.array, zip(*alike))))))
+    assert dict(zip(out["a"].to_pylist(), out["b"].to_pylist())) == label and len(label) > 500
+    assert sum(compared) < 5 * 600  # all across the chunks are 90,000
+
+
 def edited(rng, words, k, how):
     """k edits, spread evenly or at random: substitutions, deletions or insertions of new words."""
     at = [(2 * i + 1) * len(words) // (2 * k) for i in range(k)] if how != "random" else rng.sample(range(len(words)), k)
