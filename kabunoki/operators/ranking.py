@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from kabunoki.functions.kit import finite, percentile_rank, rank_desc, row_mean, winsorise
+from kabunoki.operators import order
+from kabunoki.session import stable, width
 
 RANKING_VERSION = "rule_1"
 LEAST_IN_SECTOR = 5
@@ -36,26 +38,37 @@ def metric_scores(frame: DataFrame, metrics: dict[str, bool] = METRICS, date: st
     to the group's 2.5 and 97.5 percentiles; ``date`` keeps cross-sections of different dates apart, and ``key`` tells the
     rows of a cross-section apart.
 
-    The metrics are stacked, so that one shuffle by group and metric serves all windows, with a sort for each of the two
-    kinds of cross-section, and the work spreads by metric too. The rest of a row travels with its first metric."""
+    The metrics are stacked, so that one shuffle by group and metric serves the windows over a group, which is in pieces if
+    it is large, another those over its sectors, and the work spreads by metric too. The rest of a row meets its scores at
+    the end."""
+    frame = stable(frame, "scored")
     keys = [date, key] if date else [key]
     group = [*([date] if date else []), "model_group", "_metric"]
-    sector = [*group, "sector33_name"]
     names = list(metrics)
-    rest = F.struct(*[F.col(f"`{c}`") for c in frame.columns])
-    stack = F.array(*[F.struct(F.lit(k).alias("_metric"), finite(F.col(m).cast("double")).alias("_value"), (F.lit(None) if k else rest).cast(frame.schema).alias("_rest")) for k, m in enumerate(names)])
+    stack = F.array(*[F.struct(F.lit(k).alias("_metric"), (finite(F.col(m).cast("double")) + 0.0).alias("_value")) for k, m in enumerate(names)])
     long = frame.select(*dict.fromkeys([*keys, "model_group", "sector33_name"]), F.explode(stack).alias("_s")).select("*", "_s.*").drop("_s")
-    long = long.withColumn("_value", winsorise(F.col("_value"), group))
-    # A metric of which less is better has its percentiles from the other end.
-    turned = F.when(F.col("_metric").isin(*[k for k, m in enumerate(names) if not metrics[m]]), -F.col("_value")).otherwise(F.col("_value"))
-    long = long.withColumn("_value", turned)
+    long = order.pieces(long, group, "_value", keys, order.clipped(order.cut(long, group, "_value"), long, group, "_value"))
     v = F.col("_value")
-    long = long.withColumn("_wide", percentile_rank(v, *group)).withColumns({"_narrow": percentile_rank(v, *sector), "_n": F.count(v).over(W.partitionBy(*sector))})
+    # What was cut is clipped already; other groups are a piece each.
+    long = long.withColumn("_value", F.coalesce(winsorise(F.when(~F.col("_cut"), v), order.piece(group)), v))
+    # A metric of which less is better has its percentiles from the other end.
+    less = F.col("_metric").isin(*[k for k, m in enumerate(names) if not metrics[m]])
+    long = order.ranks(long, group, "_value")
+    twice = 2 * F.col("_rank") + F.col("_ties") - 1
+    long = long.withColumn("_wide", F.when(less, 2 * F.col("_n") + 2 - twice).otherwise(twice) / 2.0 / F.col("_n"))
+    # Rows without a sector have no use for their ranks in it, and needn't meet.
+    long = long.withColumns({"_value": F.when(less, -v).otherwise(v), "_apart": F.when(F.col("sector33_name").isNull(), F.pmod(F.xxhash64(*keys), F.lit(order.APART)))})
+    sector = [*group, "sector33_name", "_apart"]
+    long = long.select(*dict.fromkeys([*keys, *sector]), "_value", "_wide").repartition(width(frame.sparkSession), *sector)
+    long = long.withColumns({"_narrow": percentile_rank(v, *sector), "_n": F.count(v).over(W.partitionBy(*sector))})
     enough = F.col("sector33_name").isNotNull() & (F.col("_n") >= LEAST_IN_SECTOR)
     score = (F.when(enough, F.col("_narrow")).otherwise(F.col("_wide")) * 0.7 + F.col("_wide") * 0.3) * 100
-    parts = long.groupBy(*keys).agg(F.collect_list(F.struct("_metric", score.alias("score"), "_rest")).alias("_parts"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in frame.columns])
+    scored = long.select(*keys, "_metric", score.alias("score"), F.lit(None).cast(frame.schema).alias("_rest"))
+    both = scored.unionByName(frame.select(*keys, F.lit(-1).alias("_metric"), F.lit(None).cast("double").alias("score"), rest.alias("_rest")))
+    parts = both.repartition(width(frame.sparkSession), *keys).groupBy(*keys).agg(F.collect_list(F.struct("_metric", "score", "_rest")).alias("_parts"))
     of = lambda k: F.get(F.filter("_parts", lambda p: p["_metric"] == k), F.lit(0))
-    return parts.select(of(0)["_rest"].alias("_rest"), *[of(k)["score"].alias(f"{m}_score") for k, m in enumerate(names)]).select("_rest.*", *[f"{m}_score" for m in names])
+    return parts.select(of(-1)["_rest"].alias("_rest"), *[of(k)["score"].alias(f"{m}_score") for k, m in enumerate(names)]).select("_rest.*", *[f"{m}_score" for m in names])
 
 
 def reasons(positive: bool) -> Column:

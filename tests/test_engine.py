@@ -16,6 +16,7 @@ from kabunoki.operators import documents as D
 from kabunoki.operators import filings as L
 from kabunoki.operators import learning as M
 from kabunoki.operators import operations as O
+from kabunoki.operators import order
 from kabunoki.operators import prices as P
 from kabunoki.operators import ranking as R
 from kabunoki.sources import web
@@ -307,3 +308,39 @@ def test_stream_is_idempotent(spark, tmp_path):
     spark.createDataFrame([(2, 9, "z")], "k int, t int, v string").coalesce(1).write.mode("append").parquet(str(source))
     ingest(spark, str(source), frame.schema, table, str(tmp_path / "checkpoint"))
     assert {r.k: r.v for r in table.read().collect()} == {1: "b", 2: "z"}
+
+
+@pytest.mark.parametrize("rows", [40, 10**6])
+def test_ranks_and_quantiles_of_groups_in_pieces(spark, monkeypatch, rows):
+    monkeypatch.setattr(order, "ROWS", rows)
+    draw = np.random.default_rng(5)
+    values = {"a": draw.normal(size=900), "b": np.round(draw.exponential(size=700), 1), "c": np.repeat([0.0, 3.0], [600, 5]), "d": draw.normal(size=7), None: np.arange(60.0)}
+    rows_ = [(g, k, float(v)) for g, vs in values.items() for k, v in enumerate(vs)] + [("a", 1000, None), ("d", 1000, None)]
+    frame = spark.createDataFrame(rows_, "g string, k int, v double").repartition(3)
+    groups = order.cut(frame, ["g"], "v")
+    assert set(groups) == ({(g,) for g, vs in values.items() if len(vs) > 40} if rows == 40 else set())
+    got = {(r.g, r.k): r for r in order.ranks(order.pieces(frame, ["g"], "v", ["k"], groups), ["g"], "v").collect()}
+    high = {(r.g, r.k): r.v for r in order.places(frame, ["v"], ["g"], ["g", "k"]).collect()}
+    qs = (0.0, 0.025, 0.05, 0.5, 0.975, 1.0)
+    found = order.quantiles(frame, ["g"], "v", qs)
+    for g, vs in values.items():
+        for k, v in enumerate(vs):
+            r = got[g, k]
+            assert (r._rank, r._ties, r._n, high[g, k]) == (1 + (vs < v).sum(), (vs == v).sum(), len(vs), 1 + (vs > v).sum())
+        for q, (v, less, upto) in zip(qs, found[g,]):
+            assert v == pytest.approx(np.quantile(vs, q), abs=1e-12) and (less, upto) == ((vs < v).sum(), (vs <= v).sum())
+    assert got["a", 1000]._rank is None and high["d", 1000] is None and len(got) == len(high) == len(rows_)
+
+
+def test_metric_scores_do_not_depend_on_pieces_and_no_piece_is_a_whole_group(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    rows = [(k, "m" if k % 4 else "n", None if k % 9 == 0 else str(k % 3), float(draw.standard_cauchy()), float(draw.integers(6)) if k % 7 else None) for k in range(1200)]
+    frame = spark.createDataFrame(rows, "canonical_code int, model_group string, sector33_name string, per double, roe double")
+    score = lambda: {r.canonical_code: tuple(r) for r in R.metric_scores(frame, {"per": False, "roe": True}).collect()}
+    whole = score()
+    monkeypatch.setattr(order, "ROWS", 50)
+    seen, pieces = [], order.pieces
+    monkeypatch.setattr(order, "pieces", lambda f, by, *rest: seen.append((pieces(f, by, *rest), order.piece(by))) or seen[-1][0])
+    assert score() == whole and len(whole) == 1200
+    long, piece = seen[0]
+    assert max(r["count"] for r in long.groupBy(*piece).count().collect()) < 200
