@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from kabunoki.functions.kit import settle
 from kabunoki.operators import filings as L
+from kabunoki.operators import order
 from kabunoki.operators import ranking as R
 from kabunoki.plans.market import longs, mean, pct, r, rounded
-from kabunoki.session import load
+from kabunoki.session import load, stable
 
 DATES = ("1997-12-31", "1999-06-30", "2001-12-31")
 
@@ -77,8 +78,9 @@ def _ranks(s: SparkSession, d: str) -> DataFrame:
 
 def _places(s: SparkSession, d: str) -> DataFrame:
     # Ranks of settled scores: two engines add in different orders, and a last bit must not decide between equals.
-    x = _ranks(s, d)
-    return x.select("snapshot_date", "canonical_code", *[R.rank_desc(F.col(f"score_{h}"), "snapshot_date").alias(f"rank_{h}") for h in ("6m", "12m")])
+    keys, horizons = ["snapshot_date", "canonical_code"], ("6m", "12m")
+    x = stable(_ranks(s, d).select(*keys, *[f"score_{h}" for h in horizons]), "scores")
+    return order.places(x.toDF(*keys, *[f"rank_{h}" for h in horizons]), [f"rank_{h}" for h in horizons], keys[:1], keys)
 
 
 def _reasons(s: SparkSession, d: str) -> DataFrame:
