@@ -56,13 +56,13 @@ def fundamentals(s: SparkSession, d: str) -> DataFrame:
     return L.fundamentals(filings(s, d), _grid(s, d, DATES))
 
 
-def ranks(s: SparkSession, d: str) -> DataFrame:
-    g = _grid(s, d, DATES)
+def ranks(s: SparkSession, d: str, dates: tuple[str, ...] = DATES) -> DataFrame:
+    g = _grid(s, d, dates)
     who = _grid(s, d, DATES[:1]).select("canonical_code", "company_name", "sector33_name", "model_group")
     q = who.where(F.hash("canonical_code").isNotNull() & (F.substring("canonical_code", -1, 1) == "3")).select(
         "canonical_code", F.lit("1997-01-01").cast("date").alias("disclosure_date"), F.lit(80.0).alias("qualitative_score"), F.lit(0.5).alias("qualitative_confidence")
     )
-    return R.investment_ranks(who, g, fundamentals(s, d), q)
+    return R.investment_ranks(who, g, L.fundamentals(filings(s, d), g), q)
 
 
 def _scores(s: SparkSession, d: str) -> DataFrame:
@@ -85,7 +85,7 @@ def _places(s: SparkSession, d: str) -> DataFrame:
 
 def _reasons(s: SparkSession, d: str) -> DataFrame:
     # Scores are settled and moved off the halves between tenths, so that both engines round them alike.
-    x = ranks(s, d).where(F.col("snapshot_date") == DATES[-1])
+    x = ranks(s, d, DATES[-1:])
     x = x.withColumns({c: settle(F.col(c)) + 0.0137 for c in (*R.FACTORS, "qualitative_score")})
     tenths = lambda c: F.round(c * 10).cast("long").cast("string")
     told = lambda up: F.array_join(F.transform(R.reasons(up), lambda f: F.concat(f["factor"], F.lit("="), tenths(f["score"]), F.lit("/"), tenths(f["contribution"]))), ",")
