@@ -27,9 +27,13 @@ def _now() -> F.Column:
     return F.lit(NOW).cast("timestamp")
 
 
-def _response(rows: DataFrame, by: F.Column, name: str, row: F.Column) -> DataFrame:
-    """One JSON document for each value of ``by``."""
-    return rows.groupBy(by.alias("g")).agg(F.collect_list(row).alias(name)).select(F.to_json(F.struct(name)).alias("content"), _now().alias("retrieved_at"))
+#: A response, as a page, has rows of so many successive keys at most: more rows make more responses, not longer ones.
+KEYS = 10_000
+
+
+def _response(rows: DataFrame, by: F.Column, name: str, row: F.Column, key: F.Column) -> DataFrame:
+    """JSON documents for each value of ``by``, one for each run of KEYS keys."""
+    return rows.groupBy(by.alias("g"), F.floor(key / KEYS).alias("run")).agg(F.collect_list(row).alias(name)).select(F.to_json(F.struct(name)).alias("content"), _now().alias("retrieved_at"))
 
 
 def _day(key: str, days: int = 300) -> F.Column:
@@ -45,8 +49,8 @@ def _saved_bars(s: SparkSession, d: str) -> DataFrame:
     code = F.col("o_custkey").cast("string")
     new = F.struct(F.date_format(_day("o_orderkey"), "yyyyMMdd").alias("Date"), code.alias("Code"), p.alias("O"), F.when(k % 5 == 0, "n/a").otherwise(p.cast("string")).alias("C"), k.alias("Vo"), (p / 2).alias("AdjC"))
     old = F.struct(_day("o_orderkey").cast("string").alias("Date"), code.alias("Code"), p.alias("Open"), p.cast("string").alias("Close"), F.lit("").alias("Volume"), (p / 2).alias("AdjustmentClose"))
-    short = _response(o.where(k % 2 == 0), k % 7, "data", new)
-    long = _response(o.where(k % 2 == 1), k % 7, "daily_quotes", old)
+    short = _response(o.where(k % 2 == 0), k % 7, "data", new, k)
+    long = _response(o.where(k % 2 == 1), k % 7, "daily_quotes", old, k)
     out = saved.bars(short.unionByName(long))
     return rounded(out.select("code", "trade_date", "source", "volume", "open", "high", "close", "adjusted_close"), 4)
 
@@ -58,14 +62,14 @@ def _saved_filings(s: SparkSession, d: str) -> DataFrame:
         F.when(k % 9 == 0, "soon").otherwise(_day("o_orderkey").cast("string")).alias("DiscDate"), F.lit("15:00:00").alias("DiscTime"), F.col("o_custkey").cast("string").alias("Code"), k.cast("string").alias("DiscNo"), p.cast("string").alias("Sales"),
         F.when(k % 4 == 0, "").otherwise((p / 10).cast("string")).alias("OP"), F.when(k % 3 != 0, p / 100).alias("EPS"), (k % 100).alias("ROE"),
     )
-    out = saved.filings(_response(o, k % 11, "data", row))
+    out = saved.filings(_response(o, k % 11, "data", row, k))
     return rounded(out.select("disclosure_number", "disclosure_date", "disclosure_time", "code", "sales", "operating_profit", "eps", "roe", "bps", "current_period_end", "source"), 4)
 
 
 def _saved_documents(s: SparkSession, d: str) -> DataFrame:
     x = load(s, d, "documents")
     row = F.struct(F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("docID"), F.col("source").alias("filerName"), F.concat(_day("doc_id").cast("string"), F.lit(" 09:30")).alias("submitDateTime"), F.col("lang").alias("docTypeCode"), F.lit("x").alias("periodEnd"))
-    out = saved.documents(_response(x, F.col("doc_id") % 5, "results", row))
+    out = saved.documents(_response(x, F.col("doc_id") % 5, "results", row, F.col("doc_id")))
     return out.select("document_id", "filer_name", F.col("submitted_at").cast("string").alias("submitted"), "document_type_code", "period_end", "security_code", "source")
 
 
@@ -83,7 +87,7 @@ def _listed(s: SparkSession, d: str) -> DataFrame:
     link = F.when(F.col("o_orderkey") % 100 != 0, F.concat(F.lit('<a href="pdf/'), k, F.lit('.pdf">決算短信 &amp;　'), k, F.lit("</a>"))).otherwise(F.lit("none"))
     figures = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('<div><a href="'), k, F.lit('.zip">XBRL</a></div>'))).otherwise(F.lit(""))
     row = F.concat(F.lit("<tr>"), cell("kjTime", F.lit("15:00")), cell("kjCode", F.concat((F.col("o_custkey") % 9000 + 1000).cast("string"), F.lit("0"))), cell("kjName", F.concat(F.lit(" A\n"), k)), cell("kjTitle", link), cell("kjXbrl", figures), F.lit("</tr>"))
-    pages = o.groupBy((F.col("o_orderkey") % 13).alias("page")).agg(F.concat_ws("\n", F.lit("<html><script>x</script><table>"), F.array_sort(F.collect_list(row)), F.lit("</table></html>")).alias("html"))
+    pages = o.groupBy((F.col("o_orderkey") % 13).alias("page"), F.floor(F.col("o_orderkey") / (20 * KEYS)).alias("run")).agg(F.concat_ws("\n", F.lit("<html><script>x</script><table>"), F.array_sort(F.collect_list(row)), F.lit("</table></html>")).alias("html"))
     out = web.disclosure_list(pages)
     return out.select("document_id", "canonical_code", "disclosure_time", "company_name", "title", "pdf_href", "xbrl_href", D.title_class(F.col("title")).alias("document_type"))
 

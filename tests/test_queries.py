@@ -42,6 +42,20 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
+def test_more_rows_make_more_responses_not_longer_ones(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from kabunoki.plans import control
+    from kabunoki.sources import saved
+
+    seen, filings = [], saved.filings
+    monkeypatch.setattr(saved, "filings", lambda r: seen.append(r) or filings(r))
+    monkeypatch.setattr(control, "load", lambda *_: spark.range(60_000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 99).alias("o_custkey"), F.lit(7.0).alias("o_totalprice")))
+    assert catalog.QUERIES["saved_filings"](spark, DATA).select("disclosure_number").distinct().count() == 60_000
+    sizes = [r.n for r in seen[0].select(F.json_array_length(F.get_json_object("content", "$.data")).alias("n")).collect()]
+    assert sum(sizes) == 60_000 and max(sizes) <= 1_000
+
+
 # What has no equivalent in SQL.
 
 
