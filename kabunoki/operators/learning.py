@@ -17,6 +17,7 @@ from pyspark.sql.window import Window as W
 
 from kabunoki.functions.kit import finite, percentile_rank, rank_desc, spearman, tokyo_to_utc
 from kabunoki.operators import filings as L
+from kabunoki.operators import order
 from kabunoki.operators import prices as P
 from kabunoki.operators import ranking as R
 
@@ -210,10 +211,17 @@ def infer(inputs: DataFrame, model: Ridge, horizon: str, date: str = "snapshot_d
 
 
 def summary(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """(metric, n, missing_rate, median, p05, p95) of numeric columns, from one pass over an unpivot."""
-    long = frame.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns]).unpivot([], columns, "metric", "value")
-    q = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return long.groupBy("metric").agg(F.count("value").alias("n"), F.avg(F.col("value").isNull().cast("double")).alias("missing_rate"), q.alias("q")).select("metric", "n", "missing_rate", F.col("q")[1].alias("median"), F.col("q")[0].alias("p05"), F.col("q")[2].alias("p95"))
+    """(metric, n, missing_rate, median, p05, p95) of numeric columns, from an unpivot. The quantiles are exact, and found
+    in pieces: no task holds the values of a column."""
+    long = frame.select(*[(finite(F.col(c).cast("double")) + 0.0).alias(c) for c in columns]).unpivot([], columns, "metric", "value")
+    groups = order.cut(long, ["metric"], "value", 0)
+    found = order.quantiles(long, ["metric"], "value", (0.05, 0.5, 0.95), groups)
+    rows = []
+    for g, c in groups.items():
+        n = sum(c.counts)
+        low, middle, high = (x[0] for x in found[g]) if n else (None, None, None)
+        rows.append((*g, n, c.nulls / (n + c.nulls), middle, low, high))
+    return frame.sparkSession.createDataFrame(rows, "metric string, n long, missing_rate double, median double, p05 double, p95 double")
 
 
 def spearman_matrix(frame: DataFrame, columns: list[str], by: str) -> DataFrame:

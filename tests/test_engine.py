@@ -344,3 +344,18 @@ def test_metric_scores_do_not_depend_on_pieces_and_no_piece_is_a_whole_group(spa
     assert score() == whole and len(whole) == 1200
     long, piece = seen[0]
     assert max(r["count"] for r in long.groupBy(*piece).count().collect()) < 200
+
+
+def test_summary_collects_no_column_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(order, "ROWS", 100)
+    draw = np.random.default_rng(7)
+    x, y = draw.normal(size=2000), np.round(draw.exponential(size=2000), 1)
+    frame = spark.createDataFrame([(float(a), float(b) if k % 4 else None, None) for k, (a, b) in enumerate(zip(x, y))], "x double, y double, z double")
+    out = M.summary(frame, ["x", "y", "z"])
+    got = {r.metric: r for r in out.collect()}
+    for c, v in (("x", x), ("y", y[np.arange(2000) % 4 > 0])):
+        assert (got[c].n, got[c].missing_rate) == (len(v), 1 - len(v) / 2000)
+        assert (got[c].p05, got[c]["median"], got[c].p95) == pytest.approx(tuple(np.quantile(v, (0.05, 0.5, 0.95))), abs=1e-12)
+    assert (got["z"].n, got["z"].missing_rate, got["z"]["median"]) == (0, 1.0, None)
+    assert M.summary(frame.where("x IS NULL"), ["x", "y", "z"]).count() == 0
+    assert "percentile" not in out._jdf.queryExecution().toString()
